@@ -7,16 +7,91 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscour.llm import simhash
+from sparkscour.llm import decontamination, exact_dedup, langid, mixing, sharding, simhash, toxicity
 from sparkscour.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.numbered(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("reps")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {"op10_simhash": op10_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op4_toxicity, op5_sharding, op6_language_id, op8_mixing, op10_simhash)}
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+        WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+        i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        wins AS (
+            SELECT DISTINCT item_id, w[s : s + least(10, len(w)) - 1] AS win
+            FROM i, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(s) WHERE len(w) > 0),
+        lens AS (SELECT DISTINCT len(win) AS l FROM wins),
+        places AS (SELECT doc_id, s, l, w[s : s + l - 1] AS win FROM d, lens, unnest(range(1, len(w) - l + 2)) AS t(s)),
+        found AS (SELECT doc_id, s, l, item_id FROM places JOIN wins USING (win)),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM found, unnest(range(s, s + l)) AS t(p) GROUP BY 1),
+        named AS (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found),
+        listed AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM named GROUP BY 1)
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(listed.n, 0)::BIGINT AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
+    """,
+    "op2_exact_dedup": r"""
+        WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+            doc_id = min(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
+        FROM d
+    """,
+    "op8_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                md5('42:' || coalesce(doc_id::VARCHAR, '#' || md5(coalesce(text, '')))) AS h
+            FROM documents),
+        s AS (
+            SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size) AS cap,
+                [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::BIGINT]::DOUBLE AS weight,
+                row_number() OVER (ORDER BY source IS NULL, source) AS place
+            FROM d GROUP BY source),
+        r AS (SELECT *, cap / weight AS ratio FROM s),
+        l AS (
+            SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM r),
+        level AS (SELECT arg_min(level, struct_pack(ratio := ratio, place := place)) AS level FROM l WHERE level <= ratio),
+        t AS (SELECT source, source_size, least(cap, level.level * weight) AS target FROM l, level),
+        w AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+        o AS (
+            SELECT doc_id, size, source_size, target, whole, target - whole * source_size AS rest,
+                sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS UNBOUNDED PRECEDING) - size / 2 AS middle
+            FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source)
+        SELECT doc_id, size, source_size, target, size * (whole + (middle <= rest)::BIGINT) AS taken FROM o
+    """,
+}
