@@ -22,10 +22,10 @@ from sparkscour.llm.ngrams import buckets, counted, letters
 UNKNOWN = "und"
 SIZES = (1, 2, 3, 4)
 BITS = 16
-PER_LANGUAGE = 600
+PER_LANGUAGE = 400
 #: Frequencies are small; this brings them near 1.
 SCALE = 30.0
-PENALTY, STEPS = 1e-3, 300
+PENALTY, STEPS = 1e-3, 100
 
 # ISO 639-1 codes by family. A code that is not listed is in the family "other".
 FAMILIES = {
