@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscour.llm import decontamination, exact_dedup, langid, mixing, sharding, simhash, toxicity
+from sparkscour.llm import decontamination, exact_dedup, html_extraction, langid, mixing, pii, sharding, simhash, toxicity, url_filters
 from sparkscour.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,16 +38,38 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, fetched in minutes that follow from page_id, against entries that follow from the pages' hosts."""
+    pages = table(spark, sf_dir, "pages").withColumn("fetched", F.col("page_id") * 7919 % 525600)
+    hosts = pages.select(url_filters.host(F.col("url")).alias("host")).where("host <> ''").distinct()
+    digit = lambda at, n: F.conv(F.substring(F.md5("host"), at, n), 16, 10).cast("long")
+    start, length = digit(1, 5) % 525600, digit(6, 5) % 300000 + 1
+    parent = F.regexp_replace("host", r"^[^.]*\.", "")
+    kind = F.when(digit(11, 1) < 6, "host").when(digit(11, 1) < 8, "domain").when(digit(11, 1) < 11, "prefix")
+    value = F.when(kind == "host", F.col("host")).when(kind == "domain", parent).otherwise(F.concat("host", F.lit("/en")))
+    entry = lambda at, action: F.struct(kind.alias("kind"), value.alias("value"), at.alias("at"), F.lit(action).alias("action"))
+    entries = hosts.select(F.explode(F.array(entry(start, "add"), entry(start + length, "remove"), entry(start + 2 * length, "add"))).alias("e")).select("e.*")
+    found = url_filters.evaluated(pages, entries)
+    return found.withColumn("rules", F.array_join("rules", ","))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("reps")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    base = pii.base_only(F.col("spans"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(of(k) for k in pii.KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op4_toxicity, op5_sharding, op6_language_id, op8_mixing, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_html_extraction, op4_toxicity, op5_sharding, op6_language_id, op7_url_filters, op8_mixing, op9_pii, op10_simhash)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -94,4 +120,34 @@ ORACLE_SQL: dict[str, str] = {
             FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source)
         SELECT doc_id, size, source_size, target, size * (whole + (middle <= rest)::BIGINT) AS taken FROM o
     """,
+    "op7_url_filters": r"""
+        WITH p AS (
+            SELECT page_id, url, page_id * 7919 % 525600 AS fetched,
+                rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
+                regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path
+            FROM pages),
+        h AS (SELECT DISTINCT host, md5(host) AS m FROM p WHERE host <> ''),
+        d AS (
+            SELECT host, ('0x' || m[1:5])::BIGINT % 525600 AS start, ('0x' || m[6:10])::BIGINT % 300000 + 1 AS length, ('0x' || m[11:11])::BIGINT AS k FROM h),
+        k AS (
+            SELECT *, CASE WHEN k < 6 THEN 'host' WHEN k < 8 THEN 'domain' WHEN k < 11 THEN 'prefix' END AS kind,
+                CASE WHEN k < 6 THEN host WHEN k < 8 THEN regexp_replace(host, '^[^.]*\.', '') ELSE host || '/en' END AS value
+            FROM d),
+        e AS (
+            SELECT kind, value, start AS at, 'add' AS action FROM k WHERE kind IS NOT NULL
+            UNION ALL SELECT kind, value, start + length, 'remove' FROM k WHERE kind IS NOT NULL
+            UNION ALL SELECT kind, value, start + 2 * length, 'add' FROM k WHERE kind IS NOT NULL),
+        c AS (
+            SELECT page_id, kind, value, (SELECT max(struct_pack(at := e.at, action := e.action)) FROM e
+                WHERE e.kind = n.kind AND e.value = n.value AND e.at <= fetched) AS last
+            FROM (
+                SELECT DISTINCT page_id, fetched, kind, value FROM (
+                    SELECT page_id, fetched, 'host' AS kind, host AS value FROM p
+                    UNION ALL SELECT page_id, fetched, 'domain', array_to_string(string_split(host, '.')[i:], '.') FROM p, unnest(range(1, len(string_split(host, '.')) + 1)) AS t(i)
+                    UNION ALL SELECT page_id, fetched, 'prefix', host || array_to_string(string_split(path, '/')[:i], '/') FROM p, unnest(range(2, len(string_split(path, '/')) + 1)) AS t(i))
+                WHERE value <> '') AS n),
+        r AS (SELECT page_id, count(*) AS n, string_agg(kind || ':' || value, ',' ORDER BY kind || ':' || value) AS rules FROM c WHERE last.action = 'add' GROUP BY 1)
+        SELECT page_id, url, fetched, host, coalesce(n, 0)::BIGINT AS n_rules, coalesce(rules, '') AS rules, n IS NOT NULL AS blocked
+        FROM p LEFT JOIN r USING (page_id)
+    """,
 }
