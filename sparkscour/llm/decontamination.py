@@ -24,23 +24,25 @@ SHINGLE = 5
 #: Most rows (a hash and at most WINDOW words each) that are sent to every executor.
 MAX_BROADCAST = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What separates words; words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     """Words of a text after lower-casing A-Z; none for null."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN_ANY_CASE), "")).cast("long")
 
 
-def shingles(of: Column, k: Column | int) -> Column:
-    """Hashes of every run of ``k`` words, in order."""
-    k = F.lit(k) if isinstance(k, int) else k
-    return F.when(F.size(of) >= k, F.transform(F.sequence(F.lit(1), F.size(of) - k + 1), lambda i: F.xxhash64(F.slice(of, i, k)))).otherwise(F.array().cast("array<long>"))
+def placed_shingles(rows: DataFrame, of: str, k: int) -> DataFrame:
+    """``rows`` once for every run of ``k`` words in the column ``of``: p (its first word is 1) and gram (its hash)."""
+    starts = F.explode(F.sequence(F.lit(1), F.size(of) - k + 1)).alias("p")
+    hashed = F.xxhash64(*(F.get(of, F.col("p") + (i - 1)) for i in range(k))).alias("gram")
+    return rows.where(F.size(of) >= k).select("*", starts).select("*", hashed)
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -64,15 +66,15 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     """
     windows = written(item_windows(items, item_id, item_text), "decon-windows")
     wins = windows.select("win", "k").distinct()
-    grams = written(wins.select("win", "k", F.posexplode(shingles(F.col("win"), F.col("k"))).alias("at", "gram")).groupBy("win", "k", "gram").agg(F.min("at").alias("at")), "decon-grams")
-    sizes = [r.k for r in grams.select("k").distinct().collect()]  # at most SHINGLE
+    sizes = [r.k for r in wins.select("k").distinct().collect()]  # at most SHINGLE
     text = F.col(text_col).cast("string")
     split = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), words(text).alias("w"))
     found = None
     for k in sorted(sizes):
-        mine = grams.where(F.col("k") == k)
+        mine = placed_shingles(wins.where(F.col("k") == k), "win", k).groupBy("win", "gram").agg(F.min("p").alias("at"))
+        mine = written(mine, "decon-grams")
         keys = mine.select("gram").distinct()
-        placed = split.select("id", "mark", "w", F.posexplode(shingles(F.col("w"), k)).alias("p", "gram"))
+        placed = placed_shingles(split, "w", k)
         seen = placed.select("gram").join(_sized(keys, keys.count()), "gram").groupBy("gram").agg(F.count("*").alias("n"))
         first = mine.join(seen, "gram", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "at")).alias("f")).where("f.n > 0")
         prefix = written(first.select(F.col("f.gram").alias("gram"), F.col("f.at").alias("at"), "win"), "decon-prefix")
