@@ -5,8 +5,8 @@ packed into one long. The Manhattan distance of two embeddings never exceeds the
 The 32 axes form 8 groups of 4. Two embeddings within distance 4 differ in at most 4 groups, so they share all
 coordinates of at least 4: they meet in a cell of one of the C(8, 4) = 70 grids over four groups. No link is lost.
 
-Cells with many fingerprints are first shrunk: every member within reach of the cell's least fingerprint is tied to it,
-which is linear in the cell. Only members of different components are then compared, each pair in one grid alone, and a
+Of a cell with two fingerprints, its least and greatest are the pair. Larger cells are first shrunk: every member within
+reach of the cell's least fingerprint is tied to it, which is linear in the cell. Only members of different components are then compared, each pair in one grid alone, and a
 pair is emitted only if the Hamming distance confirms it.
 """
 
@@ -91,9 +91,11 @@ def links(fps: DataFrame) -> DataFrame:
         fps.select("fp", embedding(F.col("fp")).alias("emb"), F.explode(grid).alias("g"))
         .select("fp", F.col("g.grid").alias("grid"), F.col("emb").bitwiseAND(F.col("g.bits")).alias("cell"))
     )
-    crowded = cells.groupBy("grid", "cell").agg(F.min("fp").alias("pivot"), F.max("fp").alias("top")).where("pivot <> top").drop("top")
-    shared = written(cells.join(crowded, ["grid", "cell"]), "simhash-cells")
-    stars = shared.where(F.col("fp") != F.col("pivot")).where(_near(F.col("fp"), F.col("pivot"), MAX_BITS)).select(F.col("fp").alias("u"), F.col("pivot").alias("v")).distinct()
+    met = written(cells.groupBy("grid", "cell").agg(F.count("*").alias("n"), F.min("fp").alias("pivot"), F.max("fp").alias("top")).where("n > 1"), "simhash-met")
+    twos = met.where((F.col("n") == 2) & _near(F.col("top"), F.col("pivot"), MAX_BITS)).select(F.col("top").alias("u"), F.col("pivot").alias("v"))
+    shared = written(cells.join(met.where("n > 2").drop("n", "top"), ["grid", "cell"]), "simhash-cells")
+    stars = shared.where(F.col("fp") != F.col("pivot")).where(_near(F.col("fp"), F.col("pivot"), MAX_BITS)).select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
+    stars = stars.unionByName(twos).distinct()
     stars = written(stars, "simhash-stars")
     known = components(stars, "simhash-stars")
     members = shared.join(known.withColumnRenamed("node", "fp"), "fp", "left").select("grid", "cell", "fp", F.coalesce("component", "fp").alias("comp"))
