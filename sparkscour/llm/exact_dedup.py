@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 
 from sparkscour.llm.common import UNEVEN_SPACE, scratch, written
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; each partition's store takes the space that it needs, not megabytes in advance.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Most digests that are broadcast for the check of full bytes.
 MAX_BROADCAST = 200_000
 
@@ -39,8 +43,9 @@ def _place(spark: SparkSession, source: str) -> tuple[str, str]:
 def _update(spark: SparkSession, source: str, state: str, id_col: str, text_col: str, files_per_batch: int | None) -> str:
     """Take the files of ``source`` that the state has not seen into it; the folder of the changed states, by batch."""
     schema = spark.read.parquet(source).schema
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         reader = spark.readStream.schema(schema)
         if files_per_batch:
@@ -60,10 +65,8 @@ def _update(spark: SparkSession, source: str, state: str, id_col: str, text_col:
         writer = groups.writeStream.outputMode("update").option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True)
         writer.foreachBatch(keep).start().awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return f"{state}/changed"
 
 
