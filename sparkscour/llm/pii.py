@@ -140,16 +140,21 @@ def _documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(term, entity, share) of the terms that disclose an entity. ``docs``: mark, text; ``found``: mark, near."""
-    near = found.select("mark", F.explode("near").alias("n")).select("mark", "n.term", "n.entity").distinct()
+    near = written(found.select("mark", F.explode("near").alias("n")).select("mark", "n.term", "n.entity").distinct(), "pii-near")
     pairs = near.groupBy("term", "entity").agg(F.count("*").alias("k")).where(F.col("k") >= SUPPORT)
-    pairs = written(pairs, "pii-pairs")
     n = near.select("entity", "mark").distinct().groupBy("entity").agg(F.count("*").alias("n"))
-    m = _documents_with(docs, pairs.select("term").distinct())
-    total = docs.agg(F.count_distinct("mark")).first()[0]
-    counted = pairs.join(n, "entity").join(m, "term")
-    content = F.log2(F.lit(float(total or 1)) / F.col("n"))
-    share = F.when(content > 0, F.log2(F.col("k") * float(total or 1) / (F.col("n") * F.col("m"))) / content).otherwise(0.0)
-    return counted.select("term", "entity", share.alias("share")).where(F.col("share") >= DISCLOSURE)
+    seen = near.select("term", "mark").distinct().groupBy("term").agg(F.count("*").alias("seen"))
+    total = F.lit(float(docs.agg(F.count_distinct("mark")).first()[0] or 1))
+
+    def share(m: str) -> Column:
+        content = F.log2(total / F.col("n"))
+        return F.when(content > 0, F.log2(F.col("k") * total / (F.col("n") * F.col(m))) / content).otherwise(0.0)
+
+    # a term is in no fewer documents than it is near entities in, so this share is never below the true one
+    likely = pairs.join(n, "entity").join(seen, "term").where(share("seen") >= DISCLOSURE)
+    likely = written(likely.select("term", "entity", "k", "n"), "pii-pairs")
+    m = _documents_with(docs, likely.select("term").distinct())
+    return likely.join(m, "term").select("term", "entity", share("m").alias("share")).where(F.col("share") >= DISCLOSURE)
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
