@@ -22,7 +22,7 @@ from sparkscour.llm.ngrams import buckets, letters
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
-PER_LABEL = 3000
+PER_LABEL = 1000
 #: A row is predicted toxic from this score on.
 THRESHOLD = 0.3
 SMOOTHING, LEAST_ROWS, LEAST_RATIO = 1.0, 5, 1.0
