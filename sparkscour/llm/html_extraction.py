@@ -2,7 +2,7 @@
 
 Every element is a variable: frame (what holds the parts of a page), other, or content. Its evidence (words in class, id and role; given its tag, how much text it holds,
 how much of that is links and whether it has sentences) is a naive Bayes potential; a potential on each edge ties a child to
-its parent, given the child's tag. Sum-product messages
+its parent, given the child's tag and whether it has a name. Sum-product messages
 go up the tree and down again, which gives every element's exact marginal. Text stays where the element that holds it is
 content with a probability of one half or more.
 
@@ -42,8 +42,8 @@ def _share(part: int, whole: int) -> str:
     return "empty" if not whole else "links" if part > 0.6 * whole else "mixed" if part > 0.2 * whole else "text"
 
 
-def evidence(tree: Tree) -> list[tuple[str, list[str]]]:
-    """Of every node the shape of its text, and the words it is named by."""
+def evidence(tree: Tree) -> list[tuple[str, str, list[str]]]:
+    """Of every node its kind (tag, and whether it has a name), the shape of its text, and the words it is named by."""
     size = len(tree.tag)
     own, linked, stops = [0] * size, [0] * size, [0] * size
     for node, text, link in tree.pieces:
@@ -61,7 +61,7 @@ def evidence(tree: Tree) -> list[tuple[str, list[str]]]:
         names = " ".join(tree.attributes[node].get(k, "") for k in ("class", "id", "role"))
         words = sorted({w.lower() for w in _NAME.findall(names)})
         held = _amount(own[node]) if own[node] else f"below {_amount(below[node])}"
-        out.append((f"{held} {_share(below_linked[node], below[node])} {bool(stops[node])} {bool(words)}", words))
+        out.append((tree.tag[node] + " named" * bool(words), f"{held} {_share(below_linked[node], below[node])} {bool(stops[node])}", words))
     return out
 
 
@@ -72,25 +72,27 @@ Potential = tuple[float, ...]
 class Model:
     """Log potentials of the states."""
 
-    shapes: dict[tuple[str, str], Potential]  # by tag and shape
+    shapes: dict[tuple[str, str], Potential]  # by kind and shape
     names: dict[str, Potential]
-    edges: dict[str, tuple[Potential, ...]]  # by the child's tag; of the parent's state, then of the child's
+    edges: dict[str, tuple[Potential, ...]]  # by the child's kind; of the parent's state, then of the child's
+    root: Potential
 
-    def local(self, tree: Tree) -> list[list[float]]:
-        """Evidence of every node. Siblings of one tag look alike whatever they are, so their shapes have one voice together."""
+    def local(self, tree: Tree) -> tuple[list[list[float]], list[tuple[Potential, ...]]]:
+        """Evidence of every node, and what ties it to its parent. Siblings of one kind look alike whatever they are, so
+        their shapes have one voice together."""
         none = (0.0,) * len(STATES)
-        alike = Counter(zip(tree.parent, tree.tag, strict=True))
+        found = evidence(tree)
+        alike = Counter((parent, kind) for parent, (kind, _, _) in zip(tree.parent, found, strict=True))
         out = []
-        for node, (shape, names) in enumerate(evidence(tree)):
-            shown = self.shapes.get((tree.tag[node], shape), none) if node else none
-            voice = 1 / alike[tree.parent[node], tree.tag[node]]
+        for node, (kind, shape, names) in enumerate(found):
+            shown = self.shapes.get((kind, shape), none) if node else self.root
+            voice = 1 / alike[tree.parent[node], kind]
             out.append([shown[y] * voice + sum(self.names[x][y] for x in names if x in self.names) for y in STATES])
-        return out
+        return out, [self.edges.get(kind) or self.edges[""] for kind, _, _ in found]
 
     def marginals(self, tree: Tree) -> list[float]:
         """Probability of content for every node, by one pass up and one down; no recursion, so depth has no limit."""
-        belief = self.local(tree)  # first a node's own evidence and what its children say
-        tie = [self.edges.get(tag) or self.edges[""] for tag in tree.tag]
+        belief, tie = self.local(tree)  # belief: first a node's own evidence and what its children say
         message = [[0.0] * len(STATES) for _ in belief]
         for node in range(len(belief) - 1, 0, -1):
             message[node] = [_log_sum([tie[node][p][y] + belief[node][y] for y in STATES]) for p in STATES]
@@ -121,29 +123,32 @@ def _labels(tree: Tree) -> list[int]:
 
 def train(pages: Iterable[str]) -> Model:
     """Potentials from labelled pages. Evidence is what the page shows: ``data-label`` is no feature."""
-    shapes, tags, names, ties = Counter(), Counter(), Counter(), Counter()
+    shapes, kinds, names, ties, roots = Counter(), Counter(), Counter(), Counter(), Counter()
     for page in pages:
         tree = Tree(page)
         labels = _labels(tree)
-        for node, (shape, own) in enumerate(evidence(tree)):
-            tag, y = tree.tag[node], labels[node]
-            shapes[tag, shape, y] += 1
-            tags[tag, y] += 1
+        for node, (kind, shape, own) in enumerate(evidence(tree)):
+            y = labels[node]
+            shapes[kind, shape, y] += 1
+            kinds[kind, y] += 1
             for x in own:
                 names[x, y] += 1
-            if node:
-                for t in ("", tag):
-                    ties[t, labels[tree.parent[node]], y] += 1
-    kinds, words = len({shape for _, shape, _ in shapes}), {x for x, _ in names}
+            if not node:
+                roots[y] += 1
+                continue
+            for t in ("", kind):
+                ties[t, labels[tree.parent[node]], y] += 1
+    wide, words = len({shape for _, shape, _ in shapes}), {x for x, _ in names}
     total = [sum(n for (_, y), n in names.items() if y == state) for state in STATES]
     share = lambda n, of, wide: math.log((n + SMOOTHING) / (of + SMOOTHING * wide))
     each = lambda f: tuple(map(f, STATES))
     any_tag = each(lambda p: each(lambda y: math.exp(share(ties["", p, y], sum(ties["", p, c] for c in STATES), len(STATES)))))
     tied = lambda t, p, y: math.log((ties[t, p, y] + LIKE_ANY * any_tag[p][y]) / (sum(ties[t, p, c] for c in STATES) + LIKE_ANY))
     return Model(
-        {(t, s): each(lambda y, t=t, s=s: share(shapes[t, s, y], tags[t, y], kinds)) for t, s, _ in shapes},
+        {(t, s): each(lambda y, t=t, s=s: share(shapes[t, s, y], kinds[t, y], wide)) for t, s, _ in shapes},
         {x: each(lambda y, x=x: share(names[x, y], total[y], len(words))) for x in words},
         {t: each(lambda p, t=t: each(lambda y: tied(t, p, y))) for t in {t for t, _, _ in ties}},
+        each(lambda y: share(roots[y], roots.total(), len(STATES))),
     )
 
 

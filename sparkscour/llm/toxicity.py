@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 A feature is the presence of a hashed n-gram (SIZES bytes, words padded by spaces) in the whole text; its value is the
-log ratio of its smoothed shares among toxic and other rows. N-grams that tell little (a ratio near 0, or too few rows) get
+log ratio of the smoothed shares of toxic and of other rows that have it. N-grams that tell little (a ratio near 0, or too few rows) get
 no weight. The model is fitted on the driver from at most about ``per_label`` rows of each label, chosen by a hash of the
 id; every row is scored on the executors.
 """
@@ -46,8 +46,10 @@ def train(sample: list[tuple[int, np.ndarray]]) -> Model:
     size = 1 << BITS
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(size, np.float32), 4.0 if labels.any() else -4.0)
-    seen = [np.bincount(np.concatenate([b for y, b in sample if y == label]), minlength=size) for label in (0, 1)]
-    share = [(n + SMOOTHING) / (n + SMOOTHING).sum() for n in seen]
+    seen = np.zeros((2, size))
+    for y, b in sample:
+        seen[y, b] += 1
+    share = [(seen[y] + SMOOTHING) / ((labels == y).sum() + 2 * SMOOTHING) for y in (0, 1)]
     ratio = np.log(share[1] / share[0])
     told = (seen[0] + seen[1] >= LEAST_ROWS) & (np.abs(ratio) >= LEAST_RATIO)
     rows = [b[told[b]] for _, b in sample]
