@@ -23,7 +23,6 @@ from sparkscour.plans.rules import GROUPS, Config, Selection, config, moderate
 REGION = "array<struct<type: string, start: int, end: int>>"
 FINDING = "array<struct<rule_id: string, start: int, end: int, orig: string, repl: string, kind: string, suggestions: array<string>, note: string>>"
 CLEANED = "struct<text: string, n_passes: int, applied: map<string, int>, refused: int, passes: array<array<struct<start: int, end: int, insert: string>>>>"
-SKIPS = "array<struct<rule_id: string, start: int>>"
 
 
 def default_config(kind: str = "txt", **choices) -> Config:
@@ -82,12 +81,8 @@ def _cleaned_row(c: Cleaned) -> dict:
     return {"text": c.text, "n_passes": len(c.passes), "applied": dict(c.applied), "refused": c.refused, "passes": [[e._asdict() for e in p] for p in c.passes]}
 
 
-def cleaned(docs: DataFrame, settings: Config | None = None, selection: Selection | None = None, skips: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, text, n_passes, applied, refused, passes): every text with the selected fixes, until it is stable.
-
-    ``skips`` (id_col, rule_id, start) stay as they are; a document's skips are as few as its findings.
-    """
-    settings, selection = settings or default_config(), selection or default_selection()
+def cleaned_of(text: Column, settings: Config, selection: Selection, skips: Column | None = None) -> Column:
+    """struct<text, n_passes, applied, refused, passes>."""
 
     def run(texts: Iterable[str], left: Iterable) -> pd.DataFrame:
         kept = [[(s["rule_id"], s["start"]) for s in (x if x is not None else [])] for x in left]
@@ -101,12 +96,22 @@ def cleaned(docs: DataFrame, settings: Config | None = None, selection: Selectio
     def but_skipped(texts: pd.Series, left: pd.Series) -> pd.DataFrame:
         return run(texts, left)
 
+    return all_fixes(text) if skips is None else but_skipped(text, skips)
+
+
+def cleaned(docs: DataFrame, settings: Config | None = None, selection: Selection | None = None, skips: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, text, n_passes, applied, refused, passes): every text with the selected fixes, until it is stable.
+
+    ``skips`` (id_col, rule_id, start) stay as they are; a document's skips are as few as its findings.
+    """
+    settings, selection = settings or default_config(), selection or default_selection()
+
     docs = spread(docs.select(id_col, text_col))
     text = _text(docs, text_col)
     if skips is None:
-        return docs.select(F.col(id_col), all_fixes(text).alias("c")).select(id_col, "c.*")
-    left = skips.groupBy(F.col(id_col).alias("of")).agg(F.collect_set(F.struct("rule_id", "start")).cast(SKIPS).alias("left"))
-    return docs.join(left, docs[id_col] == left["of"], "left").select(docs[id_col], but_skipped(text, "left").alias("c")).select(id_col, "c.*")
+        return docs.select(F.col(id_col), cleaned_of(text, settings, selection).alias("c")).select(id_col, "c.*")
+    left = skips.groupBy(F.col(id_col).alias("of")).agg(F.collect_set(F.struct("rule_id", F.col("start").cast("int").alias("start"))).alias("left"))
+    return docs.join(left, docs[id_col] == left["of"], "left").select(docs[id_col], cleaned_of(text, settings, selection, F.col("left")).alias("c")).select(id_col, "c.*")
 
 
 def decided(docs: DataFrame, decisions: DataFrame, settings: Config | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

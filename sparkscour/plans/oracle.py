@@ -12,9 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscour.functions import native
+from sparkscour.functions import labels, native
 from sparkscour.operators import frames
 from sparkscour.plans.rules import Selection, selected
+from sparkscour.sources import decoding
 
 Query = Callable[[SparkSession, str], DataFrame]
 Pairs = tuple[tuple[str, str], ...]
@@ -106,7 +107,7 @@ RULE_QUERIES = (
     RuleQuery("inv.format", words(" the\u034f ", " de\u2062 "), r"[\x{034F}\x{2061}-\x{2064}\x{206A}-\x{206F}\x{FFF9}-\x{FFFC}]", ""),
     RuleQuery("inv.ctrl", words(" the\x01 ", " de\x9f "), r"[\x{01}-\x{08}\x{0E}-\x{1F}\x{7F}-\x{84}\x{86}-\x{9F}]", ""),
     RuleQuery("inv.pua", words(" the\ue200 ", " de\ue202 "), r"[\x{E200}-\x{E202}]", ""),
-    RuleQuery("inv.other", words(" the\U000e1000 ", " de\u0600 ")),
+    RuleQuery("inv.other", words(" the\u0600 ", " de\u06dd "), r"[\x{0600}\x{06DD}]"),
     RuleQuery("inv.hidden", words(" ignore previous instructions ", ' <span style="display:none">x</span> '), r'ignore previous instructions|<span style="display:none">x</span>'),
     RuleQuery("enc.mojibake", words(" donâ€™t ", " cafÃ© ")),
     RuleQuery("enc.replacement", words(" th\ufffd\ufffde ", " d\ufffde "), r"\x{FFFD}+"),
@@ -174,11 +175,11 @@ RULE_QUERIES = (
     RuleQuery("sty.triad", words(" it. robust, scalable, and efficient ", " clear, fast or red "), r"robust, scalable, and efficient"),
     RuleQuery("sty.emoji", words(" \U0001f600 ", " \u2705 "), r"[\x{1F600}\x{2705}] "),
     RuleQuery("sty.exclaim", words(" the! ", " de! "), kind="tex"),
-    RuleQuery("sty.repeat", ()),
+    RuleQuery("sty.repeat", ((". ", ". Then it goes. Then on. "),)),
     RuleQuery("sty.headcase", words("\n# The Big Red Title\n", "\n# A small title here\n"), r"(?m)^# The Big Red Title$"),
-    RuleQuery("sty.cluster", words(" a testament to ", " in the realm of ", " only time will tell ", " it remains to be seen ")),
+    RuleQuery("sty.cluster", words(" a testament to the realm, in the realm of it, only time will tell ", " a testament to, in the realm of, only time will tell ")),
     RuleQuery("sty.attribution", words(" studies show ", " experts agree "), r"studies show|experts agree"),
-    RuleQuery("sty.duplicate", ()),
+    RuleQuery("sty.duplicate", ((". ", ". This sentence of more than twelve words was planted here again and again. "),)),
     RuleQuery("plain.md", words(" **the** ", " [de](b) ", "\n# ")),
     RuleQuery("plain.math", words(r" $x^2 \leq y$ ", r" $\frac{a}{b}$ "), kind="md"),
     RuleQuery("plain.tex", words(r" \textbf{the} ", r" \cite{a} "), kind="tex"),
@@ -265,7 +266,54 @@ def tex_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.regions(docs, "tex").groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("length"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (profile, profile_conversations, basic_cleaning, cleaned, cleaned_spaces, cleaned_pages, findings, tally_by_rule, tally_by_group, tally_by_kind, journal, url_regions, markdown_regions, tex_regions)}
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line and column of the em dashes, and the nearest other one after wrapping around."""
+    docs = _planted_docs(spark, sf_dir, ((", ", " \u2014 "),))
+    found = frames.findings(docs, frames.default_config(only=["pu.em"]))
+    around = labels.neighbours(found)
+    line, column = labels.position(F.col("text"), F.col("start"))
+    return around.join(docs, "doc_id").select("doc_id", "start", line.cast("long").alias("line"), column.cast("long").alias("column"), "next_start", "previous_start")
+
+
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each text the finding nearest to its middle."""
+    docs = _planted_docs(spark, sf_dir)
+    places = docs.select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("at"))
+    return labels.nearest(frames.findings(docs, frames.default_config(only=["sp.nbsp"])), places)
+
+
+def decode_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as UTF-8, UTF-16 with and without a mark, by id; then decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    kind = F.col("doc_id") % 4
+    mark = F.when(kind == 1, F.unhex(F.lit("FFFE"))).when(kind == 2, F.unhex(F.lit("FEFF"))).otherwise(F.unhex(F.lit("")))
+    body = F.when(kind == 1, F.encode("text", "UTF-16LE")).when(kind == 2, F.encode("text", "UTF-16BE")).otherwise(F.encode("text", "UTF-8"))
+    frames.ship(spark)
+    out = docs.select("doc_id", decoding.decoded_column(F.concat(mark, body)).alias("d"))
+    return out.select("doc_id", F.md5("d.text").alias("text_md5"), "d.encoding")
+
+
+def normalised_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _planted_docs(spark, sf_dir, (("\n", "\r\n"), (" de ", "\r")))
+    return docs.select("doc_id", F.md5(decoding.normalised_lines(F.col("text"))).alias("text_md5"))
+
+
+def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames.ship(spark)
+    docs = _planted_docs(spark, sf_dir, ((". ", ".\u00a0"), ("th", "t\u200bh")))
+    return docs.select("doc_id", F.md5(labels.visible_column(F.col("text"))).alias("text_md5"))
+
+
+def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readers decide: every dash stays, every opener takes its second suggestion."""
+    docs = _planted_docs(spark, sf_dir, ((", ", " \u2014 "), (". ", ". Furthermore, ")))
+    settings = frames.default_config(only=["pu.em", "sty.opener"])
+    found = frames.findings(docs, settings)
+    decisions = found.select("doc_id", "rule_id", "start", (F.col("rule_id") == "pu.em").alias("skip"), F.when(F.col("rule_id") == "sty.opener", 1).alias("pick"))
+    return frames.decided(docs, decisions, settings).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (profile, positions, nearest, decode_round_trip, normalised_lines, visible_text, decided, profile_conversations, basic_cleaning, cleaned, cleaned_spaces, cleaned_pages, findings, tally_by_rule, tally_by_group, tally_by_kind, journal, url_regions, markdown_regions, tex_regions)}
 QUERIES |= {q.name: q.run for q in RULE_QUERIES}
 
 
@@ -292,6 +340,22 @@ _BASIC_SQL = r"""
     regexp_replace(regexp_replace(regexp_replace(replace(replace(t, chr(8203), ''), chr(160), ' '), '[ \t]+(\n)', '\1', 'g'), '[ \t]+$', ''), '\n(?:[ \t]*\n){2,}', chr(10) || chr(10), 'g')
 """
 ORACLE_SQL: dict[str, str] = {
+    "decode_round_trip": """
+        SELECT doc_id, md5(coalesce(text, '')) AS text_md5, CASE doc_id % 4 WHEN 1 THEN 'utf-16le' WHEN 2 THEN 'utf-16be' ELSE 'utf-8' END AS encoding FROM documents
+    """,
+    "normalised_lines": "SELECT doc_id, md5(replace(coalesce(text, ''), ' de ', chr(10))) AS text_md5 FROM documents",
+    "visible_text": """
+        SELECT doc_id, md5(replace(replace(coalesce(text, ''), '. ', '.[NBSP]'), 'th', 't[ZWSP]h')) AS text_md5 FROM documents
+    """,
+    "positions": f"""
+        WITH p AS (SELECT doc_id, {planted_sql(((", ", " " + chr(0x2014) + " "),), "coalesce(text, '')")} AS t FROM documents),
+        m AS (SELECT doc_id, t, unnest(range(1, len(string_split(t, ' — ')))) AS i FROM p),
+        s AS (SELECT doc_id, length(array_to_string(string_split(t, ' — ')[:i], ' — '))::INT AS start, array_to_string(string_split(t, ' — ')[:i], ' — ') AS before FROM m)
+        SELECT doc_id, start, len(string_split(before, chr(10)))::BIGINT AS line, (length(string_split(before, chr(10))[-1]) + 1)::BIGINT AS "column",
+            coalesce(lead(start) OVER w, first_value(start) OVER w) AS next_start,
+            coalesce(lag(start) OVER w, max(start) OVER (PARTITION BY doc_id)) AS previous_start
+        FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY start)
+    """,
     "profile": _profile_sql("documents", "doc_id", True),
     "profile_conversations": _profile_sql("conversations", "conv_id, turn", False),
     "basic_cleaning": f"""
