@@ -7,7 +7,7 @@ empty; rows come back once each whatever their id; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from sparkscour.functions.native import profile_columns
 from sparkscour.functions.workers import ship
-from sparkscour.operators.engine import Cleaned, Decision, Finding, applied, changes, clean, replacement, scan
+from sparkscour.operators.engine import Cleaned, Decision, Finding, Registry, applied, changes, clean, replacement, scan
 from sparkscour.operators.spans import regions as text_regions
 from sparkscour.plans import registry
-from sparkscour.plans.rules import GROUPS, Config, Selection, config, moderate
+from sparkscour.plans.rules import GROUPS, Config, Rule, Selection, config, moderate, selected
 
 REGION = "array<struct<type: string, start: int, end: int>>"
 FINDING = "array<struct<rule_id: string, start: int, end: int, orig: string, repl: string, kind: string, suggestions: array<string>, note: string>>"
@@ -49,12 +49,18 @@ def _row(f: Finding) -> dict:
     return {**f._asdict(), "kind": f.kind, "suggestions": list(f.suggestions)}
 
 
-def findings_of(text: Column, settings: Config) -> Column:
-    """array of findings, settled, in order."""
+def _registry(more: Sequence[Rule]) -> Registry:
+    return Registry([*registry.REGISTRY.rules, *more]) if more else registry.REGISTRY
+
+
+def findings_of(text: Column, settings: Config, more: Sequence[Rule] = ()) -> Column:
+    """array of findings, settled, in order. ``more``: rules of one's own, which ``settings`` must enable; they travel with
+    the query."""
 
     @F.pandas_udf(FINDING)
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[_row(f) for f in scan(t, settings, registry.REGISTRY)] for t in texts], dtype=object)
+        known = _registry(more)
+        return pd.Series([[_row(f) for f in scan(t, settings, known)] for t in texts], dtype=object)
 
     return run(text)
 
@@ -70,10 +76,10 @@ def regions(docs: DataFrame, kind: str = "txt", id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col), F.explode(run(_text(docs, text_col))).alias("r")).select(id_col, "r.*")
 
 
-def findings(docs: DataFrame, settings: Config | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def findings(docs: DataFrame, settings: Config | None = None, id_col: str = "doc_id", text_col: str = "text", more: Sequence[Rule] = ()) -> DataFrame:
     """(id_col, rule_id, group_id, start, end, orig, repl, kind, suggestions, note), a row for each finding."""
     docs = spread(docs.select(id_col, text_col))
-    found = docs.select(F.col(id_col), F.explode(findings_of(_text(docs, text_col), settings or default_config())).alias("f"))
+    found = docs.select(F.col(id_col), F.explode(findings_of(_text(docs, text_col), settings or default_config(), more)).alias("f"))
     return found.select(id_col, "f.rule_id", F.split("f.rule_id", r"\.")[0].alias("group_id"), "f.start", "f.end", "f.orig", "f.repl", "f.kind", "f.suggestions", "f.note")
 
 
@@ -168,6 +174,20 @@ def journal(cleaned_docs: DataFrame) -> DataFrame:
     return cleaned_docs.select(F.explode("applied").alias("rule_id", "times")).groupBy("rule_id").agg(F.sum("times").alias("n"))
 
 
+def converted(docs: DataFrame, kind: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts as plain text: all conversions on, and every fix but those of style."""
+    plain = [r.id for r in registry.REGISTRY.rules if r.group == "plain"]
+    choice = selected(r.id for r in registry.REGISTRY.rules if r.group != "sty")
+    return cleaned(docs, default_config(kind, enable=plain), choice, id_col=id_col, text_col=text_col)
+
+
+def estimate(found: DataFrame, selection: Selection) -> DataFrame:
+    """(n,): how many of the findings a cleaning with ``selection`` would take."""
+    wording = [x for x in selection.rule_ids if registry.REGISTRY.by_id[x].bulk == "wording"] if selection.include_wording else []
+    fixes = [x for x in selection.rule_ids if registry.REGISTRY.by_id[x].bulk != "wording" and not x.startswith("sty.")]
+    return found.where(F.col("rule_id").isin(wording) | F.col("rule_id").isin(fixes) & (F.col("kind") != "review")).agg(F.count("*").alias("n"))
+
+
 def in_words(rules_text: str) -> Iterator[str]:
     """Ids of the rules whose id or description has all of the words."""
     wanted = rules_text.lower().split()

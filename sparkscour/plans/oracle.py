@@ -12,9 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscour.functions import labels, native
+from sparkscour.functions import diff, labels, native
 from sparkscour.operators import frames
-from sparkscour.plans.rules import Selection, selected
+from sparkscour.operators.finders import ask
+from sparkscour.plans.rules import ALL, Rule, Selection, selected
 from sparkscour.sources import decoding
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -313,7 +314,37 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.decided(docs, decisions, settings).select("doc_id", F.md5("text").alias("text_md5"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (profile, positions, nearest, decode_round_trip, normalised_lines, visible_text, decided, profile_conversations, basic_cleaning, cleaned, cleaned_spaces, cleaned_pages, findings, tally_by_rule, tally_by_group, tally_by_kind, journal, url_regions, markdown_regions, tex_regions)}
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cleaning inserted and removed, and its edits as one list."""
+    docs = _planted_docs(spark, sf_dir, ((". ", ".\u00a0"), ("\n", "\n\n\n")))
+    out = frames.cleaned(docs).withColumnRenamed("text", "after").join(docs, "doc_id")
+    out = out.select("doc_id", diff.summary_column(F.col("text"), F.col("after")).alias("s"), F.size(F.flatten("passes")).alias("n_edits"))
+    return out.select("doc_id", "s.inserted", "s.removed", "n_edits")
+
+
+def converted_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _planted_docs(spark, sf_dir, words(" **the** ", " [de](b) ", "\n# ", " `que` ", " $x^2$ "))
+    return frames.converted(docs, "md").select("doc_id", F.md5("text").alias("text_md5"), "n_passes")
+
+
+def converted_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _planted_docs(spark, sf_dir, words(r" \textbf{the} ", r" \cite{de} ", r" $\alpha$ ", "\n\\section{que}\n"))
+    return frames.converted(docs, "tex").select("doc_id", F.md5("text").alias("text_md5"), "n_passes")
+
+
+def estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.estimate(frames.findings(_planted_docs(spark, sf_dir)), frames.default_selection())
+
+
+def own_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule that is not in the package: doubled words."""
+    rule = Rule("sty.doubled", "a word twice in a row", ALL, ask(r"\b([A-Za-z]+) \1\b", "i"), "text")
+    docs = _planted_docs(spark, sf_dir, words(" the the ", " de de "))
+    found = frames.findings(docs, frames.default_config(only=["sty.doubled"]), more=[rule])
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (profile, changes, converted_markdown, converted_latex, estimated, own_rule, positions, nearest, decode_round_trip, normalised_lines, visible_text, decided, profile_conversations, basic_cleaning, cleaned, cleaned_spaces, cleaned_pages, findings, tally_by_rule, tally_by_group, tally_by_kind, journal, url_regions, markdown_regions, tex_regions)}
 QUERIES |= {q.name: q.run for q in RULE_QUERIES}
 
 

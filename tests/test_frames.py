@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkscour.functions import labels, native
+from sparkscour.functions.diff import edits, edits_column, summary, summary_column
 from sparkscour.operators import frames
-from sparkscour.operators.engine import Change, clean, scan
+from sparkscour.operators.engine import Change, applied, clean, scan
 from sparkscour.plans.registry import REGISTRY
 from sparkscour.plans.rules import config, moderate, selected
 from sparkscour.sources import decoding, word
@@ -101,6 +102,23 @@ def test_streams(spark, tmp_path, docs):
         assert spark.read.parquet(str(tmp_path / name)).count() == batch(docs).count()
 
 
+def test_differences(spark):
+    for a, b in (("", ""), ("abc", "abc"), ("a b c", "a x c"), ("aaa", "aa"), ("", "x"), ("abcabc", "abc")):
+        assert applied(a, edits(a, b)) == b
+    assert summary("one two three", "one 2 three four") == (6, 3) and summary("a" * 500_000, "b" * 400_000) is None
+    df = spark.createDataFrame([("one two", "one 2"), (None, "x")], "a string, b string")
+    got = df.select(edits_column(F.col("a"), F.col("b")).alias("e"), summary_column(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [tuple(r.s) for r in got] == [(1, 3), (1, 0)] and got[1].e[0].insert == "x"
+
+
+def test_estimate_and_conversion(spark, docs):
+    found = frames.findings(docs)
+    took = sum(sum(r.passes is not None and len(p) for p in r.passes[:1]) for r in frames.cleaned(docs).collect())
+    assert frames.estimate(found, frames.default_selection()).first().n >= took - 2
+    md = spark.createDataFrame([(1, "# T\n\n**b** [l](u) $x^2$\n")], "doc_id long, text string")
+    assert frames.converted(md, "md").first().text == "T\n\nb l (u) x²\n"
+
+
 def test_labels(spark):
     assert labels.code("a") == "U+0061" and labels.chip("\u200b") == "ZWSP" and labels.chip("\ufe0f") == "VS16" and labels.chip("a") == ""
     assert labels.visible("a\u00a0b\n") == "a[NBSP]b\n" and "ZERO WIDTH" in labels.name("\u200b")
