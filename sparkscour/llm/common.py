@@ -7,11 +7,12 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from sparkscour.functions.workers import ship
+
+__all__ = ["UNEVEN_SPACE", "discard", "scratch", "ship", "table", "written"]
 
-#: Runs of ASCII white space; everything else belongs to a word.
-SPACE = r"[\x20\x09-\x0D]"
 #: The white-space runs that differ from one space. Replacing these is the same as replacing every run.
 UNEVEN_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -20,15 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started."""
-    home = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "").split(os.pathsep)
-    if home not in known:
-        env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, known)])
-
-
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder below the cluster's shared ``spark.checkpoint.dir``; a temporary one only if that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,8 +34,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts its lineage, and survives the loss of executors."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``written`` made and that nothing reads any more."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkscour.llm.common import written
+from sparkscour.llm.common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,4 +38,5 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         seen = mark
-        now = written(_small_star(_large_star(now)).distinct(), label)
+        before, now = now, written(_small_star(_large_star(now)).distinct(), label)
+        discard(before)

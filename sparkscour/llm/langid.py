@@ -2,7 +2,7 @@
 between the languages of that family.
 
 Features are relative frequencies of hashed character n-grams of the whole text. Models are fitted on the driver from a
-bounded, seeded sample of labelled rows (``per_language`` of each language); every row is scored on the executors.
+bounded, seeded sample of labelled rows (``per_language`` of each of at most MOST_LANGUAGES languages); every row is scored on the executors.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ UNKNOWN = "und"
 SIZES = (1, 2, 3, 4)
 BITS = 16
 PER_LANGUAGE = 400
+#: Languages that are learned: those with most rows.
+MOST_LANGUAGES = 200
 #: Frequencies are small; this brings them near 1.
 SCALE = 30.0
 PENALTY, STEPS = 1e-3, 100
@@ -119,7 +121,7 @@ def remainder(id_: Column) -> Column:
 def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & (remainder(F.col("id")) != 2) & F.col("text").rlike(r"\p{L}"))
-    n = rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("of"), "n")
+    n = rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("of"), "n").orderBy(F.desc("n"), "of").limit(MOST_LANGUAGES)
     draw = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 30)) / float(1 << 30)
 
     @F.pandas_udf("struct<buckets: binary, counts: binary>")
