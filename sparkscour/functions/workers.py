@@ -1,11 +1,11 @@
-"""Python workers and this package."""
+"""Python workers, and how rows are spread over the cores."""
 
 from __future__ import annotations
 
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -15,3 +15,10 @@ def ship(spark: SparkSession) -> None:
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if home not in known:
         env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, known)])
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores, if it comes from fewer files: a scan reads a small file, or one row group, in one task, and
+    texts take much longer to work on than to move. Tables of many files, and tables from elsewhere, stay as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if 0 < len(docs._jdf.inputFiles()) < cores else docs

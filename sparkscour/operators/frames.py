@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkscour.functions.native import profile_columns
-from sparkscour.functions.workers import ship
+from sparkscour.functions.workers import ship, spread
 from sparkscour.operators.engine import Cleaned, Decision, Finding, Registry, applied, changes, clean, replacement, scan
 from sparkscour.operators.spans import regions as text_regions
 from sparkscour.plans import registry
@@ -38,13 +38,6 @@ def _text(docs: DataFrame, name: str) -> Column:
     return F.coalesce(docs[name].cast("string"), F.lit(""))
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """``docs`` over all cores, if its files are fewer: a scan reads a small file, or one row group, in one task, and rows
-    take much longer to scan than to move."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
-
-
 def _row(f: Finding) -> dict:
     return {**f._asdict(), "kind": f.kind, "suggestions": list(f.suggestions)}
 
@@ -140,12 +133,11 @@ def decided(docs: DataFrame, decisions: DataFrame, settings: Config | None = Non
 
 def profile(docs: DataFrame, settings: Config | None = None, id_col: str = "doc_id", text_col: str = "text", signals: bool = False) -> DataFrame:
     """(id_col, chars, words, sentences, paragraphs, avg_sentence, burstiness, em_dash_per_1k[, signals_per_1k])."""
+    docs = spread(docs.select(id_col, text_col))
     text = _text(docs, text_col)
     columns = profile_columns(text)
     if not signals:
         return docs.select(F.col(id_col), *columns)
-    docs = spread(docs.select(id_col, text_col))
-    text, columns = _text(docs, text_col), profile_columns(_text(docs, text_col))
     style = F.size(F.filter(findings_of(text, settings or default_config()), lambda f: f["rule_id"].startswith("sty.")))
     with_style = docs.select(F.col(id_col), *columns, style.alias("style"))
     rate = F.when(F.col("words") > 0, F.col("style") / F.col("words") * 1000).otherwise(0.0)

@@ -116,7 +116,7 @@ def _same_starts(page: Page) -> Iterable[Match]:
             for m in run:
                 yield Match(*m.span(1), None, (), f'{len(run)} sentences in a row begin with "{m[1]}".')
 
-    for m in js(r"(?:^|(?<=[.!?]\s+))([A-Z][a-z]+)\b[^.!?\n]*[.!?]", "m").finditer(page.text):
+    for m in js(r"(?:^|(?<=[.!?]\s+))([A-Z][a-z]+)\b[^.!?\n]*+[.!?]", "m").finditer(page.text):
         if page.protected(m.start()):
             continue
         if run and m[1] != run[-1][1]:
@@ -167,7 +167,8 @@ def _vague_sources(page: Page) -> Iterable[Match]:
 
 def _same_sentences(page: Page) -> Iterable[Match]:
     places: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for m in js(r"[^.!?\n]+[.!?](?=\s|$)").finditer(page.text):
+    # sentences begin after another's end, so a long line without an end is looked at once
+    for m in js(r"(?<![^.!?\n])[^.!?\n]++[.!?](?=\s|$)").finditer(page.text):
         sentence = m[0].strip()
         start = m.start() + m[0].index(sentence)
         if len(js(r"\b[\w'-]+\b").findall(sentence)) >= SAME_SENTENCE_WORDS and not page.protected(start):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkscour.functions import diff, labels, native
+from sparkscour.functions.workers import ship, spread
 from sparkscour.operators import frames
 from sparkscour.operators.finders import ask
 from sparkscour.plans.rules import ALL, Rule, Selection, selected
@@ -70,7 +71,7 @@ class RuleQuery:
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         options = {} if self.option is None else {self.rule: self.option}
         settings = frames.default_config(self.kind, only=[self.rule], options=options)
-        docs = frames.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+        docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
         docs = docs.select("doc_id", planted(F.coalesce("text", F.lit("")), self.pairs_all).alias("text"))
         found = F.col("found")
         length = F.aggregate(found, F.lit(0).cast("long"), lambda a, f: a + F.length(f["orig"]))
@@ -143,7 +144,7 @@ RULE_QUERIES = (
     RuleQuery("res.placeholder", words(" [Your Name] ", " TBD "), r"\[Your Name\]|TBD"),
     RuleQuery("res.aicite", words(" (Smith et al., 2023) ", " (Lee, 2021) "), r"\((?:Smith et al\.|Lee), (?:2023|2021)\)", kind="tex"),
     RuleQuery("res.numcite", words(" the[1][3] ", " de[2] "), r"(?:\[\d{1,3}\])+"),
-    RuleQuery("res.mathdup", words(" E=mc2E = mc^2 ", " x1x_1 ")),
+    RuleQuery("res.mathdup", (("\n", " E=mc2E = mc^2\n"), (" de la ", " x1x_1 "))),
     RuleQuery("res.wrapper", words(" the\n:::writing{a}\n", " de\n:::writing\n"), r"(?m)^:::writing\b[^\n]*\n", ""),
     RuleQuery("res.chrome", words(" the\nCopy code\n", " de\nChatGPT said:\n"), r"(?m)^(?:Copy code|ChatGPT said:)$"),
     RuleQuery("res.think", words(" <think>the</think> ", " <thinking>de</thinking>\n"), r"(?s)(?:<think>.*?</think>|<thinking>.*?</thinking>)[ \t]*\n?"),
@@ -192,7 +193,8 @@ _MIX: Pairs = ((", ", " \u2014 "), (". ", ".\u00a0"), ("th", "t\u200bh"), (" de
 
 
 def _planted_docs(spark: SparkSession, sf_dir: str, pairs: Pairs = _MIX) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", planted(F.coalesce("text", F.lit("")), pairs).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", planted(F.coalesce("text", F.lit("")), pairs).alias("text"))
 
 
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +291,7 @@ def decode_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("doc_id") % 4
     mark = F.when(kind == 1, F.unhex(F.lit("FFFE"))).when(kind == 2, F.unhex(F.lit("FEFF"))).otherwise(F.unhex(F.lit("")))
     body = F.when(kind == 1, F.encode("text", "UTF-16LE")).when(kind == 2, F.encode("text", "UTF-16BE")).otherwise(F.encode("text", "UTF-8"))
-    frames.ship(spark)
+    ship(spark)
     out = docs.select("doc_id", decoding.decoded_column(F.concat(mark, body)).alias("d"))
     return out.select("doc_id", F.md5("d.text").alias("text_md5"), "d.encoding")
 
@@ -300,7 +302,7 @@ def normalised_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames.ship(spark)
+    ship(spark)
     docs = _planted_docs(spark, sf_dir, ((". ", ".\u00a0"), ("th", "t\u200bh")))
     return docs.select("doc_id", F.md5(labels.visible_column(F.col("text"))).alias("text_md5"))
 
