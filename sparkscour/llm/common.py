@@ -9,9 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkscour.functions.workers import ship
+from sparkscour.functions.workers import ship, spread
 
-__all__ = ["UNEVEN_SPACE", "discard", "scratch", "ship", "table", "written"]
+__all__ = ["UNEVEN_SPACE", "discard", "scratch", "ship", "spread", "table", "written"]
 
 #: The white-space runs that differ from one space. Replacing these is the same as replacing every run.
 UNEVEN_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"

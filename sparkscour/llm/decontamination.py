@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkscour.llm.common import written
+from sparkscour.llm.common import spread, written
 
 WINDOW = 10
 SHINGLE = 5
@@ -68,7 +68,7 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     wins = windows.select("win", "k").distinct()
     sizes = [r.k for r in wins.select("k").distinct().collect()]  # at most SHINGLE
     text = F.col(text_col).cast("string")
-    split = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), words(text).alias("w"))
+    split = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), words(text).alias("w"))
     found = None
     for k in sorted(sizes):
         mine = placed_shingles(wins.where(F.col("k") == k), "win", k).groupBy("win", "gram").agg(F.min("p").alias("at"))

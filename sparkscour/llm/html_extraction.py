@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkscour.llm.common import ship
+from sparkscour.llm.common import ship, spread
 from sparkscour.llm.html_pages import labelled_pages
 from sparkscour.llm.html_tree import Tree
 
@@ -179,5 +179,5 @@ def extract(pages: DataFrame, html_col: str = "html", model: Model | None = None
     come back as often as they are there. An empty table gives no rows.
     """
     ship(pages.sparkSession)
-    rows = pages.select(*keep, extracted(F.col(html_col), model or built_in()).alias("text"))
+    rows = spread(pages.select(*keep, html_col)).select(*keep, extracted(F.col(html_col), model or built_in()).alias("text"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))

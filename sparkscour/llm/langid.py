@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscour.llm.common import ship
+from sparkscour.llm.common import ship, spread
 from sparkscour.llm.linear import Rows, fit, sigmoid
 from sparkscour.llm.ngrams import buckets, counted, letters
 
@@ -161,6 +161,7 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without id are neither learned from nor held out. Repeated rows come back as often as they are there. An empty table
     gives no rows.
     """
+    docs = spread(docs.select(id_col, text_col, lang_col))
     model = fitted(docs, id_col, text_col, lang_col)
     found = docs.select(F.col(id_col), F.coalesce(remainder(F.col(id_col)) == 2, F.lit(False)).alias("held_out"), predicted(docs.sparkSession, model, F.col(text_col)).alias("f"))
     return found.select(id_col, "held_out", "f.lang_pred", "f.score")
@@ -168,6 +169,7 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows whose language is ``und``; a row without a language gets the predicted one."""
+    docs = spread(docs)
     model = fitted(docs, id_col, text_col, lang_col)
     rows = docs.select(F.struct("*").alias("row"), predicted(docs.sparkSession, model, F.col(text_col)).alias("f"))
     rows = rows.where(F.col("f.lang_pred") != UNKNOWN)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkscour.llm.common import ship, written
+from sparkscour.llm.common import ship, spread, written
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR = 3
@@ -165,7 +165,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    rows = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
     hits = written(rows.select("text", "mark", _found(F.col("text")).alias("f")).select("mark", "f.base", "f.near").where(F.size("base") > 0).groupBy("mark").agg(F.first("base").alias("base"), F.first("near").alias("near")), "pii-hits")
     told = written(disclosing(rows, hits), "pii-disclosing")
     near = hits.select("mark", F.explode("near").alias("n")).select("mark", "n.term", "n.entity", "n.start", "n.end")

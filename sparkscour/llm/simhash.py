@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkscour.llm.common import ship, written
+from sparkscour.llm.common import ship, spread, written
 from sparkscour.llm.components import components
 from sparkscour.llm.simhash_kernel import SEED, SHINGLE_WORDS, simhash
 
@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives no rows.
     """
     ship(docs.sparkSession)
-    own = written(docs.select(F.col(id_col), fingerprint(F.col(text_col)).alias("fp")), "simhash-fp")
+    own = written(spread(docs.select(id_col, text_col)).select(F.col(id_col), fingerprint(F.col(text_col)).alias("fp")), "simhash-fp")
     least = written(own.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
     named = components(links(least.select("fp")), "simhash-components").withColumnRenamed("node", "fp")
     placed = least.join(named, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component_fp"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscour.llm.common import ship
+from sparkscour.llm.common import ship, spread
 from sparkscour.llm.langid import remainder
 from sparkscour.llm.linear import Rows, fit, sigmoid
 from sparkscour.llm.ngrams import buckets, letters
@@ -93,6 +93,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Empty and null texts get the score of the bias. Rows without id are not held out and not learned from. Repeated rows
     come back as often as they are there. Empty tables give no rows or the score of no label at all.
     """
+    docs = spread(docs.select(id_col, text_col))
     model = fitted(docs, labels, id_col, text_col)
     found = docs.select(F.col(id_col), F.coalesce(remainder(F.col(id_col)) == 2, F.lit(False)).alias("held_out"), score(docs.sparkSession, model, F.col(text_col)).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
