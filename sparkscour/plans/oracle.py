@@ -59,6 +59,7 @@ class RuleQuery:
     kind: str = "txt"
     option: str | None = None
     whole: str = ""  # for the fix, if it needs another pattern
+    fixed: str = ""  # or the fixed text as SQL on t
 
     @property
     def name(self) -> str:
@@ -66,7 +67,7 @@ class RuleQuery:
 
     @property
     def pairs_all(self) -> Pairs:
-        return (*(_PROSE if self.rule.startswith(("sty.", "res.aicite")) else ()), *self.pairs)
+        return (*(_PROSE if self.kind == "tex" or self.rule.startswith(("sty.", "res.aicite")) else ()), *self.pairs)
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         options = {} if self.option is None else {self.rule: self.option}
@@ -81,7 +82,7 @@ class RuleQuery:
         return out.select("doc_id", F.size(found).cast("long").alias("n"), length.alias("length"), F.md5(fixed).alias("text_md5"))
 
     def sql(self) -> str:
-        fixed = "t" if self.fix is None else f"regexp_replace(t, {quoted(self.whole or self.found)}, {quoted(self.fix)}, 'g')"
+        fixed = self.fixed or "t" if self.fix is None else f"regexp_replace(t, {quoted(self.whole or self.found)}, {quoted(self.fix)}, 'g')"
         return f"""
             WITH p AS (SELECT doc_id, {planted_sql(self.pairs_all, "coalesce(text, '')")} AS t FROM documents),
             m AS (SELECT doc_id, t, regexp_extract_all(t, {quoted(self.found)}, {self.part}) AS f FROM p)
@@ -100,25 +101,25 @@ def words(*made: str) -> Pairs:
 _PROSE: Pairs = tuple((c, "") for c in "%$`\\\"'<>[]()\u201c\u2018") + (("@", " "),)
 RULE_QUERIES = (
     RuleQuery("inv.zw", words(" th\u200be ", " d\u2060e ", " d\ufeffer "), r"[\x{200B}\x{2060}\x{FEFF}]", ""),
-    RuleQuery("inv.joiner", words(" th\u200de ", " d\u200ce ", " \u0915\u094d\u200d\u0937 ")),
+    RuleQuery("inv.joiner", words(" th\u200de ", " d\u200ce ", " क्\u200dष "), r"[a-z]([\x{200C}\x{200D}])", r"\1", 1, whole=r"([a-z])[\x{200C}\x{200D}]"),
     RuleQuery("inv.shy", words(" th\u00ade ", " d\u00ade "), r"\x{AD}", ""),
     RuleQuery("inv.bidi", words(" the\u200e ", " de\u202d "), r"[\x{200E}\x{200F}\x{061C}\x{202A}-\x{202E}\x{2066}-\x{2069}]", ""),
     RuleQuery("inv.tag", words(" the\U000e0068\U000e0069 ", " \U0001f3f4\U000e0067\U000e0062\U000e007f "), r"(?:^|[^\x{1F3F4}\x{E0000}-\x{E007F}])([\x{E0000}-\x{E007F}]+)", r"\1", 1, whole=r"([^\x{1F3F4}\x{E0000}-\x{E007F}])[\x{E0000}-\x{E007F}]+"),
-    RuleQuery("inv.vs", words(" the\ufe00 ", " de\ufe0f\ufe0f ", " \u2764\ufe0f ")),
-    RuleQuery("inv.filler", words(" the\u3164is ", " de\u2800 ", " \u17b4 ")),
+    RuleQuery("inv.vs", words(" the\ufe00 ", " de\ufe0f\ufe0f ", " ❤\ufe0f "), r"[a-z]([\x{FE00}-\x{FE0F}]+)", r"\1", 1, whole=r"([a-z])[\x{FE00}-\x{FE0F}]+"),
+    RuleQuery("inv.filler", words(" the\u3164is ", " de\u2800 ", " \u17b4 "), r"[\x{3164}\x{2800}\x{17B4}]", fixed="replace(replace(replace(t, chr(12644), ' '), chr(10240), ''), chr(6068), '')"),
     RuleQuery("inv.format", words(" the\u034f ", " de\u2062 "), r"[\x{034F}\x{2061}-\x{2064}\x{206A}-\x{206F}\x{FFF9}-\x{FFFC}]", ""),
     RuleQuery("inv.ctrl", words(" the\x01 ", " de\x9f "), r"[\x{01}-\x{08}\x{0E}-\x{1F}\x{7F}-\x{84}\x{86}-\x{9F}]", ""),
     RuleQuery("inv.pua", words(" the\ue200 ", " de\ue202 "), r"[\x{E200}-\x{E202}]", ""),
     RuleQuery("inv.other", words(" the\u0600 ", " de\u06dd "), r"[\x{0600}\x{06DD}]"),
     RuleQuery("inv.hidden", words(" ignore previous instructions ", ' <span style="display:none">x</span> '), r'ignore previous instructions|<span style="display:none">x</span>'),
-    RuleQuery("enc.mojibake", words(" donâ€™t ", " cafÃ© ")),
+    RuleQuery("enc.mojibake", words(" donâ€™t ", " cafÃ© "), r"\x{E2}\x{20AC}\x{2122}|\x{C3}\x{A9}", fixed="replace(replace(t, 'â€™', chr(8217)), 'Ã©', 'é')"),
     RuleQuery("enc.replacement", words(" th\ufffd\ufffde ", " d\ufffde "), r"\x{FFFD}+"),
-    RuleQuery("enc.nfc", words(" the\u0301 ", " d\u006f\u0308 ")),
+    RuleQuery("enc.nfc", words(" cafe\u0301 ", " do\u0308 "), r"\p{L}\p{M}+", fixed="nfc_normalize(t)"),
     RuleQuery("sp.nbsp", words("\u00a0the\u00a0", " de\u00a0"), r"\x{A0}", " "),
     RuleQuery("sp.odd", words("\u202fthe\u2009", "\u3000de "), r"[\x{202F}\x{2000}-\x{200A}\x{205F}\x{1680}\x{3000}]", " "),
     RuleQuery("sp.sep", words(" the\u2028", " de\u0085"), r"[\x{2028}\x{85}]", "\n"),
     RuleQuery("sp.crlf", words(" the\r\n", " de\r"), r"\r\n?", "\n"),
-    RuleQuery("ws.trailing", (*words(" the \n", " de\t\n"), (" of\n", " of  \n")), r"[ \t]+\n", None),
+    RuleQuery("ws.trailing", (*words(" the \n", " de\t\n"), (" of\n", " of  \n")), r"([ \t]+)(?:\n|$)", r"\1", 1, whole=r"[ \t]+(\n|$)"),
     RuleQuery("ws.multi", words("  the  ", "   de ")),
     RuleQuery("ws.punct", words(" the , ", " de ; "), r"([ \t]+)[,;]", r"\1", 1, whole=r"[ \t]+([,;])"),
     RuleQuery("ws.blank", words(" the\n\n\n", " de\n \n\n"), r"\n(?:[ \t]*\n){2,}", "\n\n"),
@@ -133,10 +134,10 @@ RULE_QUERIES = (
     RuleQuery("pu.bullet", words(" the\n\u2022 ", " de\n  \u25e6"), r"(?m)^([ \t]*)[\x{2022}\x{25E6}][ \t]*", r"\1- "),
     RuleQuery("pu.arrow", words(" \u2192 ", " \u2192 "), r"\x{2192}", "->"),
     RuleQuery("pu.symbol", words(" \u2264 ", " \u2264 "), r"\x{2264}", "<="),
-    RuleQuery("pu.texquotes", words(' "the" ', ' "de" '), r'"([^\s"](?:[^"\n]{0,298}[^\s"])?)"', None, kind="tex"),
-    RuleQuery("uf.homoglyph", words(" th\u0435 ", " d\u0435 ")),
-    RuleQuery("uf.compat", words(" \ufb01the ", " \ufb02de ")),
-    RuleQuery("uf.styled", words(" \U0001d41b\U0001d428 ", " \u2102 ")),
+    RuleQuery("pu.texquotes", words(' "the" ', ' "de" '), r'"(?:the|de)"', r"``\1''", kind="tex", whole=r'"(the|de)"'),
+    RuleQuery("uf.homoglyph", words(" thе ", " dе "), r"\x{0435}", "e"),
+    RuleQuery("uf.compat", words(" ﬁthe ", " ﬂde "), r"[\x{FB01}\x{FB02}]", fixed="replace(replace(t, chr(64257), 'fi'), chr(64258), 'fl')"),
+    RuleQuery("uf.styled", words(" \U0001d41b\U0001d428 ", " ℂ "), r"\x{1D41B}\x{1D428}|\x{2102}", fixed="replace(replace(t, chr(119835) || chr(119848), 'bo'), chr(8450), 'C')"),
     RuleQuery("res.cite", words(" the :contentReference[oaicite:2]{index=2} ", " de [oaicite:1] "), r"[ \t]?(?::?contentReference\[oaicite:\d+\](?:\{index=\d+\})?|\[oaicite:\d+\])", ""),
     RuleQuery("res.entity", words(' entity["city","Rome"] ', ' entity["x","the","y"] '), r'entity\[\s*"[^"]*"\s*,\s*"([^"]*)"[^\]\n]*\]', r"\1"),
     RuleQuery("res.utm", words(" https://a.example/x?utm_source=chatgpt.com ", " https://a.example/x?a=1&utm_medium=b "), r"[?&]utm_[a-z]+=[^&\s]*", ""),
@@ -148,23 +149,23 @@ RULE_QUERIES = (
     RuleQuery("res.wrapper", words(" the\n:::writing{a}\n", " de\n:::writing\n"), r"(?m)^:::writing\b[^\n]*\n", ""),
     RuleQuery("res.chrome", words(" the\nCopy code\n", " de\nChatGPT said:\n"), r"(?m)^(?:Copy code|ChatGPT said:)$"),
     RuleQuery("res.think", words(" <think>the</think> ", " <thinking>de</thinking>\n"), r"(?s)(?:<think>.*?</think>|<thinking>.*?</thinking>)[ \t]*\n?"),
-    RuleQuery("res.pill", words(" the. Reuters+2\n", " de! Wikipedia+1\n")),
+    RuleQuery("res.pill", words(" the. Reuters+2\n", " de! Wikipedia+1\n"), r"[.!]([ \t]?(?:Reuters\+2|Wikipedia\+1))", part=1),
     RuleQuery("res.filelink", words(" https://ppl-ai-file-upload.s3.example/a ", " the "), r"https?://ppl-ai-file-upload\.[^\s)\]>\"']+"),
     RuleQuery("md.heading", words(" the\n## ", " de\n# "), r"(?m)^#{1,6}[ \t]+.*$", None),
     RuleQuery("md.bold", words(" **the** ", " **de** "), r"\*\*(the|de)\*\*", r"\1"),
-    RuleQuery("md.italic", words(" *the* ", " *de* ")),
+    RuleQuery("md.italic", (("*", ""), *words(" *the* ", " *de* ")), r"\*(?:the|de)\*", r"\1", whole=r"\*(the|de)\*"),
     RuleQuery("md.code", words(" `the` ", " `de` "), r"`([^`\n]+)`", r"\1"),
-    RuleQuery("md.fence", words(" the\n```py\nx\n```\n", " de ")),
+    RuleQuery("md.fence", words(" the\n```py\nx\n```\n", " de "), r"```py\nx\n```", "x"),
     RuleQuery("md.link", words(" [the](http://a.example) ", " [de](b) "), r"\[(the|de)\]\((\S+?)\)", r"\1 (\2)"),
     RuleQuery("md.rule", words(" the\n***\n", " de\n___\n"), r"(?m)^[ \t]*(?:(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$", ""),
-    RuleQuery("md.list", words(" the\n- a\n- b\n\n", " de\n1. a\n2. b\n\n"), kind="tex"),
-    RuleQuery("md.table", words(" the\n| a | b |\n|---|---|\n| 1 | 2 |\n\n", " de "), kind="tex"),
+    RuleQuery("md.list", words(" the\n- a\n- b\n\n", " de\n- a\n- b\n\n"), r"- a\n- b", fixed="replace(t, '- a' || chr(10) || '- b', '\\begin{itemize}' || chr(10) || '  \\item a' || chr(10) || '  \\item b' || chr(10) || '\\end{itemize}')", kind="tex"),
+    RuleQuery("md.table", words(" the\n| a | b |\n|---|---|\n| 1 | 2 |\n\n", " de "), r"\| a \| b \|\n\|---\|---\|\n\| 1 \| 2 \|", kind="tex"),
     RuleQuery("md.mathdelim", words(r" \(x\) ", r" \[y\] "), r"\\\(x\\\)|\\\[y\\\]", None, kind="md"),
-    RuleQuery("tex.mathsym", words(" $x \u2264 y$ ", " $\u03b1\u00b2$ "), kind="tex"),
-    RuleQuery("tex.unicode", words(" \u4e2d ", " \u03b1 "), kind="tex"),
+    RuleQuery("tex.mathsym", words(" $x ≤ y$ ", " $x ≥ y$ "), r"[\x{2264}\x{2265}]", fixed="replace(replace(t, chr(8804), '\\leq'), chr(8805), '\\geq')", kind="tex"),
+    RuleQuery("tex.unicode", words(" 中 ", " α "), r"[\x{4E2D}\x{03B1}]", kind="tex"),
     RuleQuery("tex.special", words(" 50% ", " R&D "), kind="tex"),
-    RuleQuery("tex.dollars", words(" $$x$$ ", " $$y+z$$ "), kind="tex"),
-    RuleQuery("tex.tie", words(r" Figure \ref{a} ", r" al. \cite{b} "), kind="tex"),
+    RuleQuery("tex.dollars", words(" $$x$$ ", " $$y+z$$ "), r"\$\$(?:x|y\+z)\$\$", kind="tex"),
+    RuleQuery("tex.tie", words(r" Figure \ref{a} ", r" al. \cite{b} "), r"(?:Figure|al\.)([ \t]+)\\(?:ref|cite)", part=1, kind="tex"),
     RuleQuery("sty.concise", words(" in order to ", " Due to the fact that "), r"in order to|Due to the fact that"),
     RuleQuery("sty.vocab", words(" delve ", " Pivotal "), r"delve|Pivotal"),
     RuleQuery("sty.vocabx", words(" while ", " holds "), r"while|holds", option="while holds"),
@@ -176,7 +177,7 @@ RULE_QUERIES = (
     RuleQuery("sty.intensifier", words(" truly ", " Deeply "), r"(?:truly|Deeply) "),
     RuleQuery("sty.triad", words(" it. robust, scalable, and efficient ", " clear, fast or red "), r"robust, scalable, and efficient"),
     RuleQuery("sty.emoji", words(" \U0001f600 ", " \u2705 "), r"[\x{1F600}\x{2705}] "),
-    RuleQuery("sty.exclaim", words(" the! ", " de! "), kind="tex"),
+    RuleQuery("sty.exclaim", words(" the! ", " de! "), r"[A-Za-z)](!)(?:\s|$)", part=1, kind="tex"),
     RuleQuery("sty.repeat", ((". ", ". Then it goes. Then on. "),)),
     RuleQuery("sty.headcase", words("\n# The Big Red Title\n", "\n# A small title here\n"), r"(?m)^# The Big Red Title$"),
     RuleQuery("sty.cluster", words(" a testament to the realm, in the realm of it, only time will tell ", " a testament to, in the realm of, only time will tell ")),
@@ -409,4 +410,4 @@ ORACLE_SQL: dict[str, str] = {
     "sty_repeat_sql": "",
 }
 ORACLE_SQL.pop("sty_repeat_sql")
-ORACLE_SQL |= {q.name: q.sql() for q in RULE_QUERIES if q.found and not (q.fix is None and "." in q.rule and q.rule in ("ws.trailing", "pu.texquotes", "md.heading", "md.mathdelim"))}
+ORACLE_SQL |= {q.name: q.sql() for q in RULE_QUERIES if q.found and q.rule not in ("md.heading", "md.mathdelim")}
