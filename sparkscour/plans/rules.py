@@ -15,7 +15,7 @@ PRESETS = ("latex", "markdown", "plain", "keep")
 GROUPS = {
     "inv": "Invisible characters",
     "enc": "Encoding damage",
-    "res": "Chat residue",
+    "res": "Chat leftovers",
     "sp": "Spaces and line breaks",
     "pu": "Dashes, quotes and symbols",
     "uf": "Lookalikes and styled letters",
