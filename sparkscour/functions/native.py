@@ -76,3 +76,31 @@ def basic_cleaning(text: Column) -> Column:
     for pattern, put in BASIC:
         text = F.regexp_replace(text, pattern, put)
     return text
+
+
+# Rules for plain text that need no parser and no Unicode tables beyond Java's: pattern, and what stays (None: a reader decides).
+_CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\x{3000}-\x{303F}\x{FF61}-\x{FF9F}"
+RULES: dict[str, tuple[str, str | None]] = {
+    "inv.zw": (r"[\x{200B}\x{2060}]|(?<=[\s\S])\x{FEFF}", ""),
+    "inv.shy": (r"\x{AD}", ""),
+    "inv.format": (r"[\x{34F}\x{2061}-\x{2064}\x{206A}-\x{206F}\x{FFF9}-\x{FFFC}\x{1D173}-\x{1D17A}]|(?<!\p{IsMongolian})[\x{180B}-\x{180F}]", ""),
+    "enc.replacement": (r"\x{FFFD}+", None),
+    "sp.nbsp": (r"\x{A0}", " "),
+    "sp.odd": (rf"[\x{{202F}}\x{{2000}}-\x{{200A}}\x{{205F}}\x{{1680}}]|(?<![{_CJK}])\x{{3000}}(?![{_CJK}])", " "),
+    "sp.crlf": (r"\r\n?", "\n"),
+    "ws.blank": (r"\n(?:[ \t]*\n){2,}", "\n\n"),
+    "res.entity": (r'\x{E200}?entity\x{E202}?\[[\s]*"[^"]*"\s*,\s*"([^"]*)"[^\]\n]*\]\x{E201}?', "$1"),
+    "res.filelink": (r"https?:\/\/ppl-ai-file-upload\.[^\s)\]>\"']+", None),
+    "res.think": (r"<(think|thinking)>[\s\S]*?</\1>[ \t]*\n?", None),
+}
+
+
+def rule_count(text: Column, rule: str) -> Column:
+    """How often a rule of ``RULES`` matches, as if it ran alone."""
+    return F.regexp_count(text, F.lit(RULES[rule][0])).cast("long")
+
+
+def rule_fixed(text: Column, rule: str) -> Column:
+    """``text`` after one pass of a rule of ``RULES``; as it is where the rule asks."""
+    pattern, put = RULES[rule]
+    return text if put is None else F.regexp_replace(text, pattern, put)

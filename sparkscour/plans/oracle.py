@@ -347,7 +347,19 @@ def own_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (profile, changes, converted_markdown, converted_latex, estimated, own_rule, positions, nearest, decode_round_trip, normalised_lines, visible_text, decided, profile_conversations, basic_cleaning, cleaned, cleaned_spaces, cleaned_pages, findings, tally_by_rule, tally_by_group, tally_by_kind, journal, url_regions, markdown_regions, tex_regions)}
+_ODD: Pairs = ((", ", ",\u200b"), (". ", ".\u00a0"), ("th", "t\u00adh"), (" de ", "\u2009de "), ("\n", "\r\n\n\n"))
+_ODD_SQL = {"inv.zw": r"\x{200B}", "inv.shy": r"\x{AD}", "sp.nbsp": r"\x{A0}", "sp.odd": r"\x{2009}", "sp.crlf": r"\r\n?"}
+
+
+def native_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of rules by built-in functions alone: one projection, partial sums, one row for each rule."""
+    docs = _planted_docs(spark, sf_dir, _ODD)
+    sums = docs.select(*(native.rule_count(F.col("text"), r).alias(r) for r in _ODD_SQL)).agg(*(F.sum(F.col(f"`{r}`")).alias(r) for r in _ODD_SQL))
+    pairs = F.explode(F.array(*(F.struct(F.lit(r).alias("rule_id"), F.col(f"`{r}`").alias("n")) for r in _ODD_SQL)))
+    return sums.select(pairs.alias("p")).select("p.*")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (native_tally, profile, changes, converted_markdown, converted_latex, estimated, own_rule, positions, nearest, decode_round_trip, normalised_lines, visible_text, decided, profile_conversations, basic_cleaning, cleaned, cleaned_spaces, cleaned_pages, findings, tally_by_rule, tally_by_group, tally_by_kind, journal, url_regions, markdown_regions, tex_regions)}
 QUERIES |= {q.name: q.run for q in RULE_QUERIES}
 
 
@@ -374,6 +386,8 @@ _BASIC_SQL = r"""
     regexp_replace(regexp_replace(regexp_replace(replace(replace(t, chr(8203), ''), chr(160), ' '), '[ \t]+(\n)', '\1', 'g'), '[ \t]+$', ''), '\n(?:[ \t]*\n){2,}', chr(10) || chr(10), 'g')
 """
 ORACLE_SQL: dict[str, str] = {
+    "native_tally": f"WITH p AS (SELECT {planted_sql(_ODD, "coalesce(text, '')")} AS t FROM documents) "
+    + " UNION ALL ".join(f"SELECT {quoted(r)} AS rule_id, sum(len(regexp_extract_all(t, {quoted(p)})))::BIGINT AS n FROM p" for r, p in _ODD_SQL.items()),
     "decode_round_trip": """
         SELECT doc_id, md5(coalesce(text, '')) AS text_md5, CASE doc_id % 4 WHEN 1 THEN 'utf-16le' WHEN 2 THEN 'utf-16be' ELSE 'utf-8' END AS encoding FROM documents
     """,

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from sparkscour.functions import labels, native
 from sparkscour.functions.diff import edits, edits_column, summary, summary_column
 from sparkscour.operators import frames
-from sparkscour.operators.engine import Change, applied, clean, scan
+from sparkscour.operators.engine import Change, applied, changes, clean, scan
+from sparkscour.plans import oracle
 from sparkscour.plans.registry import REGISTRY
 from sparkscour.plans.rules import config, moderate, selected
 from sparkscour.sources import decoding, word
@@ -93,6 +94,20 @@ def test_basic_cleaning_equals_the_rules(spark, data):
     assert native_text == engine_text
 
 
+@pytest.mark.parametrize("rule", sorted(native.RULES))
+def test_native_rules_equal_the_engine(spark, data, rule):
+    pairs = next(q for q in oracle.RULE_QUERIES if q.rule == rule).pairs
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(40)
+    docs = docs.select("doc_id", oracle.planted(F.col("text"), pairs).alias("text"))
+    one = frames.default_config(only=[rule])
+    found = {r.doc_id: r.n for r in frames.tally(frames.findings(docs, one), "doc_id").collect()}
+    rows = docs.select("doc_id", native.rule_count(F.col("text"), rule).alias("n"), native.rule_fixed(F.col("text"), rule).alias("t"), "text").collect()
+    assert {r.doc_id: r.n for r in rows if r.n} == found and found
+    for r in rows:
+        edits_ = changes(r.text, scan(r.text, one, REGISTRY), lambda f: f.repl)
+        assert r.t == applied(r.text, edits_)
+
+
 def test_streams(spark, tmp_path, docs):
     source = str(tmp_path / "in")
     docs.select("doc_id", "text").repartition(3).write.parquet(source)
