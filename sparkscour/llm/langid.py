@@ -151,7 +151,7 @@ def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
         found = [shared.value.predict(x) for x in texts]
         return pd.DataFrame({"lang_pred": [a for a, _ in found], "score": [b for _, b in found]})
 
-    return run(text.cast("string"))
+    return run.asNondeterministic()(text.cast("string"))  # so that a filter on it doesn't run it again
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
