@@ -128,7 +128,7 @@ def _found(text: Column) -> Column:
             near.append([{"term": t, "start": a, "end": b, "entity": entity(text, spans[i])} for t, a, b, i in neighbours(text, spans)] if spans else [])
         return pd.DataFrame({"base": base, "near": near})
 
-    return run(text)
+    return run.asNondeterministic()(text)  # so that a filter on it doesn't run it again
 
 
 def _documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
