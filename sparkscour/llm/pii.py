@@ -4,9 +4,9 @@ Base spans are e-mail addresses, IP addresses, payment cards and phone numbers.
 term near an entity (at most NEAR words and REACH characters away), the corpus says how much the term reveals: with n documents that hold the
 entity, m that hold the term and k that hold both near each other, the pointwise mutual information
 log2(k N / (n m)) reaches the information content of the entity, log2(N / n), where every document with the term has the
-entity. A term discloses an entity if this share of the information content is at least DISCLOSURE and the two were seen
-together in at least SUPPORT documents with different texts. Its occurrences near an entity become spans of kind "term":
-they are generalised to their kind of word by ``sanitised``, base spans to their kind.
+entity. A term discloses an entity if this share of the information content is at least DISCLOSURE, however few documents
+hold the two. Its occurrences near an entity become spans of kind "term": they are generalised to their kind of word by
+``sanitised``, base spans to their kind.
 
 Counts cover all documents. Copies of a text count once.
 """
@@ -27,12 +27,13 @@ from sparkscour.llm.common import ship, spread, written
 KINDS = ("email", "ip", "card", "phone")
 NEAR = 3
 REACH = 200
-SUPPORT = 3
 DISCLOSURE = 0.9
 #: Shorter words tell nothing of a person.
 LEAST_TERM = 4
 #: Most disclosing terms that are broadcast; beyond that the join shuffles.
 MAX_BROADCAST = 200_000
+#: Most marks (a number each) of texts with copies that are broadcast.
+MAX_COPIES = 2_000_000
 
 _BEFORE_AT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -135,13 +136,17 @@ def _documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, m): of different texts, how many hold each of ``terms``."""
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+(?:['’-][\p{L}]+)*"), F.lit(0)))).alias("term")
     terms = F.broadcast(terms) if terms.count() <= MAX_BROADCAST else terms
-    return docs.select("mark", word).join(terms, "term").groupBy("term", "mark").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("m"))
+    copies = written(docs.groupBy("mark").count().where("count > 1").select(F.col("mark").alias("copy")), "pii-copies")
+    copies = F.broadcast(copies) if copies.count() <= MAX_COPIES else copies
+    # only a text with copies is told apart by its mark, so the shuffle takes a number for each term and task, not a row for each text
+    found = docs.join(copies, docs["mark"] == copies["copy"], "left").select("copy", word).join(terms, "term")
+    return found.groupBy("term", "copy").agg(F.count("*").alias("rows")).groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("rows")).otherwise(1)).alias("m"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(term, entity, share) of the terms that disclose an entity. ``docs``: mark, text; ``found``: mark, near."""
     near = written(found.select("mark", F.explode("near").alias("n")).select("mark", "n.term", "n.entity").distinct(), "pii-near")
-    pairs = near.groupBy("term", "entity").agg(F.count("*").alias("k")).where(F.col("k") >= SUPPORT)
+    pairs = near.groupBy("term", "entity").agg(F.count("*").alias("k"))
     n = near.select("entity", "mark").distinct().groupBy("entity").agg(F.count("*").alias("n"))
     seen = near.select("term", "mark").distinct().groupBy("term").agg(F.count("*").alias("seen"))
     total = F.lit(float(docs.agg(F.count_distinct("mark")).first()[0] or 1))

@@ -59,6 +59,13 @@ def test_terms_that_disclose(spark):
     assert "<email>" in clean.text and "don@" not in clean.text
 
 
+def test_terms_of_an_entity_in_one_text(spark):
+    docs = [(1, "Zenobia wrote to zen@a.org about common words")] + [(10 + i, f"plain {i} wrote about common words") for i in range(200)]
+    found = {r.doc_id: r for r in pii.spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [found[1].text[s.start : s.end] for s in found[1].spans if s.kind == "term"] == ["Zenobia"]
+    assert not any(found[i].spans for i, _ in docs[1:])
+
+
 def test_pii_of_odd_rows(odd_docs, no_docs):
     assert all(r.spans == [] for r in pii.spans(odd_docs).collect())
     assert pii.spans(odd_docs).count() == 12 and pii.spans(no_docs).collect() == []
