@@ -5,8 +5,8 @@ term near an entity (at most NEAR words and REACH characters away), the corpus s
 entity, m that hold the term and k that hold both near each other, the pointwise mutual information
 log2(k N / (n m)) reaches the information content of the entity, log2(N / n), where every document with the term has the
 entity. A term discloses an entity if this share of the information content is at least DISCLOSURE, however few documents
-hold the two. Its occurrences near an entity become spans of kind "term": they are generalised to their kind of word by
-``sanitised``, base spans to their kind.
+hold the two. All its occurrences in documents with the entity become spans of kind "term": they are generalised to their
+kind of word by ``sanitised``, base spans to their kind. With ``near=None`` the whole document is near.
 
 Counts cover all documents. Copies of a text count once.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import pandas as pd
@@ -91,25 +91,35 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return [(kind, a, b) for kind in KINDS for a, b in FINDERS[kind](text or "")]
 
 
-def neighbours(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int]]:
-    """(term, start, end, index of the span) of the words at most NEAR words and REACH characters before or after a span.
+def _untouched(spans: list[tuple[str, int, int]]) -> Callable[[re.Match], bool]:
+    """Whether a word is long enough for a term and touches none of the spans."""
+    firsts = sorted(a for _, a, _ in spans)
+    lasts = sorted(b for _, _, b in spans)
+    # spans that begin before its end less those over by its start
+    return lambda m: m.end() - m.start() >= LEAST_TERM and bisect_left(firsts, m.end()) == bisect_right(lasts, m.start())
+
+
+def neighbours(text: str, spans: list[tuple[str, int, int]], near: int = NEAR) -> list[tuple[str, int, int, int]]:
+    """(term, start, end, index of the span) of the words at most ``near`` words and REACH characters before or after a span.
 
     A word that touches any span, or that the reach cuts, is no term.
     """
-    firsts = sorted(a for _, a, _ in spans)
-    lasts = sorted(b for _, _, b in spans)
+    free = _untouched(spans)
     out = []
     for i, (_, a, b) in enumerate(spans):
         low, high = max(0, a - REACH), min(len(text), b + REACH)
-        before = [m for m in _WORD.finditer(text, low, a) if m.start() > low or not low][-NEAR:]
-        after = [m for m in islice(_WORD.finditer(text, b, high), NEAR) if m.end() < high or high == len(text)]
-        for m in before + after:
-            touched = bisect_left(firsts, m.end()) - bisect_right(lasts, m.start())  # spans that begin before its end less those over by its start
-            if m.end() - m.start() >= LEAST_TERM and not touched:
-                out.append((m[0].lower(), m.start(), m.end(), i))
+        before = [m for m in _WORD.finditer(text, low, a) if m.start() > low or not low][-near:]
+        after = [m for m in islice(_WORD.finditer(text, b, high), near) if m.end() < high or high == len(text)]
+        out += [(m[0].lower(), m.start(), m.end(), i) for m in before + after if free(m)]
     return out
 
 
+def words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of every word of a text that touches no span."""
+    free = _untouched(spans)
+    return [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text) if free(m)]
+
+
 def entity(text: str, span: tuple[str, int, int]) -> str:
     """The value that a span names: lower-cased, numbers without separators."""
     kind, a, b = span
@@ -117,21 +127,38 @@ def entity(text: str, span: tuple[str, int, int]) -> str:
     return f"{kind}:{value if kind in ('email', 'ip') else _NO_DIGIT.sub('', value)}"
 
 
-def _found(text: Column) -> Column:
-    """Base spans of a text and the words around them."""
+def _found(text: Column, near: int | None) -> Column:
+    """Base spans of a text, its entities, the words that may be terms, and the pairs of them that are near each other (no pairs if all are)."""
 
-    @F.pandas_udf("struct<base: array<struct<kind: string, start: long, end: long>>, near: array<struct<term: string, start: long, end: long, entity: string>>>")
+    @F.pandas_udf("struct<base: array<struct<kind: string, start: long, end: long>>, entities: array<string>, words: array<string>, near: array<struct<term: string, entity: string>>>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        base, near = [], []
+        out = []
         for text in texts:
             spans = base_spans(text)
-            base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-            near.append([{"term": t, "start": a, "end": b, "entity": entity(text, spans[i])} for t, a, b, i in neighbours(text, spans)] if spans else [])
-        return pd.DataFrame({"base": base, "near": near})
+            named = [entity(text, s) for s in spans]
+            pairs = sorted({(t, named[i]) for t, _, _, i in neighbours(text, spans, near)}) if near is not None else []
+            terms = {t for t, _ in pairs} if near is not None or not spans else {t for t, _, _ in words(text, spans)}
+            out.append(([{"kind": k, "start": a, "end": b} for k, a, b in spans], sorted(set(named)), sorted(terms), [{"term": t, "entity": e} for t, e in pairs]))
+        return pd.DataFrame(out, columns=["base", "entities", "words", "near"])
 
     return run.asNondeterministic()(text)  # so that a filter on it doesn't run it again
 
 
+def _marked(text: Column, base: Column, terms: Column) -> Column:
+    """The base spans, then every occurrence of the terms."""
+
+    @F.pandas_udf("array<struct<kind: string, start: long, end: long>>")
+    def run(texts: pd.Series, bases: pd.Series, told: pd.Series) -> pd.Series:
+        out = []
+        for text, base, terms in zip(texts, bases, told, strict=True):
+            spans, terms = [(s["kind"], s["start"], s["end"]) for s in base], set(terms)
+            spans += [("term", a, b) for t, a, b in words(text, spans) if t in terms]
+            out.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
+        return pd.Series(out, dtype=object)
+
+    return run(text, base, terms)
+
+
 def _documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, m): of different texts, how many hold each of ``terms``."""
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+(?:['’-][\p{L}]+)*"), F.lit(0)))).alias("term")
@@ -143,40 +170,50 @@ def _documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return found.groupBy("term", "copy").agg(F.count("*").alias("rows")).groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("rows")).otherwise(1)).alias("m"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(term, entity, share) of the terms that disclose an entity. ``docs``: mark, text; ``found``: mark, near."""
-    near = written(found.select("mark", F.explode("near").alias("n")).select("mark", "n.term", "n.entity").distinct(), "pii-near")
-    pairs = near.groupBy("term", "entity").agg(F.count("*").alias("k"))
-    n = near.select("entity", "mark").distinct().groupBy("entity").agg(F.count("*").alias("n"))
-    seen = near.select("term", "mark").distinct().groupBy("term").agg(F.count("*").alias("seen"))
+def disclosing(docs: DataFrame, found: DataFrame, held: DataFrame, near: int | None = NEAR) -> DataFrame:
+    """(term, entity, share) of the terms that disclose an entity. ``docs``: mark, text; ``found``: mark, words, near; ``held``: mark, entity."""
+    word = written(found.select("mark", F.explode("words").alias("term")), "pii-words")
+    seen = word.groupBy("term").agg(F.count("*").alias("seen"))
+    n = held.groupBy("entity").agg(F.count("*").alias("n"))
     total = F.lit(float(docs.agg(F.count_distinct("mark")).first()[0] or 1))
 
     def share(m: str) -> Column:
         content = F.log2(total / F.col("n"))
         return F.when(content > 0, F.log2(F.col("k") * total / (F.col("n") * F.col(m))) / content).otherwise(0.0)
 
-    # a term is in no fewer documents than it is near entities in, so this share is never below the true one
+    if near is None:
+        # the two are together in no more documents than the rarer is in, so pairs beyond this cannot disclose and need not be made
+        reach = F.log2(total / F.greatest("n", "seen")) >= DISCLOSURE * F.log2(total / F.col("n")) - 1e-9
+        together = word.join(seen, "term").join(held.join(n, "entity"), "mark").where(reach).select("term", "entity")
+    else:
+        together = found.select(F.explode("near").alias("n")).select("n.term", "n.entity")
+    pairs = together.groupBy("term", "entity").agg(F.count("*").alias("k"))
+    # a term is in no fewer documents than it was seen in here, so this share is never below the true one
     likely = pairs.join(n, "entity").join(seen, "term").where(share("seen") >= DISCLOSURE)
     likely = written(likely.select("term", "entity", "k", "n"), "pii-pairs")
     m = _documents_with(docs, likely.select("term").distinct())
     return likely.join(m, "term").select("term", "entity", share("m").alias("share")).where(F.col("share") >= DISCLOSURE)
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int | None = NEAR) -> DataFrame:
     """Per row: id_col, text, spans (array of kind, start, end; base kinds as in KINDS, then "term", each by start).
 
+    ``near``: at most so many words from an entity a term is counted; None for the whole document.
+
     A null text is empty and has no spans. Repeated rows come back as often as they are there, and count once in the
     statistics; so do other rows with their text. Rows without id are rows like any other. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
-    hits = written(rows.select("text", "mark", _found(F.col("text")).alias("f")).select("mark", "f.base", "f.near").where(F.size("base") > 0).groupBy("mark").agg(F.first("base").alias("base"), F.first("near").alias("near")), "pii-hits")
-    told = written(disclosing(rows, hits), "pii-disclosing")
-    near = hits.select("mark", F.explode("near").alias("n")).select("mark", "n.term", "n.entity", "n.start", "n.end")
-    told = F.broadcast(told) if told.count() <= MAX_BROADCAST else told
-    marked = near.join(told, ["term", "entity"], "left_semi").groupBy("mark").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
-    by_text = hits.select("mark", "base").join(marked, "mark", "left").select("mark", F.concat("base", F.coalesce("terms", F.array().cast("array<struct<kind: string, start: long, end: long>>"))).alias("spans"))
+    found = rows.select("text", "mark", _found(F.col("text"), near).alias("f")).select("mark", "text", "f.*").where(F.size("base") > 0)
+    hits = written(found.groupBy("mark").agg(*(F.first(c).alias(c) for c in ("text", "base", "entities", "words", "near"))), "pii-hits")
+    held = written(hits.select("mark", F.explode("entities").alias("entity")), "pii-entities")
+    told = written(disclosing(rows, hits, held, near), "pii-disclosing")
+    few = told.count() <= MAX_BROADCAST
+    told = told.groupBy("entity").agg(F.collect_set("term").alias("terms"))
+    terms = held.join(F.broadcast(told) if few else told, "entity").groupBy("mark").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    by_text = hits.join(terms, "mark", "left").select("mark", _marked(F.col("text"), F.col("base"), F.coalesce("terms", F.array().cast("array<string>"))).alias("spans"))
     nothing = F.array().cast("array<struct<kind: string, start: long, end: long>>")
     return rows.join(written(by_text, "pii-spans"), "mark", "left").select(F.col("id").alias(id_col), "text", F.coalesce("spans", nothing).alias("spans"))
 
@@ -190,7 +227,7 @@ def base_only(spans: Column) -> Column:
     return F.filter(spans, lambda s: s["kind"] != "term")
 
 
-def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int | None = NEAR) -> DataFrame:
     """``docs``' ids and texts with every span replaced by its kind in angle brackets; overlapping spans become one."""
 
     @F.pandas_udf("string")
@@ -205,4 +242,4 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             out.append("".join([*parts, text[done:]]))
         return pd.Series(out, dtype=object)
 
-    return spans(docs, id_col, text_col).select(id_col, run("text", "spans").alias(text_col))
+    return spans(docs, id_col, text_col, near).select(id_col, run("text", "spans").alias(text_col))

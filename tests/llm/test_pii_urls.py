@@ -66,6 +66,16 @@ def test_terms_of_an_entity_in_one_text(spark):
     assert not any(found[i].spans for i, _ in docs[1:])
 
 
+def test_terms_anywhere_in_the_document(spark):
+    text = "Xanthippe Miller of the local council, mail x@a.org. " + "local mail of the council " * 20 + "Xanthippe Miller"
+    docs = [(1, text), (2, "Quixotic wrote to don@mancha.es about the local council mail, said Quixotic")]
+    docs += [(10 + i, f"plain {i} wrote about local council mail said the common words") for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    terms = lambda found: {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == "term"] for r in found.collect() if r.doc_id < 10}
+    assert terms(pii.spans(frame)) == {1: [], 2: ["Quixotic"] * 2}
+    assert terms(pii.spans(frame, near=None)) == {1: ["Xanthippe", "Miller"] * 2, 2: ["Quixotic"] * 2}
+
+
 def test_pii_of_odd_rows(odd_docs, no_docs):
     assert all(r.spans == [] for r in pii.spans(odd_docs).collect())
     assert pii.spans(odd_docs).count() == 12 and pii.spans(no_docs).collect() == []
