@@ -24,6 +24,8 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: A stream skips files that are older than this beside the newest one that it has seen; here none are.
+MAX_FILE_AGE = "36500d"
 #: Most digests that are broadcast for the check of full bytes.
 MAX_BROADCAST = 200_000
 
@@ -47,7 +49,7 @@ def _update(spark: SparkSession, source: str, state: str, id_col: str, text_col:
     for k, v in STATE_STORE.items():
         spark.conf.set(k, v)
     try:
-        reader = spark.readStream.schema(schema)
+        reader = spark.readStream.schema(schema).option("maxFileAge", MAX_FILE_AGE)
         if files_per_batch:
             reader = reader.option("maxFilesPerTrigger", files_per_batch)
         folder, names = _place(spark, source)
@@ -89,7 +91,7 @@ def exact_duplicates(spark: SparkSession, source: str, state: str | None = None,
 
     Null texts are empty texts. Of equal texts the row with the least id stays; of rows that repeat that id with an equal
     text, the first by file and row. A group without any id keeps its first row and has a null keep_id. Other columns are
-    not read. An empty table gives no rows. Raises if two texts with one digest differ.
+    not read. An empty table gives no rows. Raises if two texts with one digest differ, or if the state lacks a text of ``source``.
     """
     found = written(groups(spark, source, state, id_col, text_col), "dedup-groups")
     rows = spark.read.parquet(source)
@@ -101,6 +103,7 @@ def exact_duplicates(spark: SparkSession, source: str, state: str | None = None,
     differing = texts.groupBy("digest").agg(F.min("t").alias("least"), F.max("t").alias("most")).where("least <> most")
     if differing.select("digest").head(1):
         raise ValueError("two texts with one SHA-256 differ")
-    out = own.join(found, "digest")
+    out = own.join(found, "digest", "left")
     kept = (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
+    known = lambda c: F.when(F.col("group_size").isNull(), F.raise_error(F.concat(F.lit("the state lacks a text of "), "file"))).otherwise(c)
+    return out.select(F.col("id").alias(id_col), "keep_id", known(F.col("group_size")).alias("group_size"), known(kept).alias("kept"), F.col("digest").alias("text_sha256"))

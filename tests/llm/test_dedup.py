@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import time
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -121,6 +124,28 @@ def test_op2_keeps_state_between_runs(spark, tmp_path, odd_docs, no_docs):
     assert exact_dedup.exact_duplicates(spark, empty).collect() == []
 
 
+def test_op2_reads_old_files(spark, tmp_path):
+    source, state = tmp_path / "in", (tmp_path / "state").as_uri()
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    docs((1, "one"), (2, "two")).write.parquet(str(source))
+    assert len(exact_dedup.exact_duplicates(spark, str(source), state).collect()) == 2
+    before = set(source.glob("*.parquet"))
+    docs((3, "three"), (4, "one")).write.mode("append").parquet(str(source))
+    for file in set(source.glob("*.parquet")) - before:
+        os.utime(file, (time.time() - 30 * 86400,) * 2)
+    got = exact_dedup.exact_duplicates(spark, str(source), state).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == [(1, 1, 2), (2, 2, 1), (3, 3, 1), (4, 1, 2)]
+
+
+def test_op2_tells_of_a_text_that_the_state_lacks(spark, tmp_path, monkeypatch):
+    source = str(tmp_path / "in")
+    spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string").write.parquet(source)
+    whole = exact_dedup.groups
+    monkeypatch.setattr(exact_dedup, "groups", lambda *a: whole(*a).where("keep_id = 1"))
+    with pytest.raises(Exception, match="the state lacks a text of"):
+        exact_dedup.exact_duplicates(spark, source).collect()
+
+
 def test_op2_in_small_batches(spark, tmp_path, data):
     source = str(tmp_path / "in")
     spark.read.parquet(f"{data}/documents.parquet").repartition(6).write.parquet(source)
