@@ -1,8 +1,9 @@
 """Language identification in two steps: the language family, then one-versus-one linear support vector machines
-between the languages of that family.
+between the languages of that family. Where more than GROUP languages (or groups) would duel, groups of neighbours by code
+duel first, so the duels grow with the number of languages and not with its square.
 
 Features are relative frequencies of hashed character n-grams of the whole text. Models are fitted on the driver from a
-bounded, seeded sample of labelled rows (``per_language`` of each of at most MOST_LANGUAGES languages); every row is scored on the executors.
+bounded, seeded sample of labelled rows (``per_language`` of each language, fewer where that makes more than MOST_ROWS); every row is scored on the executors.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscour.llm.common import ship, spread
+from sparkscour.llm.common import ship, spread, written
 from sparkscour.llm.linear import Rows, fit, sigmoid
 from sparkscour.llm.ngrams import buckets, counted, letters
 
@@ -23,8 +24,10 @@ UNKNOWN = "und"
 SIZES = (1, 2, 3, 4)
 BITS = 16
 PER_LANGUAGE = 400
-#: Languages that are learned: those with most rows.
-MOST_LANGUAGES = 200
+#: Rows that are learned, of all languages; each language has LEAST_ROWS at least.
+MOST_ROWS, LEAST_ROWS = 80_000, 10
+#: Most names that duel with each other; no family of FAMILIES is larger.
+GROUP = 12
 #: Frequencies are small; this brings them near 1.
 SCALE = 30.0
 PENALTY, STEPS = 1e-3, 100
@@ -50,68 +53,120 @@ def family(language: str) -> str:
     return _FAMILY.get(language.lower().split("-")[0], "other")
 
 
+Group = tuple  # of languages and groups of them
+
+
+def grouped(names: list) -> list:
+    """``names``, or where they are more than GROUP, tuples of neighbours, in at most GROUP of them."""
+    while len(names) > GROUP:
+        n = -(-len(names) // GROUP)
+        names = [tuple(names[len(names) * i // n : len(names) * (i + 1) // n]) for i in range(n)]
+    return names
+
+
+def leaves(name: str | Group) -> list[str]:
+    return [name] if isinstance(name, str) else [x for part in name for x in leaves(part)]
+
+
 @dataclass
-class Model:
-    """``pairs``: (first, second, column of weights); a positive margin votes for the first."""
+class Duels:
+    """The duels of one family or group: by bucket that occurs in its sample (``place``, else the last row) and column."""
 
-    families: list[str]
-    members: dict[str, list[str]]
-    pairs: dict[tuple[str, str], int]
-    weights: np.ndarray  # by bucket and column
+    pairs: dict[tuple, int]
+    place: np.ndarray
+    weights: np.ndarray
     bias: np.ndarray
 
-    def margins(self, text: str) -> np.ndarray | None:
-        data = letters(text)
-        if not data.strip():
-            return None
-        total, n = np.zeros(self.weights.shape[1]), 0
-        for part in buckets(data, SIZES, BITS):
-            total += self.weights.take(part, axis=0).sum(axis=0, dtype=np.float64)
-            n += len(part)
+    def margins(self, parts: list[np.ndarray], n: int) -> np.ndarray:
+        total = np.zeros(self.weights.shape[1])
+        for part in parts:
+            total += self.weights.take(self.place[part], axis=0).sum(axis=0, dtype=np.float64)
         return total / n * SCALE + self.bias
 
-    def choose(self, names: list[str], margins: np.ndarray) -> tuple[str, float]:
+
+@dataclass
+class Model:
+    """``members``: what duels in each family or group; a positive margin in the ``pairs`` of ``duels`` votes for the first."""
+
+    families: list[str]
+    members: dict[str | Group, list]
+    duels: dict[str | Group | None, Duels]
+
+    @property
+    def pairs(self) -> dict[tuple, int]:
+        """All duels, numbered."""
+        return {pair: i for i, pair in enumerate(pair for of in self.duels.values() for pair in of.pairs)}
+
+    def choose(self, of: str | Group | None, names: list, parts: list[np.ndarray], n: int) -> tuple[str | Group, float]:
         """The name that wins most of its duels, by their sigmoids, and its mean share of them."""
         if len(names) == 1:
             return names[0], 1.0
+        duels = self.duels[of]
+        margins = duels.margins(parts, n)
         won = dict.fromkeys(names, 0.0)
         for a, b in combinations(names, 2):
-            p = sigmoid(3 * margins[self.pairs[a, b]])
+            p = sigmoid(3 * margins[duels.pairs[a, b]])
             won[a] += p
             won[b] += 1 - p
-        best = max(names, key=lambda x: (won[x], x))
+        best = max(names, key=lambda x: (won[x], leaves(x)))
         return best, won[best] / (len(names) - 1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not (any(map(str.isalpha, text))) or not self.families:
             return UNKNOWN, 0.0
-        margins = self.margins(text)
-        if margins is None:
+        data = letters(text)
+        if not data.strip():
             return UNKNOWN, 0.0
-        kin, p = self.choose(self.families, margins)
-        language, q = self.choose(self.members[kin], margins)
-        return language, p * q
+        parts = list(buckets(data, SIZES, BITS))
+        n = sum(map(len, parts))
+        kin, score = self.choose(None, self.families, parts, n)
+        best = ("family", kin)
+        while best in self.members:
+            best, p = self.choose(best, self.members[best], parts, n)
+            score *= p
+        return best, score
 
 
-def _duel(rows: list[tuple[np.ndarray, np.ndarray]], sides: np.ndarray) -> tuple[np.ndarray, float]:
+def _duel(rows: list[tuple[np.ndarray, np.ndarray]], sides: np.ndarray, width: int) -> tuple[np.ndarray, float]:
     values = [n / max(1, n.sum()) * SCALE for _, n in rows]
-    return fit(Rows([c for c, _ in rows], values, 1 << BITS), sides, "hinge", PENALTY, STEPS)
+    return fit(Rows([c for c, _ in rows], values, width), sides, "hinge", PENALTY, STEPS)
 
 
 def train(sample: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     """From (language, buckets, counts) of each sampled row."""
     languages = sorted({x for x, _, _ in sample})
     kin = sorted({family(x) for x in languages})
-    members = {f: [x for x in languages if family(x) == f] for f in kin}
-    duels = [(a, b, family) for a, b in combinations(kin, 2)]
-    duels += [(a, b, str) for f in kin for a, b in combinations(members[f], 2)]
-    weights, bias, pairs = np.zeros((1 << BITS, max(1, len(duels))), np.float32), np.zeros(max(1, len(duels))), {}
-    for i, (a, b, name) in enumerate(duels):
-        mine = [(c, n, name(x)) for x, c, n in sample if name(x) in (a, b)]
-        w, bias[i] = _duel([(c, n) for c, n, _ in mine], np.array([1.0 if x == a else -1.0 for _, _, x in mine]))
-        weights[:, i] = w
-        pairs[a, b] = i
-    return Model(kin, members, pairs, weights, bias)
+    members: dict = {("family", f): grouped([x for x in languages if family(x) == f]) for f in kin}
+    for name in [x for names in members.values() for x in names]:
+        _add_groups(name, members)
+    duels = {}
+    if len(kin) > 1:
+        duels[None] = _duels(kin, [(family(x), c, n) for x, c, n in sample])
+    for of, names in members.items():
+        if len(names) > 1:
+            part = {x: name for name in names for x in leaves(name)}
+            duels[of] = _duels(names, [(part[x], c, n) for x, c, n in sample if x in part])
+    return Model(kin, members, duels)
+
+
+def _add_groups(name: str | Group, members: dict) -> None:
+    if not isinstance(name, str):
+        members[name] = list(name)
+        for part in name:
+            _add_groups(part, members)
+
+
+def _duels(names: list, sample: list[tuple[str | Group, np.ndarray, np.ndarray]]) -> Duels:
+    used = np.unique(np.concatenate([c for _, c, _ in sample]))
+    place = np.full(1 << BITS, len(used), np.int32)
+    place[used] = np.arange(len(used))
+    pairs = {pair: i for i, pair in enumerate(combinations(names, 2))}
+    weights, bias = np.zeros((len(used) + 1, len(pairs)), np.float32), np.zeros(len(pairs))
+    for (a, b), i in pairs.items():
+        mine = [(c, n, x) for x, c, n in sample if x in (a, b)]
+        w, bias[i] = _duel([(place[c], n) for c, n, _ in mine], np.array([1.0 if x == a else -1.0 for _, _, x in mine]), len(used))
+        weights[:-1, i] = w
+    return Duels(pairs, place, weights, bias)
 
 
 def remainder(id_: Column) -> Column:
@@ -121,7 +176,9 @@ def remainder(id_: Column) -> Column:
 def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & (remainder(F.col("id")) != 2) & F.col("text").rlike(r"\p{L}"))
-    n = rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("of"), "n").orderBy(F.desc("n"), "of").limit(MOST_LANGUAGES)
+    n = rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("of"), "n")
+    n = written(n, "languages")
+    per_language = min(per_language, max(LEAST_ROWS, MOST_ROWS // max(1, n.count())))
     draw = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 30)) / float(1 << 30)
 
     @F.pandas_udf("struct<buckets: binary, counts: binary>")

@@ -71,6 +71,16 @@ def test_families_come_first():
     assert model.predict("12 ?!") == model.predict(None) == ("und", 0.0)
 
 
+def test_every_language_is_learned(spark):
+    codes = [f"x{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(203)]
+    word = lambda code: "".join(chr(0x4E00 + 40 * codes.index(code) + j) for j in range(6))
+    docs = spark.createDataFrame([(10 * i + j, f"{word(c)} {j}", c) for i, c in enumerate(codes) for j in range(6)], "doc_id long, text string, lang string")
+    model = langid.fitted(docs)
+    assert {x for names in model.members.values() for name in names for x in langid.leaves(name)} == set(codes)
+    assert len(model.pairs) < 2000 and all(len(names) <= langid.GROUP for names in model.members.values())
+    assert sum(model.predict(word(c))[0] == c for c in codes) >= 200
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = langid.identified(odd_docs).collect()
     assert len(got) == 12
