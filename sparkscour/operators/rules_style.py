@@ -60,7 +60,7 @@ def _excess(listed: str) -> str:
 
 
 def _excess_words(page: Page) -> Iterable[Match]:
-    """Words of the list in the option; without a list there are none."""
+    """Words of the list in the option (style_words.EXCESS is the published one); without a list there are none."""
     if page.option and page.option.split():
         yield from ask(_excess(page.option), "i", (), "Rose in abstracts after 2022; a weak sign by itself.")(page)
 

@@ -279,3 +279,13 @@ def test_time():
     start = time.time()
     scan(text, config(RULES, "tex"), REGISTRY)
     assert time.time() - start < 6
+
+
+def test_published_excess_words():
+    from sparkscour.operators.rules_style import WORDS
+    from sparkscour.operators.style_words import EXCESS
+
+    words = EXCESS.split()
+    assert len(words) == len(set(words)) == 288
+    for word in words:
+        assert ids(f"It {word} it", options={"sty.vocabx": EXCESS}, only=["sty.vocabx"]) == ["sty.vocabx"] * (word not in WORDS), word
