@@ -162,12 +162,14 @@ def _marked(text: Column, base: Column, terms: Column) -> Column:
 def _documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, m): of different texts, how many hold each of ``terms``."""
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+(?:['’-][\p{L}]+)*"), F.lit(0)))).alias("term")
-    terms = F.broadcast(terms) if terms.count() <= MAX_BROADCAST else terms
     copies = written(docs.groupBy("mark").count().where("count > 1").select(F.col("mark").alias("copy")), "pii-copies")
     copies = F.broadcast(copies) if copies.count() <= MAX_COPIES else copies
     # only a text with copies is told apart by its mark, so the shuffle takes a number for each term and task, not a row for each text
-    found = docs.join(copies, docs["mark"] == copies["copy"], "left").select("copy", word).join(terms, "term")
-    return found.groupBy("term", "copy").agg(F.count("*").alias("rows")).groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("rows")).otherwise(1)).alias("m"))
+    found = docs.join(copies, docs["mark"] == copies["copy"], "left").select("copy", word)
+    few = terms.count() <= MAX_BROADCAST
+    found = found.join(F.broadcast(terms), "term") if few else found
+    counts = found.groupBy("term", "copy").agg(F.count("*").alias("rows")).groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("rows")).otherwise(1)).alias("m"))
+    return counts if few else counts.join(terms, "term")
 
 
 def disclosing(docs: DataFrame, found: DataFrame, held: DataFrame, near: int | None = NEAR) -> DataFrame:

@@ -66,7 +66,9 @@ def test_terms_of_an_entity_in_one_text(spark):
     assert not any(found[i].spans for i, _ in docs[1:])
 
 
-def test_terms_anywhere_in_the_document(spark):
+@pytest.mark.parametrize("broadcast", [pii.MAX_BROADCAST, 0])
+def test_terms_anywhere_in_the_document(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(pii, "MAX_BROADCAST", broadcast)
     text = "Xanthippe Miller of the local council, mail x@a.org. " + "local mail of the council " * 20 + "Xanthippe Miller"
     docs = [(1, text), (2, "Quixotic wrote to don@mancha.es about the local council mail, said Quixotic")]
     docs += [(10 + i, f"plain {i} wrote about local council mail said the common words") for i in range(300)]
