@@ -1,7 +1,8 @@
 """URL filters as a temporal list join, in DataFrame functions only.
 
 A list is a log of dated entries: at ``at``, ``action`` ("add" or "remove") for a ``value`` of a ``kind``: "host" (that host),
-"domain" (that host and all below it) or "prefix" (URLs on a host whose path begins so, written host/path). Consecutive
+"domain" (that host and all below it) or "prefix" (URLs on a host whose path begins with these
+whole segments, written host/path; one that ends in a slash names what is below it, host/ the whole host). Consecutive
 entries of one value become validity intervals [from, until). A capture is looked up by the values that could name it (its
 host, the host's parent domains, its host with each leading part of its path) and blocked if one of them was valid when it
 was fetched: the as-of join, as an equi-join on the value with the time between the interval's ends. Intervals of one
@@ -32,10 +33,10 @@ def path(url: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """(kind, value, from, until) from entries (kind, value, at, action); ``until`` is null while nothing removes the value.
 
-    Values are compared in lower case for hosts and domains. Of entries for one value at one time, a removal counts; an
+    Values are compared in lower case for hosts and domains, and for the host of a prefix. Of entries for one value at one time, a removal counts; an
     add that follows an add changes nothing. Entries with a null or an unknown kind or action are ignored.
     """
-    value = F.when(F.col("kind") == "prefix", F.col("value")).otherwise(F.lower("value"))
+    value = F.when(F.col("kind") == "prefix", F.concat(F.lower(F.substring_index("value", "/", 1)), F.regexp_extract("value", r"^[^/]*((?s:.*))$", 1))).otherwise(F.lower("value"))
     known = entries.where(F.col("kind").isin(*KINDS) & F.col("action").isin("add", "remove") & F.col("value").isNotNull() & F.col("at").isNotNull())
     known = known.groupBy("kind", value.alias("value"), "at").agg(F.max("action").alias("action"))  # "remove" is the greater
     log = Window.partitionBy("kind", "value").orderBy("at")
@@ -50,7 +51,8 @@ def names(url: Column) -> Column:
     domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("value")))
     steps = F.split(path(url), "/")
     prefixes = F.when(F.size(steps) > 1, F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(of, F.array_join(F.slice(steps, 1, i), "/")).alias("value"))))
-    found = F.concat(F.array(F.struct(F.lit("host").alias("kind"), of.alias("value"))), domains, F.coalesce(prefixes, F.array().cast("array<struct<kind: string, value: string>>")))
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(of, F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")).alias("value")))
+    found = F.concat(above, F.array(F.struct(F.lit("host").alias("kind"), of.alias("value"))), domains, F.coalesce(prefixes, F.array().cast("array<struct<kind: string, value: string>>")))
     return F.when(of != "", F.array_distinct(found)).otherwise(F.array().cast("array<struct<kind: string, value: string>>"))
 
 

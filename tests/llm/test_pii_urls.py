@@ -83,6 +83,14 @@ def test_pii_of_odd_rows(odd_docs, no_docs):
     assert pii.spans(odd_docs).count() == 12 and pii.spans(no_docs).collect() == []
 
 
+def test_prefixes_with_slashes_and_capitals(spark):
+    entries = spark.createDataFrame([("prefix", v, 0, "add") for v in ("a.org/blog/", "b.org/", "C.org/Blog", "d.org/x")], "kind string, value string, at long, action string")
+    blocked = ["http://a.org/blog/", "http://a.org/blog/1/2", "http://b.org", "http://b.org/x", "http://b.org/x/", "http://c.org/Blog", "http://C.ORG/Blog/1", "http://d.org/x/"]
+    open_ = ["http://a.org/blog", "http://a.org/blog-2", "http://a.org/", "http://c.org/blog", "http://d.org/x-2", "http://d.org/"]
+    captures = spark.createDataFrame([(i, u, 1) for i, u in enumerate(blocked + open_)], "page_id long, url string, fetched long")
+    assert sorted(r.url for r in url_filters.evaluated(captures, entries).where("blocked").collect()) == sorted(blocked)
+
+
 def test_intervals_and_captures(spark):
     log = [("host", "a.b.org", 10, "add"), ("host", "A.b.org", 20, "remove"), ("host", "a.b.org", 30, "add"), ("host", "a.b.org", 35, "add"), ("domain", "b.org", 15, "add"), ("prefix", "c.net/x", 0, "add"), ("prefix", "c.net/x", 0, "remove"), ("prefix", "c.net/y/z", 5, "add"), ("odd", "q", 1, "add"), ("host", None, 1, "add"), ("host", "z.z", None, "add")]
     entries = spark.createDataFrame(log, "kind string, value string, at long, action string")
