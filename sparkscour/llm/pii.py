@@ -8,7 +8,8 @@ entity. A term discloses an entity if this share of the information content is a
 hold the two. All its occurrences in documents with the entity become spans of kind "term": they are generalised to their
 kind of word by ``sanitised``, base spans to their kind. With ``near=None`` the whole document is near.
 
-Counts cover all documents. Copies of a text count once.
+Counts cover all documents. Copies of a text count once; texts are told apart by their SHA-256. Base spans are found on each
+row itself, so only the disclosing terms are joined to the texts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkscour.llm.common import ship, spread, written
+from sparkscour.llm.common import joined, ship, spread, written
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR = 3
@@ -34,6 +35,8 @@ LEAST_TERM = 4
 MAX_BROADCAST = 200_000
 #: Most marks (a number each) of texts with copies that are broadcast.
 MAX_COPIES = 2_000_000
+#: Parts that the rows of one text are dealt to where the terms of texts are too many to broadcast.
+SALTS = 16
 
 _BEFORE_AT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -61,7 +64,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 def ips(text: str) -> Iterator[tuple[int, int]]:
     for m in _IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m[0].split(".")):
+        if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or "0") <= 255 for part in m[0].split(".")):
             yield m.span()
 
 
@@ -144,40 +147,54 @@ def _found(text: Column, near: int | None) -> Column:
     return run.asNondeterministic()(text)  # so that a filter on it doesn't run it again
 
 
-def _marked(text: Column, base: Column, terms: Column) -> Column:
-    """The base spans, then every occurrence of the terms."""
+def _marked(text: Column, terms: Column) -> Column:
+    """The base spans of a text, then every occurrence of the terms."""
 
     @F.pandas_udf("array<struct<kind: string, start: long, end: long>>")
-    def run(texts: pd.Series, bases: pd.Series, told: pd.Series) -> pd.Series:
+    def run(texts: pd.Series, told: pd.Series) -> pd.Series:
         out = []
-        for text, base, terms in zip(texts, bases, told, strict=True):
-            spans, terms = [(s["kind"], s["start"], s["end"]) for s in base], set(terms)
-            spans += [("term", a, b) for t, a, b in words(text, spans) if t in terms]
+        for text, terms in zip(texts, told, strict=True):
+            spans = base_spans(text)
+            if terms is not None and len(terms):
+                wanted = set(terms)
+                spans += [("term", a, b) for t, a, b in words(text, spans) if t in wanted]
             out.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
         return pd.Series(out, dtype=object)
 
-    return run(text, base, terms)
+    return run(text, terms)
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
 
 def _documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, m): of different texts, how many hold each of ``terms``."""
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+(?:['’-][\p{L}]+)*"), F.lit(0)))).alias("term")
+    docs = docs.select("text", F.xxhash64("text").alias("mark"))
     copies = written(docs.groupBy("mark").count().where("count > 1").select(F.col("mark").alias("copy")), "pii-copies")
     copies = F.broadcast(copies) if copies.count() <= MAX_COPIES else copies
-    # only a text with copies is told apart by its mark, so the shuffle takes a number for each term and task, not a row for each text
-    found = docs.join(copies, docs["mark"] == copies["copy"], "left").select("copy", word)
+    # a text whose mark no other row has is no copy and needs no name, so the shuffle takes a number for each term and task, not a row for each text
+    name = F.when(F.col("copy").isNotNull(), _digest(F.col("text")))
+    found = docs.join(copies, docs["mark"] == copies["copy"], "left").select(name.alias("copy"), word)
     few = terms.count() <= MAX_BROADCAST
     found = found.join(F.broadcast(terms), "term") if few else found
     counts = found.groupBy("term", "copy").agg(F.count("*").alias("rows")).groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("rows")).otherwise(1)).alias("m"))
     return counts if few else counts.join(terms, "term")
 
 
+def _frequency(held: DataFrame) -> DataFrame:
+    """(entity, n, rows): in how many different texts each entity is; twice, as ``joined`` takes one of them."""
+    return written(held.groupBy("entity").agg(F.count("*").alias("n")), "pii-frequencies").withColumn("rows", F.col("n"))
+
+
 def disclosing(docs: DataFrame, found: DataFrame, held: DataFrame, near: int | None = NEAR) -> DataFrame:
-    """(term, entity, share) of the terms that disclose an entity. ``docs``: mark, text; ``found``: mark, words, near; ``held``: mark, entity."""
-    word = written(found.select("mark", F.explode("words").alias("term")), "pii-words")
-    seen = word.groupBy("term").agg(F.count("*").alias("seen"))
-    n = held.groupBy("entity").agg(F.count("*").alias("n"))
-    total = F.lit(float(docs.agg(F.count_distinct("mark")).first()[0] or 1))
+    """(term, entity, share) of the terms that disclose an entity. ``docs``: text, digest; ``found``: digest, words, near; ``held``: digest, entity."""
+    word = written(found.select("digest", F.explode("words").alias("term")), "pii-words")
+    seen = written(word.groupBy("term").agg(F.count("*").alias("seen")), "pii-terms").withColumn("rows", F.col("seen"))
+    n = _frequency(held)
+    n_words, n_held = word.count(), held.count()
+    total = F.lit(float(docs.agg(F.count_distinct("digest")).first()[0] or 1))
 
     def share(m: str) -> Column:
         content = F.log2(total / F.col("n"))
@@ -186,15 +203,18 @@ def disclosing(docs: DataFrame, found: DataFrame, held: DataFrame, near: int | N
     if near is None:
         # the two are together in no more documents than the rarer is in, so pairs beyond this cannot disclose and need not be made
         reach = F.log2(total / F.greatest("n", "seen")) >= DISCLOSURE * F.log2(total / F.col("n")) - 1e-9
-        together = word.join(seen, "term").join(held.join(n, "entity"), "mark").where(reach).select("term", "entity")
+        together = joined(word, seen, "term", "rows", n_words).join(joined(held, n, "entity", "rows", n_held), "digest").where(reach).select("term", "entity")
     else:
         together = found.select(F.explode("near").alias("n")).select("n.term", "n.entity")
     pairs = together.groupBy("term", "entity").agg(F.count("*").alias("k"))
     # a term is in no fewer documents than it was seen in here, so this share is never below the true one
-    likely = pairs.join(n, "entity").join(seen, "term").where(share("seen") >= DISCLOSURE)
-    likely = written(likely.select("term", "entity", "k", "n"), "pii-pairs")
+    pairs = written(pairs, "pii-together")
+    likely = joined(pairs, seen, "term", "rows", n_words).join(n.drop("rows"), "entity").where(share("seen") >= DISCLOSURE)
+    likely = written(likely.select("term", "entity", "k", "n", "seen"), "pii-pairs")
     m = _documents_with(docs, likely.select("term").distinct())
-    return likely.join(m, "term").select("term", "entity", share("m").alias("share")).where(F.col("share") >= DISCLOSURE)
+    # the two sides may read rare letters differently, but a term is in all documents that it was seen in
+    likely = likely.join(m, "term", "left").withColumn("m", F.greatest(F.coalesce("m", F.lit(0)), "seen"))
+    return likely.select("term", "entity", share("m").alias("share")).where(F.col("share") >= DISCLOSURE)
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int | None = NEAR) -> DataFrame:
@@ -207,17 +227,22 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near:
     """
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
-    found = rows.select("text", "mark", _found(F.col("text"), near).alias("f")).select("mark", "text", "f.*").where(F.size("base") > 0)
-    hits = written(found.groupBy("mark").agg(*(F.first(c).alias(c) for c in ("text", "base", "entities", "words", "near"))), "pii-hits")
-    held = written(hits.select("mark", F.explode("entities").alias("entity")), "pii-entities")
-    told = written(disclosing(rows, hits, held, near), "pii-disclosing")
-    few = told.count() <= MAX_BROADCAST
-    told = told.groupBy("entity").agg(F.collect_set("term").alias("terms"))
-    terms = held.join(F.broadcast(told) if few else told, "entity").groupBy("mark").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-    by_text = hits.join(terms, "mark", "left").select("mark", _marked(F.col("text"), F.col("base"), F.coalesce("terms", F.array().cast("array<string>"))).alias("spans"))
-    nothing = F.array().cast("array<struct<kind: string, start: long, end: long>>")
-    return rows.join(written(by_text, "pii-spans"), "mark", "left").select(F.col("id").alias(id_col), "text", F.coalesce("spans", nothing).alias("spans"))
+    rows = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), text.alias("text"))
+    found = rows.select("text", _found(F.col("text"), near).alias("f")).select("text", "f.*").where(F.size("base") > 0).withColumn("digest", _digest(F.col("text")))
+    hits = written(found.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("entities", "words", "near"))), "pii-hits")
+    held = written(hits.select("digest", F.explode("entities").alias("entity")), "pii-entities")
+    told = written(disclosing(rows.withColumn("digest", _digest(F.col("text"))), hits, held, near), "pii-disclosing")
+    told = written(told.groupBy("entity").agg(F.collect_set("term").alias("terms")).join(_frequency(held).drop("n"), "entity"), "pii-told")
+    terms = joined(held, told, "entity", "rows", held.count()).groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    terms = written(terms, "pii-terms")
+    own = rows.withColumn("of", _digest(F.col("text")))
+    if terms.agg(F.coalesce(F.sum(F.size("terms") + 4), F.lit(0))).first()[0] <= MAX_BROADCAST:
+        out = own.join(F.broadcast(terms), own["of"] == terms["digest"], "left")
+    else:
+        own = own.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        terms = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = own.join(terms, (own["of"] == terms["digest"]) & (own["salt"] == terms["part"]), "left")
+    return out.select(F.col("id").alias(id_col), "text", _marked(F.col("text"), F.col("terms")).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

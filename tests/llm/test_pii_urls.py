@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from math import log2
 
 import pytest
 from hypothesis import given, settings
@@ -32,7 +34,7 @@ def test_base_spans(text):
     assert pii.base_spans(text) == plain_spans(text)
 
 
-@pytest.mark.parametrize("text", ["a@b.cd@e.fg", "a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "x@@y.z", "4111 1111-1111 1111", "+1 (543) 555-1435.", "256.1.1.1", "é@x.y", "a" * 50_000 + "@", "1." * 50_000, "+" * 20_000 + "1"])
+@pytest.mark.parametrize("text", ["a@b.cd@e.fg", "a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "x@@y.z", "4111 1111-1111 1111", "+1 (543) 555-1435.", "256.1.1.1", "é@x.y", "a" * 50_000 + "@", "1." * 50_000, "+" * 20_000 + "1", "1.2.3." + "0" * 3000, "at 1.2.3." + "0" * 900 + "7 or 0001.2.3.4"])
 def test_hard_spans(text):
     assert pii.base_spans(text) == plain_spans(text)
 
@@ -78,6 +80,42 @@ def test_terms_anywhere_in_the_document(spark, monkeypatch, broadcast):
     assert terms(pii.spans(frame, near=None)) == {1: ["Xanthippe", "Miller"] * 2, 2: ["Quixotic"] * 2}
 
 
+def test_ip_part_longer_than_python_reads(spark):
+    text = "1.2.3." + "0" * 5000
+    docs = spark.createDataFrame([(1, text), (2, text + "9"), (3, "1.2.3." + "9" * 5000)], "doc_id long, text string")
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in pii.spans(docs, near=None).collect()} == {1: [("ip", 0, 5006)], 2: [("ip", 0, 5007)], 3: []}
+
+
+def brute_terms(texts):
+    """Per different text the (start, end) of its disclosing words, by counts over all pairs of words and entities."""
+    word = lambda t: [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", t)]
+    texts = sorted(set(texts))
+    base = {t: plain_spans(t) for t in texts}
+    free = {t: [(w, a, b) for w, a, b in word(t) if b - a >= 4 and not any(a < e and s < b for _, s, e in base[t])] for t in texts}
+    value = lambda t, k, a, b: (k, t[a:b].lower() if k in ("email", "ip") else re.sub("[^0-9]", "", t[a:b]))
+    entities = {t: {value(t, *s) for s in base[t]} for t in texts}
+    n, m, k = Counter(), Counter(), Counter()
+    for t in texts:
+        n.update(entities[t])
+        m.update({w for w, _, _ in word(t)})
+        k.update({(w, e) for w, _, _ in free[t] for e in entities[t]})
+    share = lambda w, e: log2(k[w, e] * len(texts) / (n[e] * m[w])) / log2(len(texts) / n[e]) if n[e] < len(texts) else 0.0
+    told = {p for p in k if share(*p) >= 0.9}
+    return {t: [(a, b) for w, a, b in free[t] if any((w, e) in told for e in entities[t])] for t in texts}
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("broadcast", [pii.MAX_BROADCAST, 0])
+def test_disclosing_terms_by_brute_force(spark, monkeypatch, folder, broadcast):
+    monkeypatch.setattr(pii, "MAX_BROADCAST", broadcast)
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    want = brute_terms([r.text or "" for r in docs.collect()])
+    got = pii.spans(docs, near=None).collect()
+    assert len(got) == docs.count() and any(want.values())
+    for r in got:
+        assert [(s.start, s.end) for s in r.spans if s.kind == "term"] == want[r.text]
+
+
 def test_pii_of_odd_rows(odd_docs, no_docs):
     assert all(r.spans == [] for r in pii.spans(odd_docs).collect())
     assert pii.spans(odd_docs).count() == 12 and pii.spans(no_docs).collect() == []
