@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkscour.llm.common import discard, written
+from sparkscour.llm.common import discard, joined, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Edges (u, v) with m, the least v of their u; ``total`` or fewer. The edges of a node that has very many are not dealt
+    by node: they get its least by broadcast."""
+    return joined(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "u", "n", total)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of a node is tied to the least node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Every node and its smaller neighbours are tied to the least of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return tied.unionByName(least.select("u", F.col("m").alias("v")))
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    """Every node and its smaller neighbours are tied to the least of them. ``edges`` go from the greater node."""
+    tied = _with_least(edges, total)
+    return tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(tied.where("v = m").select("u", "v"))
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) of every node of ``edges`` (u, v); the component is its least node.
 
-    A star whose centre has very many leaves shrinks in partial aggregates and in joins that Spark splits.
+    A star's edges stay where they are if its centre is hot: only least values and counts of each node are dealt by node.
     No edges give no rows; loops and repeated edges are ignored.
     """
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
@@ -38,5 +41,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         seen = mark
-        before, now = now, written(_small_star(_large_star(now)).distinct(), label)
+        large = written(_large_star(now, mark[0]).distinct(), label)
+        before, now = now, written(_small_star(large, mark[0]).distinct(), label)
         discard(before)
+        discard(large)

@@ -1,13 +1,19 @@
-"""SimHash near-duplicates: segment-popcount embedding, grid join under Manhattan distance, exact check.
+"""SimHash near-duplicates: segment-popcount embedding, grid range-join under Manhattan distance, exact check.
 
-A 64-bit fingerprint is cut into 32 segments of two bits; its embedding is the vector of the segments' bit counts,
-packed into one long. The Manhattan distance of two embeddings never exceeds the Hamming distance of the fingerprints.
-The 32 axes form 8 groups of 4. Two embeddings within distance 4 differ in at most 4 groups, so they share all
-coordinates of at least 4: they meet in a cell of one of the C(8, 4) = 70 grids over four groups. No link is lost.
+A 64-bit fingerprint is cut into segments of two bits; its embedding is the vector of the segments' bit counts. It is cut in
+two ways, with neighbouring bits and with bits two apart in a segment, which gives two embeddings of 32 axes, packed into a
+long each. The Manhattan distance of two embeddings never exceeds the Hamming distance of the fingerprints.
+
+The axes form 8 groups, one for each byte. Two fingerprints within distance 4 differ in at most 4 groups, so they share all
+coordinates, in both embeddings, of at least 4: they meet in a cell of one of the C(8, 4) = 70 grids over four groups. A cell
+holds one in 2**31 random fingerprints, so candidates stay few beside the 70 cells of each fingerprint up to billions.
 
 Of a cell with two fingerprints, its least and greatest are the pair. Larger cells are first shrunk: every member within
-reach of the cell's least fingerprint is tied to it, which is linear in the cell. Only members of different components are then compared, each pair in one grid alone, and a
-pair is emitted only if the Hamming distance confirms it.
+reach of the cell's least fingerprint is tied to it, which is linear in the cell. Only cells whose members are then in
+different components stay open. An open cell of more than SMALL_CELL members is cut again along the four groups that its grid
+leaves out, by the distance of 4 that is left for them: two members either share one of these groups too, and meet in its
+smaller cell, or they differ by one bit in each, so that the range of each group's count that one can reach in the other is one
+up or one down, and only members whose counts are odd where the other's are even are paired. No link is lost; a pair is emitted only if the Hamming distance confirms it.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkscour.llm.common import ship, spread, written
+from sparkscour.llm.common import joined, ship, spread, written
 from sparkscour.llm.components import components
 from sparkscour.llm.simhash_kernel import SEED, SHINGLE_WORDS, simhash
 
@@ -27,6 +33,10 @@ MAX_BITS = 4
 GROUPS = 8
 #: Lower bit of every segment of two bits.
 LOW = 0x5555555555555555
+#: Most members of an open cell whose pairs are formed without cutting it again.
+SMALL_CELL = 32
+#: Most cells, a number each, that are broadcast to find their members.
+MAX_BROADCAST = 500_000
 
 
 def fingerprint(text: Column, n_words: int = SHINGLE_WORDS, seed: int = SEED) -> Column:
@@ -40,13 +50,19 @@ def fingerprint(text: Column, n_words: int = SHINGLE_WORDS, seed: int = SEED) ->
 
 
 def embedding(fp: Column) -> Column:
-    """Bit counts (0, 1, 2) of the 32 segments, two bits each."""
+    """Bit counts (0, 1, 2) of the 32 segments of neighbouring bits, two bits each."""
     half = F.shiftrightunsigned(fp, 1)
     ones = fp.bitwiseXOR(half).bitwiseAND(F.lit(LOW))
     twos = F.shiftleft(fp.bitwiseAND(half).bitwiseAND(F.lit(LOW)), 1)
     return ones.bitwiseOR(twos)
 
 
+def crossed(fp: Column) -> Column:
+    """``fp`` with the second and third bit of every four exchanged: its segments hold bits that are two apart."""
+    inner = F.shiftrightunsigned(fp, 1).bitwiseXOR(fp).bitwiseAND(F.lit(0x2222222222222222))
+    return fp.bitwiseXOR(inner).bitwiseXOR(F.shiftleft(inner, 1))
+
+
 def manhattan(a: Column, b: Column) -> Column:
     """Manhattan distance of two embeddings: segments whose xor is 10 differ by two, 01 and 11 by one."""
     d = a.bitwiseXOR(b)
@@ -59,62 +75,89 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _grids() -> list[tuple[int, int]]:
-    """Of each grid: the bits of its four groups, and a mark for every group outside it that comes before its last."""
-    out = []
-    for chosen in combinations(range(GROUPS), GROUPS - MAX_BITS):
-        bits = sum(0xFF << 8 * g for g in chosen)
-        before = sum(1 << 8 * g for g in range(chosen[-1]) if g not in chosen)
-        out.append((_signed(bits), _signed(before)))
-    return out
+#: The four groups of every grid.
+GRIDS = tuple(combinations(range(GROUPS), GROUPS - MAX_BITS))
 
 
-def _differing(a: Column, b: Column) -> Column:
-    """The lowest bit of every byte in which two embeddings differ."""
-    d = a.bitwiseXOR(b)
-    for n in (4, 2, 1):
-        d = d.bitwiseOR(F.shiftrightunsigned(d, n))
-    return d.bitwiseAND(F.lit(0x0101010101010101))
+def _bits(groups: tuple[int, ...]) -> int:
+    return _signed(sum(0xFF << 8 * g for g in groups))
+
+
+def _cell(grid: Column, bits: Column, fp: Column) -> Column:
+    """One number for the coordinates of a fingerprint on the axes of a grid. Cells that share a number by chance only add
+    candidates."""
+    return F.xxhash64(grid, embedding(fp).bitwiseAND(bits), embedding(crossed(fp)).bitwiseAND(bits))
+
+
+def _cells(fps: DataFrame) -> DataFrame:
+    """(cell, grid, fp): every fingerprint in its cell of every grid."""
+    grid = F.array(*(F.struct(F.lit(i).alias("grid"), F.lit(_bits(g)).alias("bits")) for i, g in enumerate(GRIDS)))
+    placed = fps.select("fp", F.explode(grid).alias("g"))
+    return placed.select(_cell(F.col("g.grid"), F.col("g.bits"), F.col("fp")).alias("cell"), F.col("g.grid").alias("grid"), "fp")
 
 
 def _near(a: Column, b: Column, max_bits: int) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= max_bits
+    return (manhattan(embedding(a), embedding(b)) <= max_bits) & (F.bit_count(a.bitwiseXOR(b)) <= max_bits)
+
+
+def _met(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of cells with at least two fingerprints: edges (u, v) of those with two, and (cell, pivot) of the others."""
+    met = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("pivot"), F.max("fp").alias("top")).where("n > 1")
+    met = written(met, "simhash-met")
+    twos = met.where((F.col("n") == 2) & _near(F.col("top"), F.col("pivot"), MAX_BITS)).select(F.col("top").alias("u"), F.col("pivot").alias("v"))
+    return twos, met.where("n > 2").select("cell", "pivot", "n")
+
+
+def _cut(open_cells: DataFrame) -> DataFrame:
+    """(cell, side, fp, comp): the members of large cells in smaller ones, along the four groups that the grid leaves out.
+
+    A cell for each group, of members that share it (side null: all are paired); and one of members whose groups' counts are
+    all odd where the others' are all even, in which the two sides are paired.
+    """
+    left = F.element_at(F.array(*(F.array(*(F.lit(_bits((r,))) for r in range(GROUPS) if r not in g)) for g in GRIDS)), F.col("grid") + 1)
+    shared = F.transform(F.col("left"), lambda bits: F.struct(_cell(F.col("cell"), bits, F.col("fp")).alias("cell"), F.lit(None).cast("int").alias("side")))
+    odd = F.aggregate(F.col("left"), F.lit(0), lambda a, bits: a * 2 + F.bit_count(F.col("fp").bitwiseAND(bits)) % 2)
+    side = odd >= 8
+    apart = F.struct(F.xxhash64("cell", F.when(side, 15 - odd).otherwise(odd)).alias("cell"), side.cast("int").alias("side"))
+    parts = F.explode(F.concat(shared, F.array(apart))).alias("p")
+    return open_cells.withColumn("left", left).select(parts, "fp", "comp").select("p.cell", "p.side", "fp", "comp")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members (cell, fp, comp, ...) of cells that hold more than one component; with n, how many of them a cell has.
+    ``members`` is a written table."""
+    mixed = members.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).where("a <> b")
+    return joined(members, mixed.select("cell", "n", F.col("n").alias("rows")), "cell", "rows", members.count())
+
+
+def _pairs(cells: DataFrame) -> DataFrame:
+    """Edges (u, v) of all linked members of one cell that are in different components, on different sides if there are sides."""
+    a, b = cells.alias("a"), cells.alias("b")
+    apart = F.coalesce(F.col("a.side") != F.col("b.side"), F.lit(True))
+    on = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.comp") != F.col("b.comp")) & apart & _near(F.col("a.fp"), F.col("b.fp"), MAX_BITS)
+    return a.join(b, on).select(F.col("b.fp").alias("u"), F.col("a.fp").alias("v"))
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (u, v) that connect exactly the fingerprints (column fp, distinct) linked at MAX_BITS differing bits or fewer.
 
-    Not every linked pair has an edge: pairs that earlier edges already connect are left out.
+    Not every linked pair has an edge: pairs that earlier edges already connect are left out. An edge may come twice.
     """
-    grid = F.array(*(F.struct(F.lit(i).alias("grid"), F.lit(bits).alias("bits"), F.lit(before).alias("before")) for i, (bits, before) in enumerate(_grids())))
-    cells = (
-        fps.select("fp", embedding(F.col("fp")).alias("emb"), F.explode(grid).alias("g"))
-        .select("fp", F.col("g.grid").alias("grid"), F.col("emb").bitwiseAND(F.col("g.bits")).alias("cell"))
-    )
-    met = written(cells.groupBy("grid", "cell").agg(F.count("*").alias("n"), F.min("fp").alias("pivot"), F.max("fp").alias("top")).where("n > 1"), "simhash-met")
-    twos = met.where((F.col("n") == 2) & _near(F.col("top"), F.col("pivot"), MAX_BITS)).select(F.col("top").alias("u"), F.col("pivot").alias("v"))
-    shared = written(cells.join(met.where("n > 2").drop("n", "top"), ["grid", "cell"]), "simhash-cells")
+    cells = _cells(fps)
+    twos, met = _met(cells)
+    if met.count() <= MAX_BROADCAST:
+        shared = cells.join(F.broadcast(met.drop("n")), "cell")
+    else:
+        shared = joined(cells, met, "cell", "n", len(GRIDS) * fps.count())
+    shared = written(shared, "simhash-cells")
     stars = shared.where(F.col("fp") != F.col("pivot")).where(_near(F.col("fp"), F.col("pivot"), MAX_BITS)).select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
-    stars = stars.unionByName(twos).distinct()
-    stars = written(stars, "simhash-stars")
+    stars = written(stars.unionByName(twos).distinct(), "simhash-stars")
     known = components(stars, "simhash-stars")
-    members = shared.join(known.withColumnRenamed("node", "fp"), "fp", "left").select("grid", "cell", "fp", F.coalesce("component", "fp").alias("comp"))
-    members = written(members, "simhash-members")
-    mixed = members.groupBy("grid", "cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").drop("a", "b")
-    open_cells = written(members.join(mixed, ["grid", "cell"]), "simhash-open")
-    before = F.element_at(F.array(*(F.lit(x) for _, x in _grids())), F.col("a.grid") + 1)
-    a, b = embedding(F.col("a.fp")), embedding(F.col("b.fp"))
-    pairs = open_cells.alias("a").join(
-        open_cells.alias("b"),
-        (F.col("a.grid") == F.col("b.grid"))
-        & (F.col("a.cell") == F.col("b.cell"))
-        & (F.col("a.fp") < F.col("b.fp"))
-        & (F.col("a.comp") != F.col("b.comp"))
-        & (manhattan(a, b) <= MAX_BITS)
-        & _near(F.col("a.fp"), F.col("b.fp"), MAX_BITS)
-        & (_differing(a, b).bitwiseAND(before) == before),
-    )
-    return stars.unionByName(pairs.select(F.col("b.fp").alias("u"), F.col("a.fp").alias("v")))
+    members = shared.join(known.withColumnRenamed("node", "fp"), "fp", "left").select("cell", "grid", "fp", F.coalesce("component", "fp").alias("comp"))
+    open_cells = written(_open(written(members, "simhash-members")), "simhash-open")
+    small = open_cells.where(F.col("n") <= SMALL_CELL).select("cell", F.lit(None).cast("int").alias("side"), "fp", "comp")
+    cut = written(_cut(open_cells.where(F.col("n") > SMALL_CELL)), "simhash-cut")
+    return stars.unionByName(_pairs(small)).unionByName(_pairs(_open(cut).drop("n")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,13 +170,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     ship(docs.sparkSession)
     own = written(spread(docs.select(id_col, text_col)).select(F.col(id_col), fingerprint(F.col(text_col)).alias("fp")), "simhash-fp")
-    least = written(own.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
+    least = written(own.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "simhash-distinct")
     named = components(links(least.select("fp")), "simhash-components").withColumnRenamed("node", "fp")
-    placed = least.join(named, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component_fp"))
+    placed = least.join(named, "fp", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component_fp"))
     placed = written(placed, "simhash-placed")
-    roots = placed.groupBy("component_fp").agg(F.min("least").alias("component_id"))
-    by_fp = written(placed.join(roots, "component_fp").select("fp", "component_id", "component_fp"), "simhash-roots")
-    return own.join(by_fp, "fp").select(id_col, "fp", "component_id", "component_fp")
+    roots = placed.groupBy("component_fp").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    by_fp = written(joined(placed, roots, "component_fp", "members", placed.count()).select("fp", "component_id", "component_fp", "n"), "simhash-roots")
+    return joined(own, by_fp, "fp", "n", own.count()).select(id_col, "fp", "component_id", "component_fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -55,8 +55,11 @@ def test_embedding_bounds_hamming(spark):
         assert r.m == sum(abs(x - y) for x, y in zip(*counts, strict=True)) <= r.h
 
 
-def test_dense_groups_lose_no_link(spark):
+@pytest.mark.parametrize("small, broadcast", [(simhash.SMALL_CELL, simhash.MAX_BROADCAST), (2, simhash.MAX_BROADCAST), (1, 0)])
+def test_dense_groups_lose_no_link(spark, monkeypatch, small, broadcast):
     """Chains and balls of fingerprints, many in one cell, against all pairs."""
+    monkeypatch.setattr(simhash, "SMALL_CELL", small)
+    monkeypatch.setattr(simhash, "MAX_BROADCAST", broadcast)
     rng = np.random.default_rng(7)
     values = set()
     for centre in rng.integers(0, 2**64, 6, dtype=np.uint64).tolist():
@@ -70,6 +73,44 @@ def test_dense_groups_lose_no_link(spark):
     assert groups(found) == groups(want)
 
 
+@pytest.mark.parametrize("small", [simhash.SMALL_CELL, 4])
+def test_one_crowded_cell(spark, monkeypatch, small):
+    """Hundreds of fingerprints that share 40 bits and differ at random in the others, so that few of one cell are linked."""
+    monkeypatch.setattr(simhash, "SMALL_CELL", small)
+    rng = np.random.default_rng(11)
+    values = sorted({int(x) << 40 | 0xABCDE12345 for x in rng.integers(0, 1 << 23, 400)} | {(1 << 30 | int(x) << 8 | 7) for x in rng.integers(0, 1 << 8, 40)})
+    found = {r.node: r.component for r in components(simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"))).collect()}
+    want = roots(values, lambda a, b: (a ^ b).bit_count() <= 4)
+    groups = lambda m: sorted(sorted(v for v in values if m.get(v, v) == r) for r in {m.get(v, v) for v in values})
+    assert groups(found) == groups(want) and 1 < len(groups(want)) < len(values)
+
+
+def test_few_candidates_beside_cells(spark):
+    """Random fingerprints meet in hardly any of their 70 cells."""
+    counts = {}
+    for n in (10_000, 40_000):
+        fps = spark.range(n).selectExpr("xxhash64(id) AS fp")
+        cells = simhash._cells(fps).groupBy("cell").count().where("count > 1")
+        counts[n] = cells.selectExpr("coalesce(sum(count * (count - 1) / 2), 0)").first()[0]
+    assert counts[10_000] <= 20 and counts[40_000] <= 100
+
+
+def test_crossed_embedding(spark):
+    from pyspark.sql import functions as F
+
+    values = [int(x) - 2**63 for x in np.random.default_rng(5).integers(0, 2**63, 50)]
+    for r in spark.createDataFrame([(v,) for v in values], "v long").select("v", simhash.embedding(simhash.crossed(F.col("v"))).alias("e")).collect():
+        bit = lambda i, v=r.v: v >> i & 1
+        want = [bit(4 * q + i) + bit(4 * q + i + 2) for q in range(16) for i in (0, 1)]
+        assert [(r.e >> 2 * i & 3) for i in range(32)] == want
+
+
+def test_hot_star(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(5000, i) for i in range(2500, 4000)] + [(9001, 9000)], "u long, v long")
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert got == {i: 0 for i in range(4000)} | {5000: 0, 9000: 9000, 9001: 9000}
+
+
 def test_components_of_a_chain_and_none(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5)], "u long, v long")
     got = {r.node: r.component for r in components(chain).collect()}
