@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pytest
+
 from sparkscour.llm import decontamination
 from sparkscour.llm.queries import QUERIES
 
@@ -51,6 +53,22 @@ def test_short_items_repeats_and_nulls(spark):
     assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == [(3, None), (4, ""), (6, "no match here"), *([] if any(r[0] == 7 and r[-1] for r in got) else [(7, "É é K k")])]
 
 
+@pytest.mark.parametrize("keys, windows", [(decontamination.MAX_KEYS, 0), (0, decontamination.MAX_BROADCAST), (0, 0)])
+def test_joins_that_shuffle(spark, data, monkeypatch, keys, windows):
+    monkeypatch.setattr(decontamination, "MAX_KEYS", keys)
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST", windows)
+    test_short_items_repeats_and_nulls(spark)
+    test_op1_against_brute_force(spark, data)
+
+
+def test_items_that_share_a_window(spark):
+    ten = "one two three four five six seven eight nine ten"
+    docs = [(i, f"{i} {ten} {i}") for i in range(30)]
+    items = [(100 + i, ten if i % 2 else f"{ten} {i}") for i in range(40)]
+    got, _ = run(spark, docs, items)
+    assert got == brute(docs, items) and all(r[3] == 40 for r in got)
+
+
 def test_empty_tables_and_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "fox jumps over the lazy dog"), (2, "word " * 12)], "item_id long, text string")
     got = decontamination.contamination(odd_docs, items).collect()
