@@ -6,8 +6,9 @@ content (file and row in it) and the count. So a later run with the same state f
 every earlier text. Partial aggregation comes before the shuffle: a text with very many copies reaches the state as one
 row per task.
 
-A digest that was hit more than once is then checked on full bytes: the least and the greatest normalised text of its
-rows are equal only if all are. These, too, are partial aggregates, so copies meet as one text per task.
+A digest that was hit is then checked on full bytes: the least and the greatest normalised text of its rows are equal only if
+all are. The retained locator brings the keeper's text into that check, also where its file is no longer in the source. These,
+too, are partial aggregates, so copies meet as one text per task. Texts that share a digest and differ are kept apart.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscour.llm.common import UNEVEN_SPACE, scratch, written
+from sparkscour.llm.common import UNEVEN_SPACE, joined, scratch, written
 
 #: State on disk; each partition's store takes the space that it needs, not megabytes in advance.
 STATE_STORE = {
@@ -35,6 +36,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), UNEVEN_SPACE, " ")
 
 
+def digest(text: Column) -> Column:
+    """SHA-256 of a normalised text."""
+    return F.sha2(text, 256)
+
+
 def _place(spark: SparkSession, source: str) -> tuple[str, str]:
     """The folder that a stream watches for ``source``, and the names it takes there."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
@@ -55,7 +61,7 @@ def _update(spark: SparkSession, source: str, state: str, id_col: str, text_col:
         folder, names = _place(spark, source)
         rows = reader.option("pathGlobFilter", names).parquet(folder)
         rows = rows.select(
-            F.sha2(normalised(rows[text_col]), 256).alias("digest"),
+            digest(normalised(rows[text_col])).alias("digest"),
             F.struct(rows[id_col].alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("first"),
             rows[id_col].isNull().alias("nameless"),
         )
@@ -86,24 +92,61 @@ def groups(spark: SparkSession, source: str, state: str | None = None, id_col: s
     return now.select("digest", F.col("keeper.first.id").alias("keep_id"), F.col("keeper.first.file").alias("keep_file"), F.col("keeper.first.row").alias("keep_row"), "group_size")
 
 
+def _located(rows: DataFrame) -> list[Column]:
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+
+
+def _differing(spark: SparkSession, source: str, found: DataFrame, text_col: str) -> DataFrame:
+    """The digests that were hit (group_size above 1) and whose texts, in the source or kept elsewhere, are not all equal."""
+    hit = written(found.where("group_size > 1").select(F.col("digest").alias("of"), "keep_file", "keep_row"), "dedup-hits")
+    few = F.broadcast if hit.count() <= MAX_BROADCAST else (lambda df: df)
+    rows = spark.read.parquet(source)
+    text = normalised(rows[text_col])
+    texts = rows.select(digest(text).alias("digest"), text.alias("t")).join(few(hit.select("of")), F.col("digest") == F.col("of"), "left_semi")
+    own = rows.select("_metadata.file_path").distinct()
+    elsewhere = [r.keep_file for r in hit.select("keep_file").distinct().join(own, F.col("keep_file") == F.col("file_path"), "left_anti").collect()]  # files, not rows
+    if elsewhere:
+        kept = spark.read.schema(rows.schema).parquet(*elsewhere)
+        kept = kept.select(normalised(kept[text_col]).alias("t"), *_located(kept))
+        texts = texts.unionByName(kept.join(hit, (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))).select(F.col("of").alias("digest"), "t"))
+    return texts.groupBy("digest").agg(F.min("t").alias("least"), F.max("t").alias("most")).where("least <> most").select("digest")
+
+
+def _apart(spark: SparkSession, source: str, digests: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The groups of rows of ``source`` whose texts share one of ``digests``, by text: (digest, t, keep_id, keep_file, keep_row, group_size)."""
+    rows = spark.read.parquet(source)
+    text = normalised(rows[text_col])
+    rows = rows.select(digest(text).alias("digest"), text.alias("t"), rows[id_col].alias("id"), *_located(rows)).join(digests, "digest", "left_semi")
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "file", "row"))
+    groups = rows.groupBy("digest", "t").agg(first.alias("k"), F.count("*").alias("group_size"))
+    return groups.select("digest", "t", F.col("k.id").alias("keep_id"), F.col("k.file").alias("keep_file"), F.col("k.row").alias("keep_row"), "group_size")
+
+
 def exact_duplicates(spark: SparkSession, source: str, state: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``source``: id_col, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
     Null texts are empty texts. Of equal texts the row with the least id stays; of rows that repeat that id with an equal
     text, the first by file and row. A group without any id keeps its first row and has a null keep_id. Other columns are
-    not read. An empty table gives no rows. Raises if two texts with one digest differ, or if the state lacks a text of ``source``.
+    not read, whatever they are called. An empty table gives no rows. Texts of any length are compared whole. Raises if the
+    state lacks a text of ``source``. Texts that share a digest and differ are groups of their own, of ``source`` alone.
     """
     found = written(groups(spark, source, state, id_col, text_col), "dedup-groups")
     rows = spark.read.parquet(source)
     text = normalised(rows[text_col])
-    hit = found.where("group_size > 1").select("digest")
-    hit = F.broadcast(hit) if hit.count() <= MAX_BROADCAST else hit
-    own = written(rows.select(rows[id_col].alias("id"), F.sha2(text, 256).alias("digest"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")), "dedup-rows")
-    texts = rows.select(F.sha2(text, 256).alias("digest"), text.alias("t")).join(hit, "digest", "left_semi")
-    differing = texts.groupBy("digest").agg(F.min("t").alias("least"), F.max("t").alias("most")).where("least <> most")
-    if differing.select("digest").head(1):
-        raise ValueError("two texts with one SHA-256 differ")
-    out = own.join(found, "digest", "left")
+    own = written(rows.select(rows[id_col].alias("id"), digest(text).alias("digest"), *_located(rows)), "dedup-rows")
+    apart = written(_differing(spark, source, found, text_col), "dedup-differing")
+    lacking = own.groupBy("digest").agg(F.first("file").alias("file")).join(found, "digest", "left_anti").head(1)
+    if lacking:
+        raise ValueError(f"the state lacks a text of {lacking[0].file}")
+    n = found.withColumn("rows", F.col("group_size"))
+    if apart.head(1):
+        split = written(_apart(spark, source, apart, id_col, text_col), "dedup-apart")
+        named = rows.select(digest(text).alias("digest"), text.alias("t"), *_located(rows)).join(split, ["digest", "t"]).drop("t")
+        own_apart = own.drop("digest").join(named, ["file", "row"])
+        own = own.join(apart, "digest", "left_anti")
+        n = n.join(apart, "digest", "left_anti")
+    out = joined(own, n, "digest", "rows", found.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0])
+    if apart.head(1):
+        out = out.unionByName(own_apart)
     kept = (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))
-    known = lambda c: F.when(F.col("group_size").isNull(), F.raise_error(F.concat(F.lit("the state lacks a text of "), "file"))).otherwise(c)
-    return out.select(F.col("id").alias(id_col), "keep_id", known(F.col("group_size")).alias("group_size"), known(kept).alias("kept"), F.col("digest").alias("text_sha256"))
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))

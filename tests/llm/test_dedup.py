@@ -195,3 +195,26 @@ def test_op2_in_small_batches(spark, tmp_path, data):
     assert whole == parts and len(whole) < 200
 
 
+def test_op2_keeps_texts_apart_that_share_a_digest(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "digest", lambda text: F.sha2(F.length(text).cast("string"), 256))
+    source = str(tmp_path / "in")
+    spark.createDataFrame([(5, "abc"), (1, "abd"), (2, "abc"), (3, "xyz"), (None, "xyz"), (4, "longer")], "doc_id long, text string").write.parquet(source)
+    got = exact_dedup.exact_duplicates(spark, source).collect()
+    assert sorted((r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in got) == [(0, 3, 2, False), (1, 1, 1, True), (2, 2, 2, True), (3, 3, 2, True), (4, 4, 1, True), (5, 2, 2, False)]
+
+
+def test_op2_follows_the_locator_to_files_that_left_the_source(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "digest", lambda text: F.sha2(F.length(text).cast("string"), 256))
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    state = (tmp_path / "state").as_uri()
+    docs((1, "one")).write.parquet(str(tmp_path / "a"))
+    exact_dedup.exact_duplicates(spark, str(tmp_path / "a"), state).collect()
+    first = exact_dedup.groups(spark, str(tmp_path / "a"), state)
+    docs((2, "two")).write.parquet(str(tmp_path / "b"))
+    found = first.unionByName(first).groupBy("digest").agg(F.first("keep_id").alias("keep_id"), F.first("keep_file").alias("keep_file"), F.first("keep_row").alias("keep_row"), F.lit(2).cast("long").alias("group_size"))
+    assert [r.digest for r in exact_dedup._differing(spark, str(tmp_path / "b"), found, "text").collect()] == [hashlib.sha256(b"3").hexdigest()]
+    assert exact_dedup._differing(spark, str(tmp_path / "a"), found, "text").collect() == []
