@@ -158,9 +158,9 @@ def built_in() -> Model:
 
 
 def main_text(html: str | None, model: Model) -> str:
-    """Blocks of content in page order, white space as one space."""
+    """Blocks of content in page order, white space as one space; all text of a page without elements, which has no frame."""
     tree = Tree(html)
-    kept = model.marginals(tree)
+    kept = model.marginals(tree) if len(tree.tag) > 1 else [1.0]
     return " ".join("".join(" " if text is None else text for node, text, _ in tree.pieces if text is None or kept[node] >= 0.5).split())
 
 
@@ -175,8 +175,10 @@ def extracted(html: Column, model: Model) -> Column:
 def extract(pages: DataFrame, html_col: str = "html", model: Model | None = None, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Per row: the columns ``keep``, text, n_chars (code points).
 
-    A null or empty page, or one without content, has an empty text. Broken markup is read as far as it goes. Repeated rows
-    come back as often as they are there. An empty table gives no rows.
+    A null or empty page, or one without content, has an empty text; a page of plain text, without elements, keeps all of it.
+    Broken markup is read as far as it goes, and pages of any length and depth whole. Repeated rows come back as often as they
+    are there, rows without id or URL like any other. Other columns are not read, also if they are called text or n_chars.
+    An empty table gives no rows.
     """
     ship(pages.sparkSession)
     rows = spread(pages.select(*keep, html_col)).select(*keep, extracted(F.col(html_col), model or built_in()).alias("text"))

@@ -3,7 +3,8 @@ between the languages of that family. Where more than GROUP languages (or groups
 duel first, so the duels grow with the number of languages and not with its square.
 
 Features are relative frequencies of hashed character n-grams of the whole text. Models are fitted on the driver from a
-bounded, seeded sample of labelled rows (``per_language`` of each language, fewer where that makes more than MOST_ROWS); every row is scored on the executors.
+bounded, seeded sample of labelled rows (``per_language`` of each language, fewer where that makes more than MOST_ROWS rows or
+MOST_BYTES of features); every row is scored on the executors.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ BITS = 16
 PER_LANGUAGE = 400
 #: Rows that are learned, of all languages; each language has LEAST_ROWS at least.
 MOST_ROWS, LEAST_ROWS = 80_000, 10
+#: Bytes of their features, which the driver holds; rows of long texts are then fewer.
+MOST_BYTES = 200 << 20
 #: Most names that duel with each other; no family of FAMILIES is larger.
 GROUP = 12
 #: Frequencies are small; this brings them near 1.
@@ -176,9 +179,12 @@ def remainder(id_: Column) -> Column:
 def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & (remainder(F.col("id")) != 2) & F.col("text").rlike(r"\p{L}"))
-    n = rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("of"), "n")
+    # a text has at most one feature for each byte and size, and no more than there are buckets; two numbers of four bytes each
+    room = F.least(F.octet_length("text") * len(SIZES), F.lit(1 << BITS)) * 8
+    n = rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg(room).alias("bytes")).select(F.col("lang").alias("of"), "n", "bytes")
     n = written(n, "languages")
-    per_language = min(per_language, max(LEAST_ROWS, MOST_ROWS // max(1, n.count())))
+    count, size = n.agg(F.count("*"), F.coalesce(F.sum(F.least("n", F.lit(per_language)) * F.col("bytes")), F.lit(0.0))).first()
+    per_language = min(per_language, max(LEAST_ROWS, MOST_ROWS // max(1, count)), max(LEAST_ROWS, int(per_language * MOST_BYTES / max(1.0, size))))
     draw = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 30)) / float(1 << 30)
 
     @F.pandas_udf("struct<buckets: binary, counts: binary>")
@@ -215,8 +221,9 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: id_col, held_out, lang_pred, score.
 
     Texts that are null or have no letter are ``und``; so is every text if no row has a language to learn from. Rows
-    without id are neither learned from nor held out. Repeated rows come back as often as they are there. An empty table
-    gives no rows.
+    without id are neither learned from nor held out. Repeated rows come back as often as they are there. Texts of any length
+    are read whole, in blocks. Of languages that win alike, the last by code is predicted. Other columns are not read,
+    whatever they are called. An empty table gives no rows.
     """
     docs = spread(docs.select(id_col, text_col, lang_col))
     model = fitted(docs, id_col, text_col, lang_col)
@@ -225,7 +232,11 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language is ``und``; a row without a language gets the predicted one."""
+    """``docs`` without the rows whose language is ``und``; a row without a language gets the predicted one.
+
+    Null texts and texts without a letter go. Repeated rows and rows without id stay like any other. Columns keep their names,
+    order and values, whatever they are called. An empty table gives no rows.
+    """
     docs = spread(docs)
     model = fitted(docs, id_col, text_col, lang_col)
     rows = docs.select(F.struct("*").alias("row"), predicted(docs.sparkSession, model, F.col(text_col)).alias("f"))

@@ -120,7 +120,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with its own columns. Rows of size 0 count as taken
-    as often as their source repeats them."""
+    """The mix itself: every row of ``docs`` as often as it is taken, with its own columns, whatever they are called.
+
+    Rows of size 0 (null, empty and blank texts) count as taken as often as their source repeats them. Null sources are one
+    source. Rows without id are ordered by their text; of rows that are alike, as many are taken as the mix needs. An empty
+    table gives no rows.
+    """
     out = mix(docs, keep_row=True, **options).where("reps > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("reps").cast("int")))).select("row.*")

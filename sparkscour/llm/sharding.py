@@ -55,7 +55,10 @@ def facts(id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS)
 
 
 def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """``docs`` with the columns of ``facts``; each replaces a column of that name. A map without a shuffle."""
+    """``docs`` with the columns of ``facts``; each replaces a column of that name, all others stay. A map without a shuffle.
+
+    A null or empty text has size 1. A row without id goes by its text; rows alike go to one shard. An empty table gives none.
+    """
     ship(docs.sparkSession)
     return docs.select(*(c for c in docs.columns if c not in facts(id_col, text_col)), *(v.alias(k) for k, v in facts(id_col, text_col, shards).items()))
 
@@ -64,8 +67,8 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """Per row: id_col, size, text_crc32, law, shard, slot (gapless from 0 in each shard), grown_shard.
 
     A null text counts as empty (size 1). Rows without id are placed by their text. Repeated rows share a shard and
-    have slots of their own. Slots follow a hash of the row, so runs agree whatever the partitions are. An empty table
-    gives no rows. Other columns are not read.
+    have slots of their own. Slots follow a hash of the row, so runs agree whatever the partitions are. Texts of any length
+    count whole. An empty table gives no rows. Other columns are not read, whatever they are called.
     """
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), *(v.alias(k) for k, v in facts(id_col, text_col, shards).items()))

@@ -90,8 +90,9 @@ def score(spark: SparkSession, model: Model, text: Column) -> Column:
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, held_out, score, predicted (1 from THRESHOLD on).
 
-    Empty and null texts get the score of the bias. Rows without id are not held out and not learned from. Repeated rows
-    come back as often as they are there. Empty tables give no rows or the score of no label at all.
+    Empty and null texts get the score of the bias. Texts of any length are read whole, in blocks. Rows without id are not held
+    out and not learned from. Repeated rows come back as often as they are there. Other columns are not read, whatever they
+    are called. Empty tables give no rows or the score of no label at all.
     """
     docs = spread(docs.select(id_col, text_col))
     model = fitted(docs, labels, id_col, text_col)

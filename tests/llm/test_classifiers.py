@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+from math import exp, log
 from zlib import crc32
 
 import numpy as np
@@ -109,3 +111,75 @@ def test_inputs_are_text_only(spark):
     a = docs.select("doc_id", langid.predicted(spark, model, F.col("text")).alias("p")).collect()
     b = docs.select((F.col("doc_id") + 10**6).alias("doc_id"), "text").select("doc_id", langid.predicted(spark, model, F.col("text")).alias("p")).collect()
     assert {(r.doc_id + 10**6, r.p) for r in a} == {(r.doc_id, r.p) for r in b}
+
+
+def plain_grams(text, sizes):
+    """The byte n-grams of the lower-cased words of a text, with a space before and after each."""
+    data = "".join(c if c.isalpha() or ord(c) >= 0x80 else " " for c in (text or "").lower()).encode()
+    data = b" " + b" ".join(data.split()) + b" "
+    return [data[i : i + n] for n in sizes for i in range(len(data) - n + 1)]
+
+
+def plain_bucket(gram, bits):
+    return ((int.from_bytes(gram, "big") + (len(gram) << 56)) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - bits)
+
+
+def test_toxic_scores_by_brute_force(spark):
+    """Ratios, weights and scores once more, row by row: naive Bayes shares, and a gradient that vanishes at the fit."""
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    known = {i: y for i, y in labels.items() if y in (0, 1) and not held_out(i) and i in texts}
+    size = {y: sum(v == y for v in known.values()) for y in (0, 1)}
+    grams = {i: {plain_bucket(g, toxicity.BITS) for g in plain_grams(texts[i], toxicity.SIZES)} for i in texts}
+    seen = {y: Counter(b for i, v in known.items() if v == y for b in grams[i]) for y in (0, 1)}
+    ratio = {b: log(((seen[1][b] + 1) / (size[1] + 2)) / ((seen[0][b] + 1) / (size[0] + 2))) for b in seen[0] | seen[1]}
+    told = {b: r for b, r in ratio.items() if abs(r) >= 1 and seen[0][b] + seen[1][b] >= 5}
+    model = toxicity.fitted(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    assert set(np.flatnonzero(model.weights).tolist()) <= set(told)
+    margin = lambda i: sum(float(model.weights[b]) for b in grams[i]) + model.bias
+    for r in QUERIES["op4_toxicity"](spark, folder).collect():
+        assert abs(r.score - 1 / (1 + exp(-margin(r.doc_id)))) < 1e-5
+    push = {i: (1 if y else -1) * (0.5 / size[y]) / (1 + exp((1 if y else -1) * margin(i))) for i, y in known.items()}
+    assert abs(sum(push.values())) < 0.02
+    for b, x in told.items():
+        assert abs(sum(push[i] * x for i in known if b in grams[i]) - toxicity.PENALTY * float(model.weights[b]) / x) < 0.05
+
+
+def test_language_votes_by_brute_force(spark):
+    """Family first, then all duels of the family: margins from relative frequencies, votes by sigmoids."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = langid.fitted(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op6_language_id"](spark, folder).collect()}
+    bucket_of = lambda g: plain_bucket(g, langid.BITS)
+    for r in docs.collect():
+        counts = Counter(bucket_of(g) for g in plain_grams(r.text, langid.SIZES))
+        n = sum(counts.values())
+
+        def winner(of, names, counts=counts, n=n):
+            if len(names) == 1:
+                return names[0], 1.0
+            duels, won = model.duels[of], dict.fromkeys(names, 0.0)
+            for (a, b), i in duels.pairs.items():
+                margin = duels.bias[i] + sum(c / n * 30.0 * float(duels.weights[duels.place[x], i]) for x, c in counts.items())
+                p = 1 / (1 + exp(-3 * margin))
+                won[a] += p
+                won[b] += 1 - p
+            best = max(names, key=lambda x: (won[x], x))
+            return best, won[best] / (len(names) - 1)
+
+        kin, p = winner(None, model.families)
+        lang, q = winner(("family", kin), model.members["family", kin])
+        if any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id][0] == lang and abs(got[r.doc_id][1] - p * q) < 1e-5
+        else:
+            assert got[r.doc_id] == ("und", 0.0)
+
+
+def test_features_are_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 7} " * 400 + "x" * i, "en" if i % 2 else "de") for i in range(400)], "doc_id long, text string, lang string")
+    whole = langid._sample(docs, "doc_id", "text", "lang", 400)
+    monkeypatch.setattr(langid, "MOST_BYTES", 1_000_000)
+    part = langid._sample(docs, "doc_id", "text", "lang", 400)
+    assert 2 * langid.LEAST_ROWS / 2 <= len(part) < len(whole) / 2 and {x for x, _, _ in part} == {"de", "en"}

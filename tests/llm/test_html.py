@@ -63,6 +63,8 @@ def test_marginals_are_exact():
         (None, ""),
         ("", ""),
         ("<!-- only a comment -->", ""),
+        ("Just a plain sentence page. Two sentences.", "Just a plain sentence page. Two sentences."),
+        ("Plain  &amp; short,\nwith <b>bold</b> words", "Plain & short, with bold words"),
         ("<script>var a = '<p>no</p>';</script>", ""),
         (
             '<body><header class="site-header"><h1>Site</h1><nav><a href=/>Home</a></nav></header><div id="cookie-banner">We use cookies. OK?</div><main><article>'
@@ -88,3 +90,5 @@ def test_odd_rows(spark):
     got = extract(pages).collect()
     assert [(r.page_id, r.url, r.text, r.n_chars) for r in got] == [(1, "u", "Some text stands here. And more of it.", 38), (1, None, "", 0), (None, "v", "", 0)]
     assert extract(pages.where("false")).collect() == []
+    clashing = pages.selectExpr("*", "'z' AS n_chars", "'z' AS node", "'z' AS kept").drop("text")
+    assert [(r.page_id, r.text, r.n_chars) for r in extract(clashing).collect()] == [(r.page_id, r.text, r.n_chars) for r in got]

@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 from sparkscour.llm import mixing, sharding
 from sparkscour.llm.queries import ORACLE_SQL, QUERIES
@@ -89,6 +90,14 @@ def test_op5(spark, data):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     got = QUERIES["op5_sharding"](spark, data).collect()
     assert {r.doc_id: (r.size, r.text_crc32, r.law) for r in got} == {i: (len(t.encode()) + 1, zlib.crc32(t.encode()), "key") for i, t in docs.items()}
+    def naive(doc_id, shards):
+        b, j, k = -1, 0, xxhash.xxh64_intdigest(str(doc_id))
+        while j < shards:
+            b, k = j, (k * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * ((1 << 31) / ((k >> 33) + 1)))
+        return b
+
+    assert {r.doc_id: (r.shard, r.grown_shard) for r in got} == {i: (naive(i, 8), naive(i, 9)) for i in docs}
     for s in range(8):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert all(r.grown_shard in (r.shard, 8) for r in got) and {r.grown_shard for r in got} == set(range(9))
