@@ -23,7 +23,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """``docs`` over all cores, if it comes from fewer files: a scan reads a small file, or one row group, in one task, and
-    texts take much longer to work on than to move. Tables of many files, and tables from elsewhere, stay as they are."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
+    """``docs`` over all cores, if it is small and comes from fewer files: a scan reads a small file, or one row group, in one
+    task, and texts take much longer to work on than to move. A table that is large enough for every core to get a split of its
+    own, one of many files, and one from elsewhere stay as they are; so at most a split for each core is moved."""
+    spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if plan.stats().sizeInBytes() >= cores * split:
+        return docs
     return docs.repartition(cores) if 0 < len(docs._jdf.inputFiles()) < cores else docs
