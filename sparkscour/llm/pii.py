@@ -9,7 +9,7 @@ hold the two. All its occurrences in documents with the entity become spans of k
 kind of word by ``sanitised``, base spans to their kind. With ``near=None`` the whole document is near.
 
 Counts cover all documents. Copies of a text count once; texts are told apart by their SHA-256. Base spans are found on each
-row itself, so only the disclosing terms are joined to the texts.
+row itself; the places of disclosing terms are kept by text and joined to rows without moving their texts.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ REACH = 200
 DISCLOSURE = 0.9
 #: Shorter words tell nothing of a person.
 LEAST_TERM = 4
-#: Most disclosing terms that are broadcast; beyond that the join shuffles.
-MAX_BROADCAST = 200_000
+#: Most places of disclosing terms (two numbers each) that are broadcast; beyond that the join shuffles.
+MAX_BROADCAST = 1_000_000
+#: Most hashes of terms that are broadcast, to leave the words out of the counts that none of them can be.
+MAX_HASHES = 4_000_000
 #: Most marks (a number each) of texts with copies that are broadcast.
 MAX_COPIES = 2_000_000
 #: Parts that the rows of one text are dealt to where the terms of texts are too many to broadcast.
@@ -130,38 +132,36 @@ def entity(text: str, span: tuple[str, int, int]) -> str:
     return f"{kind}:{value if kind in ('email', 'ip') else _NO_DIGIT.sub('', value)}"
 
 
+_SPAN = "struct<start: long, end: long>"
+
+
 def _found(text: Column, near: int | None) -> Column:
-    """Base spans of a text, its entities, the words that may be terms, and the pairs of them that are near each other (no pairs if all are)."""
+    """Entities of a text, the words that may be terms with all their places, and the pairs of them that are near each other (no pairs if all are)."""
 
-    @F.pandas_udf("struct<base: array<struct<kind: string, start: long, end: long>>, entities: array<string>, words: array<string>, near: array<struct<term: string, entity: string>>>")
+    @F.pandas_udf(f"struct<entities: array<string>, words: array<struct<term: string, places: array<{_SPAN}>>>, near: array<struct<term: string, entity: string>>>")
     def run(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
             spans = base_spans(text)
             named = [entity(text, s) for s in spans]
             pairs = sorted({(t, named[i]) for t, _, _, i in neighbours(text, spans, near)}) if near is not None else []
-            terms = {t for t, _ in pairs} if near is not None or not spans else {t for t, _, _ in words(text, spans)}
-            out.append(([{"kind": k, "start": a, "end": b} for k, a, b in spans], sorted(set(named)), sorted(terms), [{"term": t, "entity": e} for t, e in pairs]))
-        return pd.DataFrame(out, columns=["base", "entities", "words", "near"])
+            wanted = {t for t, _ in pairs}
+            places: dict[str, list[dict]] = {}
+            for t, a, b in words(text, spans) if spans else ():
+                if near is None or t in wanted:
+                    places.setdefault(t, []).append({"start": a, "end": b})
+            out.append((sorted(set(named)), [{"term": t, "places": places[t]} for t in sorted(places)], [{"term": t, "entity": e} for t, e in pairs]))
+        return pd.DataFrame(out, columns=["entities", "words", "near"])
 
     return run.asNondeterministic()(text)  # so that a filter on it doesn't run it again
 
 
-def _marked(text: Column, terms: Column) -> Column:
-    """The base spans of a text, then every occurrence of the terms."""
-
+def _base(text: Column) -> Column:
     @F.pandas_udf("array<struct<kind: string, start: long, end: long>>")
-    def run(texts: pd.Series, told: pd.Series) -> pd.Series:
-        out = []
-        for text, terms in zip(texts, told, strict=True):
-            spans = base_spans(text)
-            if terms is not None and len(terms):
-                wanted = set(terms)
-                spans += [("term", a, b) for t, a, b in words(text, spans) if t in wanted]
-            out.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-        return pd.Series(out, dtype=object)
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in base_spans(text)] for text in texts], dtype=object)
 
-    return run(text, terms)
+    return run(text)
 
 
 def _digest(text: Column) -> Column:
@@ -177,10 +177,10 @@ def _documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
     # a text whose mark no other row has is no copy and needs no name, so the shuffle takes a number for each term and task, not a row for each text
     name = F.when(F.col("copy").isNotNull(), _digest(F.col("text")))
     found = docs.join(copies, docs["mark"] == copies["copy"], "left").select(name.alias("copy"), word)
-    few = terms.count() <= MAX_BROADCAST
-    found = found.join(F.broadcast(terms), "term") if few else found
+    if terms.count() <= MAX_HASHES:
+        found = found.join(F.broadcast(terms.select(F.xxhash64("term").alias("hash")).distinct()), F.xxhash64(found["term"]) == F.col("hash"), "left_semi")
     counts = found.groupBy("term", "copy").agg(F.count("*").alias("rows")).groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("rows")).otherwise(1)).alias("m"))
-    return counts if few else counts.join(terms, "term")
+    return counts.join(terms, "term")
 
 
 def _frequency(held: DataFrame) -> DataFrame:
@@ -188,9 +188,9 @@ def _frequency(held: DataFrame) -> DataFrame:
     return written(held.groupBy("entity").agg(F.count("*").alias("n")), "pii-frequencies").withColumn("rows", F.col("n"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, held: DataFrame, near: int | None = NEAR) -> DataFrame:
-    """(term, entity, share) of the terms that disclose an entity. ``docs``: text, digest; ``found``: digest, words, near; ``held``: digest, entity."""
-    word = written(found.select("digest", F.explode("words").alias("term")), "pii-words")
+def disclosing(docs: DataFrame, word: DataFrame, near: DataFrame | None, held: DataFrame) -> DataFrame:
+    """(term, entity, share) of the terms that disclose an entity. ``docs``: text, digest; ``word``: digest, term; ``held``:
+    digest, entity; ``near``: term, entity for each text that holds the two near each other, None if any two of a text are."""
     seen = written(word.groupBy("term").agg(F.count("*").alias("seen")), "pii-terms").withColumn("rows", F.col("seen"))
     n = _frequency(held)
     n_words, n_held = word.count(), held.count()
@@ -203,15 +203,12 @@ def disclosing(docs: DataFrame, found: DataFrame, held: DataFrame, near: int | N
     if near is None:
         # the two are together in no more documents than the rarer is in, so pairs beyond this cannot disclose and need not be made
         reach = F.log2(total / F.greatest("n", "seen")) >= DISCLOSURE * F.log2(total / F.col("n")) - 1e-9
-        together = joined(word, seen, "term", "rows", n_words).join(joined(held, n, "entity", "rows", n_held), "digest").where(reach).select("term", "entity")
-    else:
-        together = found.select(F.explode("near").alias("n")).select("n.term", "n.entity")
-    pairs = together.groupBy("term", "entity").agg(F.count("*").alias("k"))
+        near = joined(word, seen, "term", "rows", n_words).join(joined(held, n, "entity", "rows", n_held), "digest").where(reach).select("term", "entity")
+    pairs = written(near.groupBy("term", "entity").agg(F.count("*").alias("k")), "pii-together")
     # a term is in no fewer documents than it was seen in here, so this share is never below the true one
-    pairs = written(pairs, "pii-together")
     likely = joined(pairs, seen, "term", "rows", n_words).join(n.drop("rows"), "entity").where(share("seen") >= DISCLOSURE)
     likely = written(likely.select("term", "entity", "k", "n", "seen"), "pii-pairs")
-    m = _documents_with(docs, likely.select("term").distinct())
+    m = _documents_with(docs, written(likely.select("term").distinct(), "pii-likely"))
     # the two sides may read rare letters differently, but a term is in all documents that it was seen in
     likely = likely.join(m, "term", "left").withColumn("m", F.greatest(F.coalesce("m", F.lit(0)), "seen"))
     return likely.select("term", "entity", share("m").alias("share")).where(F.col("share") >= DISCLOSURE)
@@ -228,21 +225,26 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near:
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), text.alias("text"))
-    found = rows.select("text", _found(F.col("text"), near).alias("f")).select("text", "f.*").where(F.size("base") > 0).withColumn("digest", _digest(F.col("text")))
+    found = rows.select(_digest(F.col("text")).alias("digest"), _found(F.col("text"), near).alias("f")).select("digest", "f.*").where(F.size("entities") > 0)
     hits = written(found.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("entities", "words", "near"))), "pii-hits")
     held = written(hits.select("digest", F.explode("entities").alias("entity")), "pii-entities")
-    told = written(disclosing(rows.withColumn("digest", _digest(F.col("text"))), hits, held, near), "pii-disclosing")
+    word = written(hits.select("digest", F.explode("words").alias("w")).select("digest", "w.*"), "pii-words")
+    pairs = None if near is None else hits.select(F.explode("near").alias("n")).select("n.*")
+    told = written(disclosing(rows.withColumn("digest", _digest(F.col("text"))), word.drop("places"), pairs, held), "pii-disclosing")
     told = written(told.groupBy("entity").agg(F.collect_set("term").alias("terms")).join(_frequency(held).drop("n"), "entity"), "pii-told")
-    terms = joined(held, told, "entity", "rows", held.count()).groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-    terms = written(terms, "pii-terms")
-    own = rows.withColumn("of", _digest(F.col("text")))
-    if terms.agg(F.coalesce(F.sum(F.size("terms") + 4), F.lit(0))).first()[0] <= MAX_BROADCAST:
-        out = own.join(F.broadcast(terms), own["of"] == terms["digest"], "left")
+    terms = joined(held, told, "entity", "rows", held.count()).select("digest", F.explode("terms").alias("term")).distinct()
+    # by text and term, so that no key is hotter than one word of one text
+    places = word.join(terms, ["digest", "term"]).groupBy("digest").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+    places = written(places, "pii-places")
+    own = rows.select("id", "text", _digest(F.col("text")).alias("of"), _base(F.col("text")).alias("base"))
+    if places.agg(F.coalesce(F.sum(F.size("places") + 4), F.lit(0))).first()[0] <= MAX_BROADCAST:
+        out = own.join(F.broadcast(places), own["of"] == places["digest"], "left")
     else:
         own = own.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-        terms = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = own.join(terms, (own["of"] == terms["digest"]) & (own["salt"] == terms["part"]), "left")
-    return out.select(F.col("id").alias(id_col), "text", _marked(F.col("text"), F.col("terms")).alias("spans"))
+        places = places.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = own.join(places, (own["of"] == places["digest"]) & (own["salt"] == places["part"]), "left")
+    more = F.transform("places", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return out.select(F.col("id").alias(id_col), "text", F.concat("base", F.coalesce(more, F.array().cast("array<struct<kind: string, start: long, end: long>>"))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

@@ -108,6 +108,7 @@ def brute_terms(texts):
 @pytest.mark.parametrize("broadcast", [pii.MAX_BROADCAST, 0])
 def test_disclosing_terms_by_brute_force(spark, monkeypatch, folder, broadcast):
     monkeypatch.setattr(pii, "MAX_BROADCAST", broadcast)
+    monkeypatch.setattr(pii, "MAX_HASHES", broadcast)
     docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
     want = brute_terms([r.text or "" for r in docs.collect()])
     got = pii.spans(docs, near=None).collect()
