@@ -178,6 +178,19 @@ def moved(at: int, edits: Iterable[Change]) -> int | None:
     return at + shift
 
 
+def carried(at: int, edits: Iterable[Change], after: bool) -> int:
+    """Where an end of a span is after edits in order; one inside something replaced moves to its end or its start."""
+    shift = 0
+    for c in edits:
+        if c.end < at or c.end == at and (after or c.start < at):
+            shift += len(c.insert) - (c.end - c.start)
+        elif c.start < at < c.end:
+            return c.start + shift + (len(c.insert) if after else 0)
+        else:
+            break
+    return at + shift
+
+
 @dataclass
 class Cleaned:
     text: str
@@ -186,23 +199,26 @@ class Cleaned:
     refused: int = 0
 
 
-def clean(text: str, config: Config, registry: Registry, selection: Selection, skips: Iterable[tuple[str, int]] = (), allow: Callable[[Finding], bool] | None = None) -> Cleaned:
+def clean(text: str, config: Config, registry: Registry, selection: Selection, skips: Iterable[tuple[str, int]] = (), allow: Callable[[Finding], bool] | None = None, wording: Iterable[tuple[int, int]] | None = None) -> Cleaned:
     """Apply the selected rules until the text is stable. Rules that are not selected are off from the start, so they cannot
-    win an overlap. ``skips`` (rule, start) stay as they are through all passes; ``allow`` may refuse a change."""
+    win an overlap. ``skips`` (rule, start) stay as they are through all passes; ``allow`` may refuse a change. With
+    ``wording``, spans of the text, rules of wording may change only what lies in one of them."""
     chosen = selection.rule_ids
     on = frozenset(x for x in config.enabled if (r := registry.by_id.get(x)) and (r.guard or x in chosen and (r.bulk != "wording" or selection.include_wording)))
     narrowed = Config(config.file_type, config.preset, on, config.options)
     plain = any(x.startswith("plain.") and config.file_type in registry.by_id[x].files for x in config.enabled if x in registry.by_id)
     out, kept = Cleaned(text), set(skips)
+    free = None if wording is None else sorted(wording)
     for _ in range(CONVERSION_PASSES if plain else PASSES):
         taken: list[Finding] = []
         for f in scan(out.text, narrowed, registry):
             if (f.rule_id, f.start) in kept:
                 continue
-            wording = registry.by_id[f.rule_id].bulk == "wording" and selection.include_wording
+            about_wording = registry.by_id[f.rule_id].bulk == "wording"
+            wording = about_wording and selection.include_wording
             if f.repl is None and not wording:
                 continue
-            if allow and not allow(f):
+            if allow and not allow(f) or about_wording and free is not None and not any(a <= f.start and f.end <= b for a, b in free):
                 out.refused += 1
                 kept.add((f.rule_id, f.start))
             elif not wording:
@@ -216,6 +232,7 @@ def clean(text: str, config: Config, registry: Registry, selection: Selection, s
         out.passes.append(edits)
         before, out.text = out.text, applied(out.text, edits)
         kept = {(rule, to) for rule, at in kept if (to := moved(at, edits)) is not None}
+        free = free and [(carried(a, edits, True), carried(b, edits, False)) for a, b in free]
         if out.text == before:
             break
     return out

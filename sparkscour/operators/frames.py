@@ -8,6 +8,7 @@ empty; rows come back once each whatever their id; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from sparkscour.operators.engine import Cleaned, Decision, Finding, Registry, ap
 from sparkscour.operators.spans import regions as text_regions
 from sparkscour.plans import registry
 from sparkscour.plans.rules import GROUPS, Config, Rule, Selection, config, moderate, selected
+from sparkscour.sources import word
 
 REGION = "array<struct<type: string, start: int, end: int>>"
 FINDING = "array<struct<rule_id: string, start: int, end: int, orig: string, repl: string, kind: string, suggestions: array<string>, note: string>>"
@@ -144,6 +146,62 @@ def profile(docs: DataFrame, settings: Config | None = None, id_col: str = "doc_
     return with_style.withColumn("signals_per_1k", rate).drop("style")
 
 
+WORD_CLEANED = "struct<content: binary, text: string, n_passes: int, applied: map<string, int>, refused: int, error: string>"
+
+
+def _for_word(settings: Config | None) -> Config:
+    """Without the rules about lines, which Word's paragraphs do not have."""
+    settings = settings or default_config()
+    return replace(settings, enabled=settings.enabled - word.DISABLED)
+
+
+def word_findings(files: DataFrame, settings: Config | None = None, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """(id_col, rule_id, group_id, start, end, orig, repl, kind, suggestions, note, error) of the texts of Word files: what their
+    formatting hides is found too, and rules about lines are off. A file that cannot be read is a row with its error alone."""
+    known = _for_word(settings)
+
+    @F.pandas_udf(f"struct<found: {FINDING}, error: string>")
+    def run(contents: pd.Series) -> pd.DataFrame:
+        rows = []
+        for data in contents:
+            try:
+                doc = word.load(data or b"")
+                rows.append(([_row(f) for f in scan(doc.text, known, registry.REGISTRY, doc.hidden)], None))
+            except Exception as e:  # one bad file must not end the job
+                rows.append((None, word.told(e)))
+        return pd.DataFrame(rows, columns=["found", "error"])
+
+    ship(files.sparkSession)
+    found = files.select(F.col(id_col), run(F.col(content_col)).alias("w")).select(id_col, F.col("w.error").alias("error"), F.explode_outer("w.found").alias("f")).where("f IS NOT NULL OR error IS NOT NULL")
+    return found.select(id_col, "f.rule_id", F.split("f.rule_id", r"\.")[0].alias("group_id"), "f.start", "f.end", "f.orig", "f.repl", "f.kind", "f.suggestions", "f.note", "error")
+
+
+def word_cleaned(files: DataFrame, settings: Config | None = None, selection: Selection | None = None, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """(id_col, content, text, n_passes, applied, refused, error): Word files with the selected fixes in their runs.
+
+    Wording changes only within one ordinary run: not in links, fields, tracked changes and content controls. ``refused`` counts
+    what that leaves out, and edits that would touch a paragraph's end or a tab. A file that cannot be read has an error and
+    null results.
+    """
+    known, selection = _for_word(settings), selection or default_selection()
+
+    @F.pandas_udf(WORD_CLEANED)
+    def run(contents: pd.Series) -> pd.DataFrame:
+        rows = []
+        for data in contents:
+            try:
+                doc = word.load(data or b"")
+                c = clean(doc.text, known, registry.REGISTRY, selection, wording=word.wording_spans(doc))
+                content, refused = word.edit_passes(data, c.passes)
+                rows.append((content, word.load(content).text, len(c.passes), dict(c.applied), c.refused + refused, None))
+            except Exception as e:  # one bad file must not end the job
+                rows.append((None, None, 0, {}, 0, word.told(e)))
+        return pd.DataFrame(rows, columns=["content", "text", "n_passes", "applied", "refused", "error"])
+
+    ship(files.sparkSession)
+    return files.select(F.col(id_col), run(F.col(content_col)).alias("w")).select(id_col, "w.*")
+
+
 def tally(found: DataFrame, *by: str) -> DataFrame:
     """How many findings there are by the columns ``by``: partial sums before the shuffle."""
     return found.groupBy(*by).agg(F.count("*").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import io
 import re
 import zipfile
@@ -25,6 +26,7 @@ DISABLED = frozenset(
 _PLAIN_TEXT_OFF = frozenset("delText instrText".split())
 _WORDING_OFF = frozenset("hyperlink fldSimple ins del moveFrom moveTo sdt".split())
 SMALLEST = 4  # half points
+_NOT_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 
 
 @dataclass
@@ -41,6 +43,7 @@ class Segment:
 @dataclass
 class WordFile:
     archive: dict[str, bytes]
+    spaces: dict[str, dict[str, str]]  # of each part, the names that its prefixes stand for
     trees: dict[str, ElementTree.Element]
     text: str = ""
     segments: list[Segment] = field(default_factory=list)
@@ -58,7 +61,8 @@ def _unseen(run: ElementTree.Element) -> bool:
         return False
     color, size = p.find(W + "color"), p.find(W + "sz")
     white = color is not None and color.get(W + "val", "").upper() in ("FFFFFF", "WHITE")
-    tiny = size is not None and size.get(W + "val", "").isdigit() and int(size.get(W + "val")) <= SMALLEST
+    number = re.fullmatch(r"\s*(\d+(?:\.\d*)?|\.\d+)\s*", size.get(W + "val", "")) if size is not None else None
+    tiny = number is not None and float(number[1]) <= SMALLEST
     return _on(p, "vanish") or _on(p, "specVanish") or white or tiny
 
 
@@ -71,40 +75,42 @@ def _parts(names: Iterable[str]) -> list[str]:
 
 
 class _Reader:
-    """Walks one part in order; a paragraph inside another is a paragraph of its own, after the one it is in."""
+    """Walks one part in order; a paragraph inside another is a paragraph of its own, after the one it is in. A field may begin
+    in one paragraph and end in another; an end without a beginning is none."""
 
     def __init__(self, word: WordFile, part: str):
         self.word, self.part = word, part
+        self.depth = 0
         self.paragraphs: list[list[tuple[str, ElementTree.Element | None, bool, bool]]] = []
 
     def read(self) -> None:
-        stack = [self.word.trees[self.part]]
+        stack = [(self.word.trees[self.part], False)]
         while stack:
-            node = stack.pop()
+            node, fixed = stack.pop()
             if node.tag == W + "p":
-                self._paragraph(node, stack)
+                self._paragraph(node, fixed, stack)
             else:
-                stack.extend(reversed(node))
+                fixed = fixed or node.tag.rpartition("}")[2] in _WORDING_OFF
+                stack.extend((x, fixed) for x in reversed(node))
 
-    def _paragraph(self, p: ElementTree.Element, later: list[ElementTree.Element]) -> None:
+    def _paragraph(self, p: ElementTree.Element, kept: bool, later: list[tuple[ElementTree.Element, bool]]) -> None:
         pieces: list[tuple[str, ElementTree.Element | None, bool, bool]] = []
-        inner: list[ElementTree.Element] = []
-        depth = 0
-        todo = [(x, False, False) for x in reversed(p)]
+        inner: list[tuple[ElementTree.Element, bool]] = []
+        todo = [(x, False, kept) for x in reversed(p)]
         while todo:
             node, unseen, fixed = todo.pop()
             name = node.tag.removeprefix(W)
             if name == "p":
-                inner.append(node)
+                inner.append((node, fixed))
             elif name == "fldChar":
-                depth += {"begin": 1, "end": -1}.get(node.get(W + "fldCharType", ""), 0)
+                self.depth = max(0, self.depth + {"begin": 1, "end": -1}.get(node.get(W + "fldCharType", ""), 0))
             elif name == "t":
-                pieces.append((node.text or "", node, unseen, not fixed and not unseen and depth <= 0))
+                pieces.append((node.text or "", node, unseen, not fixed and not unseen and not self.depth))
             elif name in ("tab", "br", "cr"):
                 pieces.append(("\t" if name == "tab" else "\n", None, unseen, False))
             elif name not in _PLAIN_TEXT_OFF and name not in ("rPr", "pPr"):
                 hidden = unseen or name == "r" and _unseen(node)
-                todo.extend((x, hidden, fixed or name in _WORDING_OFF) for x in reversed(node))
+                todo.extend((x, hidden, fixed or name.rpartition("}")[2] in _WORDING_OFF) for x in reversed(node))
         self.paragraphs.append(pieces)
         later.extend(reversed(inner))
 
@@ -118,7 +124,9 @@ def load(data: bytes) -> WordFile:
         raise ValueError("no Word file") from e
     if "word/document.xml" not in archive:
         raise ValueError("no Word file: word/document.xml is missing")
-    word = WordFile(archive, {x: ElementTree.fromstring(archive[x]) for x in _parts(archive)})
+    parts = _parts(archive)
+    spaces = {x: dict(name for _, name in ElementTree.iterparse(io.BytesIO(archive[x]), ["start-ns"])) for x in parts}
+    word = WordFile(archive, spaces, {x: ElementTree.fromstring(archive[x]) for x in parts})
     _index(word)
     return word
 
@@ -187,21 +195,59 @@ def edit_passes(data: bytes, passes: Iterable[Iterable[Change]]) -> tuple[bytes,
     return save(word, touched), refused
 
 
+def _serialised(root: ElementTree.Element, spaces: dict[str, str]) -> bytes:
+    """A part with the prefixes that it had, those without an element too: lists of extensions name them."""
+    used = {x.rpartition("}")[0].removeprefix("{") for e in root.iter() for x in (e.tag, *e.attrib)}
+    root = copy.copy(root)
+    for prefix, name in spaces.items():
+        if prefix and not re.fullmatch(r"ns\d+|xml", prefix):
+            ElementTree.register_namespace(prefix, name)
+            if name not in used:
+                root.set(f"xmlns:{prefix}", name)
+    return ElementTree.tostring(root, encoding="UTF-8", xml_declaration=True)
+
+
 def save(word: WordFile, touched: Iterable[str]) -> bytes:
     """The archive with the touched parts written anew, all others as they were."""
     out = io.BytesIO()
     touched = set(touched)
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, data in word.archive.items():
-            z.writestr(name, ElementTree.tostring(word.trees[name], encoding="UTF-8", xml_declaration=True) if name in touched else data)
+            z.writestr(name, _serialised(word.trees[name], word.spaces[name]) if name in touched else data)
+    return out.getvalue()
+
+
+def made(paragraphs: Iterable[Iterable[tuple[str, bool]]]) -> bytes:
+    """A plain Word file: paragraphs of runs (text, hidden). Characters that XML does not know are left out."""
+    name = W.strip("{}")
+    body = ElementTree.Element(W + "document")
+    within = ElementTree.SubElement(body, W + "body")
+    for runs in paragraphs:
+        p = ElementTree.SubElement(within, W + "p")
+        for text, hidden in runs:
+            run = ElementTree.SubElement(p, W + "r")
+            if hidden:
+                ElementTree.SubElement(ElementTree.SubElement(run, W + "rPr"), W + "vanish")
+            for i, part in enumerate(_NOT_XML.sub("", text).split("\t")):
+                if i:
+                    ElementTree.SubElement(run, W + "tab")
+                ElementTree.SubElement(run, W + "t", {"{http://www.w3.org/XML/1998/namespace}space": "preserve"}).text = part
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", _serialised(body, {"w": name}))
     return out.getvalue()
 
 
 SPAN = "array<struct<start: int, end: int>>"
 
 
+def told(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}" if str(e) else type(e).__name__
+
+
 def word_text(content: Column) -> Column:
-    """struct<text, hidden, wording, error> of a binary column of Word files."""
+    """struct<text, hidden, wording, error> of a binary column of Word files. What cannot be read (null, damaged, encrypted) has
+    an error and a null text."""
 
     @F.pandas_udf(f"struct<text: string, hidden: {SPAN}, wording: {SPAN}, error: string>")
     def run(contents: pd.Series) -> pd.DataFrame:
@@ -210,19 +256,24 @@ def word_text(content: Column) -> Column:
             try:
                 word = load(data or b"")
                 rows.append((word.text, [{"start": r.start, "end": r.end} for r in word.hidden], [{"start": a, "end": b} for a, b in wording_spans(word)], None))
-            except (ValueError, ElementTree.ParseError) as e:
-                rows.append((None, [], [], str(e)))
+            except Exception as e:  # one bad file must not end the job
+                rows.append((None, [], [], told(e)))
         return pd.DataFrame(rows, columns=["text", "hidden", "wording", "error"])
 
     return run(content)
 
 
 def edited_word(content: Column, passes: Column) -> Column:
-    """struct<content, refused> of Word files with the passes that a cleaning of their texts gave."""
+    """struct<content, refused, error> of Word files with the passes that a cleaning of their texts gave; null passes are none."""
 
-    @F.pandas_udf("struct<content: binary, refused: int>")
+    @F.pandas_udf("struct<content: binary, refused: int, error: string>")
     def run(contents: pd.Series, all_passes: pd.Series) -> pd.DataFrame:
-        rows = [edit_passes(c, [[Change(e["start"], e["end"], e["insert"]) for e in p] for p in ps]) for c, ps in zip(contents, all_passes, strict=True)]
-        return pd.DataFrame(rows, columns=["content", "refused"])
+        rows = []
+        for data, passes in zip(contents, all_passes, strict=True):
+            try:
+                rows.append((*edit_passes(data or b"", [[Change(e["start"], e["end"], e["insert"]) for e in p] for p in (passes if passes is not None else [])]), None))
+            except Exception as e:  # one bad file must not end the job
+                rows.append((None, None, told(e)))
+        return pd.DataFrame({"content": [r[0] for r in rows], "refused": pd.array([r[1] for r in rows], dtype="Int32"), "error": [r[2] for r in rows]})
 
     return run(content, passes)
