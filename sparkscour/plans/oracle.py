@@ -16,7 +16,9 @@ from sparkscour.functions import diff, labels, native
 from sparkscour.functions.workers import ship, spread
 from sparkscour.operators import frames
 from sparkscour.operators.finders import ask
-from sparkscour.plans.rules import ALL, Rule, Selection, selected
+from sparkscour.plans.rules import ALL, GROUPS, Rule, Selection, selected
+from sparkscour.plans.spans_sql import APPLIED, EDGES, SAME_STARTS, Spans, quoted
+from sparkscour.plans.spans_sql import findings as findings_sql
 from sparkscour.sources import decoding
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,10 +35,6 @@ def planted(text: Column, pairs: Pairs) -> Column:
     return text
 
 
-def quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 def planted_sql(pairs: Pairs, column: str = "text") -> str:
     for old, new in pairs:
         column = f"replace({column}, {quoted(old)}, {quoted(new)})"
@@ -424,4 +422,41 @@ ORACLE_SQL: dict[str, str] = {
     "sty_repeat_sql": "",
 }
 ORACLE_SQL.pop("sty_repeat_sql")
+
+def _in_planted(pairs: Pairs, ctes: str, rest: str) -> str:
+    return f"WITH p AS (SELECT doc_id, {planted_sql(pairs, "coalesce(text, '')")} AS t FROM documents), {ctes} {rest}"
+
+
+# What the default rules find in the planted texts: they hold nothing else that a rule looks for.
+_EM = Spans("pu.em", r"[ \x{A0}\x{2009}\x{200A}\x{202F}]*[\x{2014}\x{2015}][ \x{A0}\x{2009}\x{200A}\x{202F}]*", "' - '")
+_NBSP = Spans("sp.nbsp", r"\x{A0}", "' '")
+_BLANK = Spans("ws.blank", r"\n(?:[ \t]*\n){2,}", "chr(10) || chr(10)")
+_FOUND = (
+    Spans("inv.zw", r"\x{200B}", "''"),
+    _NBSP,
+    _EM,
+    Spans("uf.homoglyph", r"\x{0435}", "'e'"),
+    Spans("ws.trailing", r"[ \t]+", "''", trail=r"(?:\n|$)"),
+    _BLANK,
+)
+_DEFAULTS = findings_sql(_FOUND, EDGES, SAME_STARTS)
+_MOVED = _in_planted(_MIX, f"{_DEFAULTS}, {APPLIED}", "")
+ORACLE_SQL |= {
+    "findings": _in_planted(_MIX, _DEFAULTS, "SELECT * FROM s"),
+    "tally_by_rule": _in_planted(_MIX, _DEFAULTS, "SELECT rule_id, kind, count(*) AS n FROM s GROUP BY ALL"),
+    "tally_by_group": _in_planted(_MIX, _DEFAULTS, f"""
+        SELECT group_id, name, place, count(*) AS n FROM s
+        JOIN (VALUES {", ".join(f"({quoted(g)}, {quoted(name)}, {i}::INT)" for i, (g, name) in enumerate(GROUPS.items()))}) AS g(group_id, name, place) ON group_id = split_part(rule_id, '.', 1)
+        GROUP BY ALL"""),
+    "tally_by_kind": _in_planted(_MIX, _DEFAULTS, "SELECT kind, count(*) AS n FROM s WHERE NOT (rule_id = 'inv.zw' AND doc_id % 2 = 0) GROUP BY ALL"),
+    "estimated": _in_planted(_MIX, _DEFAULTS, "SELECT count(*) AS n FROM s WHERE kind <> 'review'"),
+    "journal": _MOVED + "SELECT rule_id, sum(n)::BIGINT AS n FROM r GROUP BY 1",
+    "cleaned": _MOVED + "SELECT doc_id, md5(t) AS text_md5, (n > 0)::INT AS n_passes, applied, 0::INT AS refused FROM c",
+    "changes": _in_planted(((". ", ".\u00a0"), ("\n", "\n\n\n")), f"{findings_sql((_NBSP, _BLANK), EDGES)}", """
+        SELECT doc_id, coalesce(sum(length(repl)), 0)::INT AS inserted, coalesce(sum(length(orig)), 0)::INT AS removed, count(repl)::INT AS n_edits
+        FROM p LEFT JOIN s USING (doc_id) GROUP BY doc_id"""),
+    "nearest": _in_planted(_MIX, findings_sql((_NBSP,)), """
+        SELECT doc_id, "at", (n).distance AS distance, (n).start AS start, (n)."end" AS "end", 'sp.nbsp' AS rule_id FROM (
+            SELECT doc_id, (length(t) // 2)::INT AS "at", min(struct_pack(distance := abs(start - (length(t) // 2)::INT), start := start, "end" := "end")) AS n FROM s JOIN p USING (doc_id) GROUP BY doc_id, t)"""),
+}
 ORACLE_SQL |= {q.name: q.sql() for q in RULE_QUERIES if q.found and q.rule not in ("md.heading", "md.mathdelim")}
