@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,9 @@ from sparkscour.functions.workers import ship, spread
 from sparkscour.operators import frames
 from sparkscour.operators.finders import ask
 from sparkscour.plans.rules import ALL, GROUPS, Rule, Selection, selected
-from sparkscour.plans.spans_sql import APPLIED, EDGES, SAME_STARTS, Spans, quoted
+from sparkscour.plans.spans_sql import APPLIED, BROKEN_LINES, EDGES, REPEATED_SPACES, SAME_SENTENCES, SAME_STARTS, Spans, quoted
 from sparkscour.plans.spans_sql import findings as findings_sql
-from sparkscour.sources import decoding
+from sparkscour.sources import decoding, word
 
 Query = Callable[[SparkSession, str], DataFrame]
 Pairs = tuple[tuple[str, str], ...]
@@ -58,6 +59,8 @@ class RuleQuery:
     option: str | None = None
     whole: str = ""  # for the fix, if it needs another pattern
     fixed: str = ""  # or the fixed text as SQL on t
+    spans: tuple[Spans | str, ...] = ()  # or findings by offset, and replacements by finding
+    counts: str = ""  # or the number of findings and their length as SQL on t; they ask
 
     @property
     def name(self) -> str:
@@ -80,6 +83,12 @@ class RuleQuery:
         return out.select("doc_id", F.size(found).cast("long").alias("n"), length.alias("length"), F.md5(fixed).alias("text_md5"))
 
     def sql(self) -> str:
+        if self.spans:
+            found = findings_sql([x for x in self.spans if isinstance(x, Spans)], *(x for x in self.spans if isinstance(x, str)))
+            sums = "g AS (SELECT doc_id, count(*) AS n, sum(length(orig)) AS length FROM s GROUP BY 1)"
+            return _in_planted(self.pairs_all, f"{found}, {APPLIED}, {sums}", "SELECT doc_id, coalesce(g.n, 0)::BIGINT AS n, coalesce(length, 0)::BIGINT AS length, md5(t) AS text_md5 FROM c LEFT JOIN g USING (doc_id)")
+        if self.counts:
+            return _in_planted(self.pairs_all, f"m AS (SELECT doc_id, t, {self.counts} FROM p)", "SELECT doc_id, n::BIGINT AS n, length::BIGINT AS length, md5(t) AS text_md5 FROM m")
         fixed = self.fixed or "t" if self.fix is None else f"regexp_replace(t, {quoted(self.whole or self.found)}, {quoted(self.fix)}, 'g')"
         return f"""
             WITH p AS (SELECT doc_id, {planted_sql(self.pairs_all, "coalesce(text, '')")} AS t FROM documents),
@@ -89,6 +98,10 @@ class RuleQuery:
         """
 
 
+def _in_planted(pairs: Pairs, ctes: str, rest: str) -> str:
+    return f"WITH p AS (SELECT doc_id, {planted_sql(pairs, "coalesce(text, '')")} AS t FROM documents), {ctes} {rest}"
+
+
 def words(*made: str) -> Pairs:
     """Plants the strings in place of common words of the four languages, one each."""
     common = (" the ", " de ", " der ", " que ", " of ", " in ", " and ")
@@ -97,6 +110,9 @@ def words(*made: str) -> Pairs:
 
 #: Without the characters that begin formulas, comments, quotations and links, in which style rules are silent.
 _PROSE: Pairs = tuple((c, "") for c in "%$`\\\"'<>[]()\u201c\u2018") + (("@", " "),)
+#: Without the signs of Markdown and LaTeX that the tables' junk has.
+_BARE: Pairs = tuple((c, "") for c in "%$#*&`\\_~[]{}<>|^")
+_NO_LINKS: Pairs = (("@", " "), ("://", " "), ("www.", ""), ("WWW.", ""))
 RULE_QUERIES = (
     RuleQuery("inv.zw", words(" th\u200be ", " d\u2060e ", " d\ufeffer "), r"[\x{200B}\x{2060}\x{FEFF}]", ""),
     RuleQuery("inv.joiner", words(" th\u200de ", " d\u200ce ", " क्\u200dष "), r"[a-z]([\x{200C}\x{200D}])", r"\1", 1, whole=r"([a-z])[\x{200C}\x{200D}]"),
@@ -118,11 +134,11 @@ RULE_QUERIES = (
     RuleQuery("sp.sep", words(" the\u2028", " de\u0085"), r"[\x{2028}\x{85}]", "\n"),
     RuleQuery("sp.crlf", words(" the\r\n", " de\r"), r"\r\n?", "\n"),
     RuleQuery("ws.trailing", (*words(" the \n", " de\t\n"), (" of\n", " of  \n")), r"([ \t]+)(?:\n|$)", r"\1", 1, whole=r"[ \t]+(\n|$)"),
-    RuleQuery("ws.multi", words("  the  ", "   de ")),
+    RuleQuery("ws.multi", words("  the  ", "   de "), spans=(REPEATED_SPACES,)),
     RuleQuery("ws.punct", words(" the , ", " de ; "), r"([ \t]+)[,;]", r"\1", 1, whole=r"[ \t]+([,;])"),
     RuleQuery("ws.blank", words(" the\n\n\n", " de\n \n\n"), r"\n(?:[ \t]*\n){2,}", "\n\n"),
-    RuleQuery("ws.edges", ()),
-    RuleQuery("ws.unwrap", words(" the\n", " de\n- ")),
+    RuleQuery("ws.edges", (), spans=(EDGES,)),
+    RuleQuery("ws.unwrap", words(" the\n", " de\n- ", " se-\n"), spans=(BROKEN_LINES,)),
     RuleQuery("pu.em", words(" \u2014 the ", "\u2014de "), r"[ \x{A0}\x{2009}\x{200A}\x{202F}]*[\x{2014}\x{2015}][ \x{A0}\x{2009}\x{200A}\x{202F}]*", " - "),
     RuleQuery("pu.en", words(" the\u2013", " de\u2013"), r"\x{2013}", "-"),
     RuleQuery("pu.hyphen", words(" the\u2010", " de\u2212"), r"[\x{2010}-\x{2012}\x{2043}\x{2212}\x{FE58}\x{FE63}]", "-"),
@@ -143,13 +159,13 @@ RULE_QUERIES = (
     RuleQuery("res.placeholder", words(" [Your Name] ", " TBD "), r"\[Your Name\]|TBD"),
     RuleQuery("res.aicite", words(" (Smith et al., 2023) ", " (Lee, 2021) "), r"\((?:Smith et al\.|Lee), (?:2023|2021)\)", kind="tex"),
     RuleQuery("res.numcite", words(" the[1][3] ", " de[2] "), r"(?:\[\d{1,3}\])+"),
-    RuleQuery("res.mathdup", (("\n", " E=mc2E = mc^2\n"), (" de la ", " x1x_1 "))),
+    RuleQuery("res.mathdup", (*_BARE, ("\n", " E=mc2E = mc^2\n"), (" de la ", " x1x_1 ")), r"E=mc2E = mc\^2|x1x_1"),
     RuleQuery("res.wrapper", words(" the\n:::writing{a}\n", " de\n:::writing\n"), r"(?m)^:::writing\b[^\n]*\n", ""),
     RuleQuery("res.chrome", words(" the\nCopy code\n", " de\nChatGPT said:\n"), r"(?m)^(?:Copy code|ChatGPT said:)$"),
     RuleQuery("res.think", words(" <think>the</think> ", " <thinking>de</thinking>\n"), r"(?s)(?:<think>.*?</think>|<thinking>.*?</thinking>)[ \t]*\n?"),
     RuleQuery("res.pill", words(" the. Reuters+2\n", " de! Wikipedia+1\n"), r"[.!]([ \t]?(?:Reuters\+2|Wikipedia\+1))", part=1),
     RuleQuery("res.filelink", words(" https://ppl-ai-file-upload.s3.example/a ", " the "), r"https?://ppl-ai-file-upload\.[^\s)\]>\"']+"),
-    RuleQuery("md.heading", words(" the\n## ", " de\n# "), r"(?m)^#{1,6}[ \t]+.*$", None),
+    RuleQuery("md.heading", (*_NO_LINKS, *words(" the\n## ", " de\n# ")), spans=(Spans("md.heading", r"(?m:^#{1,6}[ \t]+[^\n]*?[^ \t\n#][ \t#]*$)", r"replace(replace(regexp_extract(orig, '^#{1,6}[ \t]+(.+?)[ \t#]*$', 1), '**', ''), '__', '')"),)),
     RuleQuery("md.bold", words(" **the** ", " **de** "), r"\*\*(the|de)\*\*", r"\1"),
     RuleQuery("md.italic", (("*", ""), *words(" *the* ", " *de* ")), r"\*(?:the|de)\*", r"\1", whole=r"\*(the|de)\*"),
     RuleQuery("md.code", words(" `the` ", " `de` "), r"`([^`\n]+)`", r"\1"),
@@ -158,17 +174,17 @@ RULE_QUERIES = (
     RuleQuery("md.rule", words(" the\n***\n", " de\n___\n"), r"(?m)^[ \t]*(?:(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$", ""),
     RuleQuery("md.list", words(" the\n- a\n- b\n\n", " de\n- a\n- b\n\n"), r"- a\n- b", fixed="replace(t, '- a' || chr(10) || '- b', '\\begin{itemize}' || chr(10) || '  \\item a' || chr(10) || '  \\item b' || chr(10) || '\\end{itemize}')", kind="tex"),
     RuleQuery("md.table", words(" the\n| a | b |\n|---|---|\n| 1 | 2 |\n\n", " de "), r"\| a \| b \|\n\|---\|---\|\n\| 1 \| 2 \|", kind="tex"),
-    RuleQuery("md.mathdelim", words(r" \(x\) ", r" \[y\] "), r"\\\(x\\\)|\\\[y\\\]", None, kind="md"),
+    RuleQuery("md.mathdelim", words(r" \(x\) ", r" \[y\] "), r"\\\(x\\\)|\\\[y\\\]", fixed=r"replace(replace(t, '\(x\)', '$x$'), '\[y\]', '$$y$$')", kind="md"),
     RuleQuery("tex.mathsym", words(" $x ≤ y$ ", " $x ≥ y$ "), r"[\x{2264}\x{2265}]", fixed="replace(replace(t, chr(8804), '\\leq'), chr(8805), '\\geq')", kind="tex"),
     RuleQuery("tex.unicode", words(" 中 ", " α "), r"[\x{4E2D}\x{03B1}]", kind="tex"),
-    RuleQuery("tex.special", words(" 50% ", " R&D "), kind="tex"),
+    RuleQuery("tex.special", (*_BARE, *words(" 50% ", " R&D ")), kind="tex", counts=r"len(regexp_extract_all(t, '(?m)^[^%\n]*%')) + len(regexp_extract_all(t, 'R&D')) AS n, n AS length"),
     RuleQuery("tex.dollars", words(" $$x$$ ", " $$y+z$$ "), r"\$\$(?:x|y\+z)\$\$", kind="tex"),
     RuleQuery("tex.tie", words(r" Figure \ref{a} ", r" al. \cite{b} "), r"(?:Figure|al\.)([ \t]+)\\(?:ref|cite)", part=1, kind="tex"),
     RuleQuery("sty.concise", words(" in order to ", " Due to the fact that "), r"in order to|Due to the fact that"),
     RuleQuery("sty.vocab", words(" delve ", " Pivotal "), r"delve|Pivotal"),
     RuleQuery("sty.vocabx", words(" while ", " holds "), r"while|holds", option="while holds"),
     RuleQuery("sty.phrase", words(" sheds light on ", " valuable insights "), r"sheds light on|valuable insights"),
-    RuleQuery("sty.negpar", words(" not just x but also y, ", " de ")),
+    RuleQuery("sty.negpar", words(" not just x but also y, ", " de "), r"not just x but also y"),
     RuleQuery("sty.opener", words(" the. Furthermore, ", " de. Notably, "), r"(?:Furthermore|Notably), "),
     RuleQuery("sty.ingtail", words(" the, highlighting the need. ", " de, ensuring it. "), r", (?:highlighting the need|ensuring it)"),
     RuleQuery("sty.copula", words(" serves as ", " boasts a "), r"serves as|boasts a"),
@@ -176,13 +192,14 @@ RULE_QUERIES = (
     RuleQuery("sty.triad", words(" it. robust, scalable, and efficient ", " clear, fast or red "), r"robust, scalable, and efficient"),
     RuleQuery("sty.emoji", words(" \U0001f600 ", " \u2705 "), r"[\x{1F600}\x{2705}] "),
     RuleQuery("sty.exclaim", words(" the! ", " de! "), r"[A-Za-z)](!)(?:\s|$)", part=1, kind="tex"),
-    RuleQuery("sty.repeat", ((". ", ". Then it goes. Then on. "),)),
+    RuleQuery("sty.repeat", ((". ", ". Then it goes. Then on. "),), spans=(SAME_STARTS,)),
     RuleQuery("sty.headcase", words("\n# The Big Red Title\n", "\n# A small title here\n"), r"(?m)^# The Big Red Title$"),
-    RuleQuery("sty.cluster", words(" a testament to the realm, in the realm of it, only time will tell ", " a testament to, in the realm of, only time will tell ")),
+    RuleQuery("sty.cluster", words(" a testament to the realm, in the realm of it, only time will tell ", " a testament to, in the realm of, only time will tell "), counts=r"len(list_filter(regexp_split_to_array(t, '\n\s*\n'), lambda x: contains(x, 'only time will tell') AND length(x) <= 12000 AND len(regexp_extract_all(x, '\b[\w''-]+\b')) >= 120)) AS n, n * length('a testament to') AS length"),
     RuleQuery("sty.attribution", words(" studies show ", " experts agree "), r"studies show|experts agree"),
-    RuleQuery("sty.duplicate", ((". ", ". This sentence of more than twelve words was planted here again and again. "),)),
-    RuleQuery("plain.md", words(" **the** ", " [de](b) ", "\n# ")),
-    RuleQuery("plain.math", words(r" $x^2 \leq y$ ", r" $\frac{a}{b}$ "), kind="md"),
+    RuleQuery("sty.duplicate", ((". ", ". This sentence of more than twelve words was planted here again and again. "),), spans=(SAME_SENTENCES,)),
+    RuleQuery("plain.md", (*_BARE, *words(" **the** ", " [de](b) ", "\n# ")), spans=(
+        Spans("plain.md", r"(?m:^# [^\n]*?[^ \t\n#][ \t#]*$)", r"regexp_extract(orig, '^#[ \t]+(.+?)[ \t#]*$', 1)"), Spans("plain.md", r"\*\*the\*\*", "'the'"), Spans("plain.md", r"\[de\]\(b\)", "'de (b)'"))),
+    RuleQuery("plain.math", (*_BARE, *words(r" $x^2 \leq y$ ", r" $\frac{a}{b}$ ")), kind="md", spans=(Spans("plain.math", r"\$x\^2 \\leq y\$", "'x² ≤ y'"), Spans("plain.math", r"\$\\frac\{a\}\{b\}\$", "'a/b'"))),
     RuleQuery("plain.tex", words(r" \textbf{the} ", r" \cite{a} "), kind="tex"),
 )
 
@@ -191,6 +208,15 @@ RULE_QUERIES = (
 _MIX: Pairs = ((", ", " \u2014 "), (". ", ".\u00a0"), ("th", "t\u200bh"), (" de ", " d\u0435 "), ("\n", " \n\n\n"))
 
 
+_MARKED: Pairs = (*_BARE, *words(" `the` ", " <!-- de --> ", "\n```\nx\n```\n"))
+_TYPESET: Pairs = (*_BARE, *words(r" $the$ ", r" \cite{de} ", r" \begin{align}x\end{align} "))
+_FORMATTED: Pairs = (*_BARE, *((("  ", " "),) * 4), (" \n", "\n"), *words(" **the** ", " [de](b) ", "\n# ", " `que` ", " $x^2$ "))
+_DOUBLED: Pairs = (*_PROSE, *_BARE, *words(" the the ", " de de "))
+_ENTRIES: Pairs = (*_BARE, ("@", " "), *words("\n@book{the,\n", "\n  title = x\n", "\n url = {de}\n"))
+_TYPED: Pairs = ((", ", " \u2014 "),)
+_CHOSEN: Pairs = (*_PROSE, (", ", " \u2014 "), (". ", ". Furthermore, "))
+
+
 def _planted_docs(spark: SparkSession, sf_dir: str, pairs: Pairs = _MIX) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", planted(F.coalesce("text", F.lit("")), pairs).alias("text"))
@@ -259,15 +285,50 @@ def url_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _planted_docs(spark, sf_dir, words(" `the` ", " <!-- de --> ", "\n```\nx\n```\n"))
+    docs = _planted_docs(spark, sf_dir, _MARKED)
     return frames.regions(docs, "md").groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("length"))
 
 
 def tex_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _planted_docs(spark, sf_dir, words(r" $the$ ", r" \cite{de} ", r" \begin{align}x\end{align} "))
+    docs = _planted_docs(spark, sf_dir, _TYPESET)
     return frames.regions(docs, "tex").groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("length"))
 
 
+def bib_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _planted_docs(spark, sf_dir, _ENTRIES)
+    return frames.regions(docs, "bib").groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("length"))
+
+
+def _word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, content): the texts as Word files, a paragraph for each line, in which every " the " is hidden."""
+
+    @F.pandas_udf("binary")
+    def made(texts: pd.Series) -> pd.Series:
+        runs = lambda line: [x for i, part in enumerate(line.split(" the ")) for x in (*([(" the ", True)] if i else []), (part, False))]
+        return texts.map(lambda t: word.made(map(runs, t.split("\n"))))
+
+    ship(spark)
+    return _planted_docs(spark, sf_dir, _TYPED).select("doc_id", made("text").alias("content"))
+
+
+def word_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text, hidden parts and parts free for wording of Word files that hold the texts."""
+    files = _word_files(spark, sf_dir).select("doc_id", word.word_text(F.col("content")).alias("w"))
+    length = lambda spans: F.aggregate(spans, F.lit(0), lambda a, s: a + s["end"] - s["start"])
+    return files.select("doc_id", F.md5("w.text").alias("text_md5"), F.size("w.hidden").alias("n_hidden"), length(F.col("w.hidden")).alias("hidden"), length(F.col("w.wording")).alias("wording"))
+
+
+def word_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = frames.word_findings(_word_files(spark, sf_dir), frames.default_config(only=["inv.hidden"]))
+    return found.groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"), F.sum(F.length("orig")).alias("length"))
+
+
+def word_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word files whose dashes are written anew in their runs, read again."""
+    out = frames.word_cleaned(_word_files(spark, sf_dir), frames.default_config(only=["pu.em"]), selected(["pu.em"]))
+    return out.select("doc_id", F.md5(word.word_text(F.col("content"))["text"]).alias("text_md5"), "n_passes", "refused")
+
+
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line and column of the em dashes, and the nearest other one after wrapping around."""
     docs = _planted_docs(spark, sf_dir, ((", ", " \u2014 "),))
@@ -308,7 +369,7 @@ def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What readers decide: every dash stays, every opener takes its second suggestion."""
-    docs = _planted_docs(spark, sf_dir, ((", ", " \u2014 "), (". ", ". Furthermore, ")))
+    docs = _planted_docs(spark, sf_dir, _CHOSEN)
     settings = frames.default_config(only=["pu.em", "sty.opener"])
     found = frames.findings(docs, settings)
     decisions = found.select("doc_id", "rule_id", "start", (F.col("rule_id") == "pu.em").alias("skip"), F.when(F.col("rule_id") == "sty.opener", 1).alias("pick"))
@@ -324,7 +385,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def converted_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _planted_docs(spark, sf_dir, words(" **the** ", " [de](b) ", "\n# ", " `que` ", " $x^2$ "))
+    docs = _planted_docs(spark, sf_dir, _FORMATTED)
     return frames.converted(docs, "md").select("doc_id", F.md5("text").alias("text_md5"), "n_passes")
 
 
@@ -340,7 +401,7 @@ def estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def own_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule that is not in the package: doubled words."""
     rule = Rule("sty.doubled", "a word twice in a row", ALL, ask(r"\b([A-Za-z]+) \1\b", "i"), "text")
-    docs = _planted_docs(spark, sf_dir, words(" the the ", " de de "))
+    docs = _planted_docs(spark, sf_dir, _DOUBLED)
     found = frames.findings(docs, frames.default_config(only=["sty.doubled"]), more=[rule])
     return found.groupBy("doc_id").agg(F.count("*").alias("n"))
 
@@ -357,7 +418,7 @@ def native_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select(pairs.alias("p")).select("p.*")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (native_tally, profile, changes, converted_markdown, converted_latex, estimated, own_rule, positions, nearest, decode_round_trip, normalised_lines, visible_text, decided, profile_conversations, basic_cleaning, cleaned, cleaned_spaces, cleaned_pages, findings, tally_by_rule, tally_by_group, tally_by_kind, journal, url_regions, markdown_regions, tex_regions)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (native_tally, profile, changes, converted_markdown, converted_latex, estimated, own_rule, positions, nearest, decode_round_trip, normalised_lines, visible_text, decided, profile_conversations, basic_cleaning, cleaned, cleaned_spaces, cleaned_pages, findings, tally_by_rule, tally_by_group, tally_by_kind, journal, url_regions, markdown_regions, tex_regions, bib_regions, word_round_trip, word_findings, word_cleaned)}
 QUERIES |= {q.name: q.run for q in RULE_QUERIES}
 
 
@@ -383,6 +444,12 @@ def _profile_sql(rows: str, keys: str, dash: bool) -> str:
 _BASIC_SQL = r"""
     regexp_replace(regexp_replace(regexp_replace(replace(replace(t, chr(8203), ''), chr(160), ' '), '[ \t]+(\n)', '\1', 'g'), '[ \t]+$', ''), '\n(?:[ \t]*\n){2,}', chr(10) || chr(10), 'g')
 """
+_URLS_SQL = r"""
+    SELECT doc_id, 'url' AS type, count(*) AS n, sum(length(x))::BIGINT AS length FROM (
+        SELECT doc_id, unnest(list_concat(regexp_extract_all(t, '(?i)\b(?:https?://|www\.|doi:\s?10\.)[^\s<>"''`{}|\\^\]]+[^\s<>"''`{}|\\^\].,;:!?)]'),
+            regexp_extract_all(t, '\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b'))) AS x FROM p)
+    GROUP BY doc_id
+"""
 ORACLE_SQL: dict[str, str] = {
     "native_tally": f"WITH p AS (SELECT {planted_sql(_ODD, "coalesce(text, '')")} AS t FROM documents) "
     + " UNION ALL ".join(f"SELECT {quoted(r)} AS rule_id, sum(len(regexp_extract_all(t, {quoted(p)})))::BIGINT AS n FROM p" for r, p in _ODD_SQL.items()),
@@ -413,18 +480,8 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT doc_id, regexp_replace({_BASIC_SQL}, '^\n+', '') AS t FROM p)
         SELECT doc_id, md5(CASE WHEN t = '' THEN '' ELSE regexp_replace(t, '\n+$', '') || chr(10) END) AS text_md5 FROM c
     """,
-    "url_regions": r"""
-        WITH p AS (SELECT doc_id, {t} AS t FROM documents),
-        u AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(t, '(?i)\b(?:https?://|www\.|doi:\s?10\.)[^\s<>"''`{{}}|\\^\]]+[^\s<>"''`{{}}|\\^\].,;:!?)]'),
-            regexp_extract_all(t, '\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b'))) AS x FROM p)
-        SELECT doc_id, 'url' AS type, count(*) AS n, sum(length(x))::BIGINT AS length FROM u GROUP BY doc_id
-    """.format(t=planted_sql(words(" https://a.example/x?y=1. ", " www.b.example/c, "), "coalesce(text, '')")),
-    "sty_repeat_sql": "",
+    "url_regions": f"WITH p AS (SELECT doc_id, {planted_sql(words(" https://a.example/x?y=1. ", " www.b.example/c, "), "coalesce(text, '')")} AS t FROM documents) {_URLS_SQL}",
 }
-ORACLE_SQL.pop("sty_repeat_sql")
-
-def _in_planted(pairs: Pairs, ctes: str, rest: str) -> str:
-    return f"WITH p AS (SELECT doc_id, {planted_sql(pairs, "coalesce(text, '')")} AS t FROM documents), {ctes} {rest}"
 
 
 # What the default rules find in the planted texts: they hold nothing else that a rule looks for.
@@ -459,4 +516,40 @@ ORACLE_SQL |= {
         SELECT doc_id, "at", (n).distance AS distance, (n).start AS start, (n)."end" AS "end", 'sp.nbsp' AS rule_id FROM (
             SELECT doc_id, (length(t) // 2)::INT AS "at", min(struct_pack(distance := abs(start - (length(t) // 2)::INT), start := start, "end" := "end")) AS n FROM s JOIN p USING (doc_id) GROUP BY doc_id, t)"""),
 }
-ORACLE_SQL |= {q.name: q.sql() for q in RULE_QUERIES if q.found and q.rule not in ("md.heading", "md.mathdelim")}
+
+
+def _lengths(pairs: Pairs, kinds: dict[str, dict[str, int]], url: bool = True) -> str:
+    """Regions of planted strings: of each type the strings that make one, and how long it is."""
+    rows = [f"SELECT doc_id, {quoted(kind)} AS type, len(string_split(t, {quoted(x)})) - 1 AS n, n * {length} AS length FROM p" for kind, made in kinds.items() for x, length in made.items()]
+    found = " UNION ALL ".join([*rows, f"SELECT doc_id, type, n, length FROM ({_URLS_SQL})"])
+    return _in_planted(pairs, f"x AS ({found})", "SELECT doc_id, type, sum(n)::BIGINT AS n, sum(length)::BIGINT AS length FROM x WHERE n > 0 GROUP BY ALL")
+
+
+ORACLE_SQL |= {
+    "markdown_regions": _lengths(_MARKED, {"verbatim": {" `the` ": 5, "\n```\nx\n```": 9, "\n```\nx\n```\n": 10}, "comment": {" <!-- de --> ": 11}}),
+    "tex_regions": _lengths(_TYPESET, {"math": {" $the$ ": 5, r"\begin{align}x\end{align}": 25}, "keys": {r"\cite{de}": 4, r"\begin{align}": 7}, "cmd": {r"\cite{de}": 5, r"\begin{align}": 6}}),
+    "bib_regions": _in_planted(_ENTRIES, rf"""
+        k AS (SELECT doc_id, 'keys' AS type, unnest(list_concat(regexp_extract_all(t, '@[A-Za-z]+\s*[{{(][^,\n]*,'), regexp_extract_all(t, '(?m)^\s*[A-Za-z_-]+\s*='),
+            regexp_extract_all(t, '(?i)\b(?:url|doi|eprint|file|isbn|issn|pdf|howpublished)\s*=\s*\{{[^{{}}]*\}}'))) AS x FROM p),
+        x AS (SELECT doc_id, type, count(*) AS n, sum(length(x)) AS length FROM k GROUP BY ALL UNION ALL SELECT doc_id, type, n, length FROM ({_URLS_SQL}))""",
+        "SELECT doc_id, type, sum(n)::BIGINT AS n, sum(length)::BIGINT AS length FROM x GROUP BY ALL"),
+    "word_round_trip": _in_planted(_TYPED, r"""h AS (SELECT doc_id, t, regexp_extract_all(t, '(?s) the (?:.? the )*') AS h FROM p)""", r"""
+        SELECT doc_id, md5(t) AS text_md5, len(h)::INT AS n_hidden, coalesce(list_sum(list_transform(h, lambda x: length(x))), 0)::INT AS hidden,
+            (length(regexp_replace(t, '[\n\t]', '', 'g')) - 5 * (len(string_split(t, ' the ')) - 1))::INT AS wording FROM h"""),
+    "word_findings": _in_planted(_TYPED, r"""h AS (SELECT doc_id, 'inv.hidden' AS rule_id, unnest(regexp_extract_all(t, '(?s) the (?:.? the )*')) AS x FROM p)""", "SELECT doc_id, rule_id, count(*) AS n, sum(length(x))::BIGINT AS length FROM h GROUP BY ALL"),
+    "word_cleaned": _in_planted(_TYPED, findings_sql((_EM,)) + ", " + APPLIED, "SELECT doc_id, md5(t) AS text_md5, (n > 0)::INT AS n_passes, 0::INT AS refused FROM c"),
+    "decided": f"SELECT doc_id, md5(replace({planted_sql(_CHOSEN, "coalesce(text, '')")}, '. Furthermore, ', '. Also, ')) AS text_md5 FROM documents",
+    "cleaned_pages": f"""
+        WITH p AS (SELECT page_id AS doc_id, coalesce(html, '') AS t FROM pages), {findings_sql((), EDGES)}, {APPLIED}
+        SELECT doc_id AS page_id, md5(t) AS text_md5, (n > 0)::INT AS n_passes FROM c""",
+    "own_rule": _in_planted(_DOUBLED, r"""
+        w AS (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]+') AS x FROM p)),
+        v AS (SELECT doc_id, lower(w) AS w, i, coalesce(lag(w) OVER o = ' ' AND lower(lag(w, 2) OVER o) = lower(w), false) AS again FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        r AS (SELECT doc_id, w, count(*) FILTER (NOT again) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM v WHERE regexp_matches(w, '[a-z]'))""",
+        "SELECT doc_id, sum(n // 2)::BIGINT AS n FROM (SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL) GROUP BY 1 HAVING sum(n // 2) > 0"),
+    "converted_markdown": _in_planted(_FORMATTED, rf"""
+        h AS (SELECT doc_id, t, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^# .*(?:\*\*the\*\*|\[de\]\(b\)|`que`|\$x\^2\$)'))) > 0 OR regexp_matches(t, '[^ ] +$') AS twice FROM p),
+        g AS (SELECT doc_id, twice, replace(replace(replace(replace(regexp_replace(t, '(?m)^# +(.+?)[ \t#]*$', '\1', 'g'), '**the**', 'the'), '[de](b)', 'de (b)'), '`que`', 'que'), '$x^2$', 'x²') AS t FROM h)""",
+        "SELECT doc_id, md5(CASE WHEN t = '' THEN '' ELSE regexp_replace(t, '[ \n]+$', '') || chr(10) END) AS text_md5, (t <> '')::INT + twice::INT AS n_passes FROM g"),
+}
+ORACLE_SQL |= {q.name: q.sql() for q in RULE_QUERIES if q.found or q.spans or q.counts}

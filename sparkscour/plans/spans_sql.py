@@ -88,3 +88,40 @@ APPLIED = """
     b AS (SELECT e.doc_id, string_agg(t[done + 1 : start] || repl, '' ORDER BY start, "end") || t[max("end") + 1 :] AS t FROM e JOIN p USING (doc_id) GROUP BY e.doc_id, t),
     c AS (SELECT p.doc_id, coalesce(b.t, p.t) AS t, coalesce(a.n, 0) AS n, '{' || coalesce(a.applied, '') || '}' AS applied FROM p LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id))
 """
+
+#: Runs of spaces between words, but for those that line up with one on the line above or below.
+REPEATED_SPACES = rf"""
+    SELECT doc_id, rule_id, rank, start, orig, repl FROM (
+        SELECT *, upto - length(array_to_string(lines[: n], chr(10))) - (n > 0)::INT AS col, [lines[n], lines[n + 2]] AS beside FROM (
+            SELECT x.*, t, start + length(orig) AS upto, string_split(t, chr(10)) AS lines, length(t[: start]) - length(replace(t[: start], chr(10), '')) AS n
+            FROM ({Spans("ws.multi", " {2,}", "' '").sql(0)}) AS x JOIN p USING (doc_id)))
+    WHERE start > 0 AND upto < length(t) AND NOT regexp_matches(t[start], '^{_SPACE}$') AND NOT regexp_matches(t[upto + 1], '^(?:{_SPACE}|\\p{{Cf}}|\\x{{AD}})$')
+        AND len(list_filter(beside, lambda b: b IS NOT NULL AND b[greatest(col - 2, 0) + 1 : col] = '  ' AND length(b) > col AND NOT regexp_matches(b[col + 1], '^{_SPACE}$'))) = 0
+"""
+
+#: Line ends inside paragraphs; where a word may be broken, the hyphen too.
+BROKEN_LINES = rf"""
+    SELECT doc_id, 'ws.unwrap' AS rule_id, 0 AS rank, (stop - broken::INT)::INT AS start, CASE WHEN broken THEN '-' ELSE '' END || chr(10) AS orig, CASE WHEN NOT broken THEN ' ' END AS repl FROM (
+        SELECT *, regexp_matches(line, '[A-Za-z]-$') AND regexp_matches(following, '^[a-z]') AS broken FROM (
+            SELECT *, sum(length(line) + 1) OVER w - 1 AS stop, lead(line) OVER w AS following FROM (
+                SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS x FROM p))
+            WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+        WHERE regexp_matches(line, '[^\s\x{{A0}}]') AND regexp_matches(following, '[^\s\x{{A0}}]') AND NOT regexp_matches(line, '(?:  |\\)$|^[ \t]*(?:#{{1,6}}\s|\||```|~~~)')
+            AND NOT regexp_matches(following, '^[ \t]*(?:[-*+\x{{2022}}]\s|\d{{1,3}}[.)]\s|#{{1,6}}\s|>|\||```|~~~|\\(?:item|begin|end|section|subsection|chapter|paragraph)\b|[ \t]{{4}})'))
+"""
+
+#: Sentences of twelve words or more that stand in a text three times or more: their first twenty places each.
+SAME_SENTENCES = rf"""
+    SELECT doc_id, 'sty.duplicate' AS rule_id, 0 AS rank, start, orig, NULL AS repl FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first, start) AS place FROM (
+            SELECT *, count(*) OVER k AS n, min(start) OVER k AS first, row_number() OVER (PARTITION BY doc_id, key ORDER BY start) AS nth FROM (
+                SELECT doc_id, regexp_replace(s, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS orig, lower(regexp_replace(regexp_replace(s, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '{_SPACE}+', ' ', 'g')) AS key,
+                    (upto - length(s) + length(regexp_extract(s, '^{_SPACE}*')))::INT AS start FROM (
+                    SELECT *, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY j) AS upto FROM (
+                        SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) AS j FROM (
+                            SELECT doc_id, regexp_extract_all(t || ' ', '[^.!?\n]+(?:[.!?]{_SPACE}?)?|[.!?\n]') AS x FROM p)))
+                WHERE regexp_matches(s, '[.!?]{_SPACE}$') AND len(regexp_extract_all(s, '\b[\w''-]+\b')) >= 12)
+            WINDOW k AS (PARTITION BY doc_id, key))
+        WHERE n >= 3 AND nth <= 20)
+    WHERE place <= 100
+"""
