@@ -7,12 +7,15 @@ empty; rows come back once each whatever their id; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from sparkscour.functions.native import profile_columns
 from sparkscour.functions.workers import ship, spread
@@ -24,6 +27,7 @@ from sparkscour.sources import word
 
 REGION = "array<struct<type: string, start: int, end: int>>"
 FINDING = "array<struct<rule_id: string, start: int, end: int, orig: string, repl: string, kind: string, suggestions: array<string>, note: string>>"
+TALLY = "array<struct<rule_id: string, kind: string, n: int>>"
 CLEANED = "struct<text: string, n_passes: int, applied: map<string, int>, refused: int, passes: array<array<struct<start: int, end: int, insert: string>>>>"
 
 
@@ -40,6 +44,18 @@ def _text(docs: DataFrame, name: str) -> Column:
     return F.coalesce(docs[name].cast("string"), F.lit(""))
 
 
+def _rows_of(make: Callable[..., object], ddl: str, *columns: Column) -> Column:
+    """``make`` of every row's values, as a column of type ``ddl``: batches go to the workers and back in Arrow."""
+
+    kind = DataType.fromDDL(ddl)
+
+    @F.arrow_udf(kind)
+    def run(*batch: pa.Array) -> pa.Array:
+        return pa.array([make(*row) for row in zip(*(x.to_pylist() for x in batch), strict=True)], to_arrow_type(kind))
+
+    return run(*columns)
+
+
 def _row(f: Finding) -> dict:
     return {**f._asdict(), "kind": f.kind, "suggestions": list(f.suggestions)}
 
@@ -52,23 +68,28 @@ def findings_of(text: Column, settings: Config, more: Sequence[Rule] = ()) -> Co
     """array of findings, settled, in order. ``more``: rules of one's own, which ``settings`` must enable; they travel with
     the query."""
 
-    @F.pandas_udf(FINDING)
-    def run(texts: pd.Series) -> pd.Series:
-        known = _registry(more)
-        return pd.Series([[_row(f) for f in scan(t, settings, known)] for t in texts], dtype=object)
+    known = _registry(more)
+    return _rows_of(lambda t: [_row(f) for f in scan(t, settings, known)], FINDING, text)
 
-    return run(text)
 
+def tallied(docs: DataFrame, settings: Config | None = None, id_col: str = "doc_id", text_col: str = "text", more: Sequence[Rule] = ()) -> DataFrame:
+    """(rule_id, group_id, kind, n): how many findings there are. Texts are counted in the workers, which send back numbers and
+    not findings; sums are partial before the shuffle. ``id_col`` is not read."""
+    known, settings = _registry(more), settings or default_config()
 
-def regions(docs: DataFrame, kind: str = "txt", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, type, start, end) of the protected parts of each text."""
+    def counted(text: str) -> list[dict]:
+        return [{"rule_id": r, "kind": k, "n": n} for (r, k), n in Counter((f.rule_id, f.kind) for f in scan(text, settings, known)).items()]
+
+    docs = spread(docs.select(text_col))
+    found = docs.select(F.explode(_rows_of(counted, TALLY, _text(docs, text_col))).alias("f")).select("f.*")
+    return found.groupBy("rule_id", F.split("rule_id", r"\.")[0].alias("group_id"), "kind").agg(F.sum("n").alias("n"))
 
-    @F.pandas_udf(REGION)
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[r._asdict() for r in text_regions(t, kind)] for t in texts], dtype=object)
 
+def regions(docs: DataFrame, kind: str = "txt", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, type, start, end) of the protected parts of each text."""
     docs = spread(docs.select(id_col, text_col))
-    return docs.select(F.col(id_col), F.explode(run(_text(docs, text_col))).alias("r")).select(id_col, "r.*")
+    found = _rows_of(lambda t: [r._asdict() for r in text_regions(t, kind)], REGION, _text(docs, text_col))
+    return docs.select(F.col(id_col), F.explode(found).alias("r")).select(id_col, "r.*")
 
 
 def findings(docs: DataFrame, settings: Config | None = None, id_col: str = "doc_id", text_col: str = "text", more: Sequence[Rule] = ()) -> DataFrame:
@@ -79,25 +100,16 @@ def findings(docs: DataFrame, settings: Config | None = None, id_col: str = "doc
 
 
 def _cleaned_row(c: Cleaned) -> dict:
-    return {"text": c.text, "n_passes": len(c.passes), "applied": dict(c.applied), "refused": c.refused, "passes": [[e._asdict() for e in p] for p in c.passes]}
+    return {"text": c.text, "n_passes": len(c.passes), "applied": list(c.applied.items()), "refused": c.refused, "passes": [[e._asdict() for e in p] for p in c.passes]}
 
 
 def cleaned_of(text: Column, settings: Config, selection: Selection, skips: Column | None = None) -> Column:
     """struct<text, n_passes, applied, refused, passes>."""
 
-    def run(texts: Iterable[str], left: Iterable) -> pd.DataFrame:
-        kept = [[(s["rule_id"], s["start"]) for s in (x if x is not None else [])] for x in left]
-        return pd.DataFrame([_cleaned_row(clean(t, settings, registry.REGISTRY, selection, k)) for t, k in zip(texts, kept, strict=True)], columns=["text", "n_passes", "applied", "refused", "passes"])
-
-    @F.pandas_udf(CLEANED)
-    def all_fixes(texts: pd.Series) -> pd.DataFrame:
-        return run(texts, [None] * len(texts))
-
-    @F.pandas_udf(CLEANED)
-    def but_skipped(texts: pd.Series, left: pd.Series) -> pd.DataFrame:
-        return run(texts, left)
+    def made(text: str, left: Iterable[dict] | None = None) -> dict:
+        return _cleaned_row(clean(text, settings, registry.REGISTRY, selection, [(s["rule_id"], s["start"]) for s in left or ()]))
 
-    return all_fixes(text) if skips is None else but_skipped(text, skips)
+    return _rows_of(made, CLEANED, text, *([] if skips is None else [skips]))
 
 
 def cleaned(docs: DataFrame, settings: Config | None = None, selection: Selection | None = None, skips: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,17 +132,13 @@ def decided(docs: DataFrame, decisions: DataFrame, settings: Config | None = Non
     unless skipped; a review applies the suggestion of the number picked."""
     settings = settings or default_config()
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, made: pd.Series) -> pd.Series:
-        out = []
-        for text, found in zip(texts, made, strict=True):
-            by = {(d["rule_id"], d["start"]): Decision(bool(d["skip"]), None if d["pick"] is None or d["pick"] != d["pick"] else int(d["pick"])) for d in (found if found is not None else [])}
-            out.append(applied(text, changes(text, scan(text, settings, registry.REGISTRY), lambda f, by=by: replacement(f, by.get((f.rule_id, f.start))))))
-        return pd.Series(out, dtype=object)
+    def run(text: str, found: Iterable[dict] | None) -> str:
+        by = {(d["rule_id"], d["start"]): Decision(bool(d["skip"]), d["pick"]) for d in found or ()}
+        return applied(text, changes(text, scan(text, settings, registry.REGISTRY), lambda f: replacement(f, by.get((f.rule_id, f.start)))))
 
     docs = spread(docs.select(id_col, text_col))
     made = decisions.groupBy(F.col(id_col).alias("of")).agg(F.collect_set(F.struct("rule_id", F.col("start").cast("int").alias("start"), "skip", F.col("pick").cast("int").alias("pick"))).alias("made"))
-    return docs.join(made, docs[id_col] == made["of"], "left").select(docs[id_col], run(_text(docs, text_col), "made").alias(text_col))
+    return docs.join(made, docs[id_col] == made["of"], "left").select(docs[id_col], _rows_of(run, "string", _text(docs, text_col), F.col("made")).alias(text_col))
 
 
 def profile(docs: DataFrame, settings: Config | None = None, id_col: str = "doc_id", text_col: str = "text", signals: bool = False) -> DataFrame:
@@ -160,19 +168,15 @@ def word_findings(files: DataFrame, settings: Config | None = None, id_col: str
     formatting hides is found too, and rules about lines are off. A file that cannot be read is a row with its error alone."""
     known = _for_word(settings)
 
-    @F.pandas_udf(f"struct<found: {FINDING}, error: string>")
-    def run(contents: pd.Series) -> pd.DataFrame:
-        rows = []
-        for data in contents:
-            try:
-                doc = word.load(data or b"")
-                rows.append(([_row(f) for f in scan(doc.text, known, registry.REGISTRY, doc.hidden)], None))
-            except Exception as e:  # one bad file must not end the job
-                rows.append((None, word.told(e)))
-        return pd.DataFrame(rows, columns=["found", "error"])
+    def run(data: bytes | None) -> dict:
+        try:
+            doc = word.load(data or b"")
+            return {"found": [_row(f) for f in scan(doc.text, known, registry.REGISTRY, doc.hidden)]}
+        except Exception as e:  # one bad file must not end the job
+            return {"error": word.told(e)}
 
     ship(files.sparkSession)
-    found = files.select(F.col(id_col), run(F.col(content_col)).alias("w")).select(id_col, F.col("w.error").alias("error"), F.explode_outer("w.found").alias("f")).where("f IS NOT NULL OR error IS NOT NULL")
+    found = files.select(F.col(id_col), _rows_of(run, f"struct<found: {FINDING}, error: string>", F.col(content_col)).alias("w")).select(id_col, F.col("w.error").alias("error"), F.explode_outer("w.found").alias("f")).where("f IS NOT NULL OR error IS NOT NULL")
     return found.select(id_col, "f.rule_id", F.split("f.rule_id", r"\.")[0].alias("group_id"), "f.start", "f.end", "f.orig", "f.repl", "f.kind", "f.suggestions", "f.note", "error")
 
 
@@ -185,26 +189,22 @@ def word_cleaned(files: DataFrame, settings: Config | None = None, selection: Se
     """
     known, selection = _for_word(settings), selection or default_selection()
 
-    @F.pandas_udf(WORD_CLEANED)
-    def run(contents: pd.Series) -> pd.DataFrame:
-        rows = []
-        for data in contents:
-            try:
-                doc = word.load(data or b"")
-                c = clean(doc.text, known, registry.REGISTRY, selection, wording=word.wording_spans(doc))
-                content, refused = word.edit_passes(data, c.passes)
-                rows.append((content, word.load(content).text, len(c.passes), dict(c.applied), c.refused + refused, None))
-            except Exception as e:  # one bad file must not end the job
-                rows.append((None, None, 0, {}, 0, word.told(e)))
-        return pd.DataFrame(rows, columns=["content", "text", "n_passes", "applied", "refused", "error"])
+    def run(data: bytes | None) -> dict:
+        try:
+            doc = word.load(data or b"")
+            c = clean(doc.text, known, registry.REGISTRY, selection, wording=word.wording_spans(doc))
+            content, refused = word.edit_passes(data, c.passes)
+            return {"content": content, "text": word.load(content).text, "n_passes": len(c.passes), "applied": list(c.applied.items()), "refused": c.refused + refused}
+        except Exception as e:  # one bad file must not end the job
+            return {"error": word.told(e)}
 
     ship(files.sparkSession)
-    return files.select(F.col(id_col), run(F.col(content_col)).alias("w")).select(id_col, "w.*")
+    return files.select(F.col(id_col), _rows_of(run, WORD_CLEANED, F.col(content_col)).alias("w")).select(id_col, "w.*")
 
 
 def tally(found: DataFrame, *by: str) -> DataFrame:
-    """How many findings there are by the columns ``by``: partial sums before the shuffle."""
-    return found.groupBy(*by).agg(F.count("*").alias("n"))
+    """How many findings there are by the columns ``by``: partial sums before the shuffle. ``found``: findings, or what ``tallied`` gives."""
+    return found.groupBy(*by).agg((F.sum("n") if "n" in found.columns else F.count("*")).alias("n"))
 
 
 def tally_by_group(found: DataFrame) -> DataFrame:

@@ -261,11 +261,11 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tally_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.tally(frames.findings(_planted_docs(spark, sf_dir)), "rule_id", "kind")
+    return frames.tally(frames.tallied(_planted_docs(spark, sf_dir)), "rule_id", "kind")
 
 
 def tally_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.tally_by_group(frames.findings(_planted_docs(spark, sf_dir)))
+    return frames.tally_by_group(frames.tallied(_planted_docs(spark, sf_dir)))
 
 
 def tally_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
