@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from enum import Enum
 
@@ -12,7 +13,6 @@ from sparkscour.operators.page import Page
 from sparkscour.plans.rules import DELETE, Match
 
 
-
 class Verdict(Enum):
     """What a fix returns for a match that is none after all."""
 
@@ -24,12 +24,27 @@ Fix = str | None | Callable[[regex.Match, Page], object]
 Told = str | None | Callable[[regex.Match, Page], str | None]
 
 
-def every(pattern: str, fix: Fix, flags: str = "", suggest: Iterable[str] | Callable[[regex.Match, Page], Iterable[str]] = (), note: Told = None, needs: str | tuple[str, ...] = "") -> Callable[[Page], Iterable[Match]]:
+class Needed:
+    """Phrases, and whether a text has the words of one of them."""
+
+    def __init__(self, phrases: Iterable[str]):
+        parts = [frozenset(re.findall("[a-z]+", x.lower())) for x in phrases]
+        self.single = frozenset(x for part in parts if len(part) == 1 for x in part)
+        self.several = [part for part in parts if len(part) > 1]
+        self.none = not parts
+
+    def may_be(self, page: Page) -> bool:
+        return self.none or not self.single.isdisjoint(page.words) or any(part <= page.words for part in self.several)
+
+
+def every(pattern: str, fix: Fix, flags: str = "", suggest: Iterable[str] | Callable[[regex.Match, Page], Iterable[str]] = (), note: Told = None, needs: str | tuple[str, ...] = "", words: Iterable[str] = ()) -> Callable[[Page], Iterable[Match]]:
     """All matches of a pattern. ``fix``: a text, None (ask), or a function that gives either, or LEAVE. ``needs``: strings
-    (or the characters of one) of which a text with a match has at least one; looking for them is cheap."""
+    (or the characters of one) of which a text with a match has at least one; looking for them is cheap. ``words``: phrases
+    of which a text with a match has all words of at least one, in any case."""
+    needed = Needed(words)
 
     def find(page: Page) -> Iterable[Match]:
-        if needs and not any(c in page.text for c in needs):
+        if needs and not any(c in page.text for c in needs) or not needed.may_be(page):
             return
         for m in js(pattern, flags).finditer(page.text):
             if m.end() == m.start():
@@ -43,15 +58,9 @@ def every(pattern: str, fix: Fix, flags: str = "", suggest: Iterable[str] | Call
     return find
 
 
-def ask(pattern: str, flags: str = "", suggest: Iterable[str] | Callable[[regex.Match, Page], Iterable[str]] = (DELETE,), note: Told = None, needs: str | tuple[str, ...] = "") -> Callable[[Page], Iterable[Match]]:
+def ask(pattern: str, flags: str = "", suggest: Iterable[str] | Callable[[regex.Match, Page], Iterable[str]] = (DELETE,), note: Told = None, needs: str | tuple[str, ...] = "", words: Iterable[str] = ()) -> Callable[[Page], Iterable[Match]]:
     """Matches for a reader to judge."""
-    return every(pattern, None, flags, suggest, note, needs)
-
-
-def table(pairs: str) -> dict[str, str]:
-    """A table from "key value key value ..."."""
-    items = pairs.split()
-    return dict(zip(items[::2], items[1::2], strict=True))
+    return every(pattern, None, flags, suggest, note, needs, words)
 
 
 def match_case(orig: str, word: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import cached_property
 
@@ -10,6 +11,9 @@ from sparkscour.operators.spans import Cover, Region, Wording, fences, markdown_
 from sparkscour.plans.rules import Config
 
 
+_LETTERS = re.compile("[a-z]+")
+
+
 class Page:
     def __init__(self, text: str, config: Config, protected: Iterable[str], plain: bool = False, hidden: Iterable[Region] = ()):
         self.text, self.config = text, config
@@ -33,6 +37,11 @@ class Page:
             spans += [(r.start, r.end) for r in markdown_regions(self.text) if r.type == "verbatim"] if "`" in self.text else [(r.start, r.end) for r in fences(self.text)]
         return Cover(spans)
 
+    @cached_property
+    def words(self) -> frozenset[str]:
+        """The runs of ASCII letters of the text, in lower case."""
+        return frozenset(_LETTERS.findall(self.text.lower()))
+
     def within(self, kind: str, at: int) -> bool:
         if kind not in self._covers:
             self._covers[kind] = Cover((r.start, r.end) for r in self.regions if r.type == kind)

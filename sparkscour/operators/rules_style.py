@@ -9,7 +9,7 @@ from functools import cache
 import regex
 
 from sparkscour.functions.patterns import js
-from sparkscour.operators.finders import LEAVE, ask, every, match_case
+from sparkscour.operators.finders import LEAVE, Needed, ask, every, match_case
 from sparkscour.operators.page import Page
 from sparkscour.operators.style_words import COPULA, INTENSIFIERS, OPENERS, PHRASES, VOCABULARY
 from sparkscour.plans.rules import ALL, DELETE, PASTE, Match, Rule
@@ -72,15 +72,40 @@ def _cited(text: str, at: int) -> bool:
     return bool(js(CITED_IN_SENTENCE).search(text[start : end.start() + 1 if end else len(text)]))
 
 
-_ANY_PHRASE = rf"\b(?:{'|'.join(f'(?:{pattern})' for pattern, _ in PHRASES)})"
+def _either(choice: str) -> Iterable[str]:
+    """The words of a choice, each with and without a last letter that may be missing."""
+    for word in choice.split("|"):
+        yield word.removesuffix("?")
+        if word.endswith("?"):
+            yield word[:-2]
+
+
+def _word_sets(pattern: str) -> list[frozenset[str]]:
+    """Sets of words of which a text that a phrase matches has one each: its parts between spaces that are a word, a choice of words, or a word and how it goes on after an apostrophe."""
+    out = []
+    for part in js(r"(?:\((?:[^()]|\([^()]*\))*\)|[^ ()])+").findall(pattern):
+        if m := js(r"([a-z]+\??)|\(\?:([a-z]+\??(?:\|[a-z]+\??)*)\)").fullmatch(part):
+            out.append(frozenset(_either(m[1] or m[2])))
+        elif m := js(r"([a-z]+)\(\?:'.*").fullmatch(part):
+            out.append(frozenset([m[1]]))
+    return out
+
+
+def _choices(pattern: str) -> list[list[frozenset[str]]]:
+    """The word sets of a phrase, or of each phrase of a choice of them."""
+    whole = js(r"\(\?:((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)").fullmatch(pattern)
+    return [_word_sets(x) for x in js(r"(?:\((?:[^()]|\([^()]*\))*\)|[^()|])+").findall(whole[1] if whole else pattern)] if whole else [_word_sets(pattern)]
+
+
+_PHRASES = [(js(rf"\b{pattern}", "i"), _choices(pattern), instead) for pattern, instead in PHRASES]
 
 
 def _phrases(page: Page) -> Iterable[Match]:
-    if not page.has(_ANY_PHRASE, "i"):
-        return
-    for pattern, instead in PHRASES:
+    for pattern, choices, instead in _PHRASES:
+        if all(any(x.isdisjoint(page.words) for x in word_sets) for word_sets in choices):
+            continue
         source = "add a citation" in instead[0]
-        for m in js(rf"\b{pattern}", "i").finditer(page.text):
+        for m in pattern.finditer(page.text):
             if not (page.protected(m.start()) or source and _cited(page.text, m.start())):
                 yield Match(*m.span(), None, tuple(match_case(m[0], x) for x in instead if not x.startswith("(add")), "A stock phrase.")
 
@@ -143,7 +168,14 @@ def _sentence_case(m: regex.Match, page: Page) -> tuple[str, ...]:
     return (m[0].replace(title, lower, 1),)
 
 
+#: For each family, phrases of which it holds one.
+_FAMILY_WORDS = [Needed(x) for x in (("rapidly evolving", "ever changing", "ever evolving", "realm"), ("role", "testament", "importance", "paving"), ("not but",), ("time tell", "possibilities", "brighter", "remains", "conclusion"))]
+_VAGUE_WORDS = Needed(("studies", "research", "experts", "widely"))
+
+
 def _clusters(page: Page) -> Iterable[Match]:
+    if sum(needed.may_be(page) for needed in _FAMILY_WORDS) < CLUSTER_FAMILIES:
+        return
     for p in js(r"[^\n]+(?:\n(?!\s*\n)[^\n]+)*").finditer(page.text):
         if len(p[0]) > CLUSTER_LONGEST or len(js(r"\b[\w'-]+\b").findall(p[0])) < CLUSTER_WORDS:
             continue
@@ -158,6 +190,8 @@ def _clusters(page: Page) -> Iterable[Match]:
 
 
 def _vague_sources(page: Page) -> Iterable[Match]:
+    if not _VAGUE_WORDS.may_be(page):
+        return
     for m in js(VAGUE_SOURCE, "i").finditer(page.text):
         _, line_end = page.line(m.start())
         around = page.text[max(0, m.start() - SOURCE_BEFORE) : min(line_end, m.start() + SOURCE_AFTER)]
@@ -185,15 +219,15 @@ ACADEMIC = [
 ]
 _OPENER = SENTENCE_START + rf"(?:{'|'.join(OPENERS)}),[ \t]?"
 STYLE = [
-    Rule("sty.concise", "four wordy phrases", ALL, ask(_words(CONCISE), "i", lambda m, p: (match_case(m[0], CONCISE[m[0].lower()]),)), "text", ("txt", "md", "tex")),
-    Rule("sty.vocab", "words that language models overuse", ALL, ask(_words(WORDS), "i", lambda m, p: tuple(match_case(m[0], x) for x in WORDS[m[0].lower()])), "text"),
+    Rule("sty.concise", "four wordy phrases", ALL, ask(_words(CONCISE), "i", lambda m, p: (match_case(m[0], CONCISE[m[0].lower()]),), words=CONCISE), "text", ("txt", "md", "tex")),
+    Rule("sty.vocab", "words that language models overuse", ALL, ask(_words(WORDS), "i", lambda m, p: tuple(match_case(m[0], x) for x in WORDS[m[0].lower()]), words=WORDS), "text"),
     Rule("sty.vocabx", "more such words, from a list that the option gives", frozenset(), _excess_words, "text", options={"latex": ""}),
     Rule("sty.phrase", "stock phrases", ALL, _phrases, "text"),
     Rule("sty.negpar", "contrasts with what nobody said", ALL, _contrasts, "text"),
     Rule("sty.opener", "transitions at the start of sentences", ALL, ask(_OPENER, "m", lambda m, p: (DELETE, "Also, ") if js("(?:Furthermore|Moreover|Additionally|In addition)").match(m[0]) else (DELETE,)), "text"),
     Rule("sty.ingtail", "clauses at the end that assert meaning", ALL, ask(TAIL, "i"), "text"),
-    Rule("sty.copula", "long words for is and has", ALL, ask(rf"\b(?:{'|'.join(COPULA)})\b", "i", lambda m, p: (match_case(m[0], COPULA[m[0].lower()]),)), "text"),
-    Rule("sty.intensifier", "empty intensifiers", ALL, ask(rf"\b(?:{'|'.join(INTENSIFIERS)})\b[ \t]?", "i", note=lambda m, p: "Is there a statistical test?" if m[0].lower().startswith("significantly") else None), "text"),
+    Rule("sty.copula", "long words for is and has", ALL, ask(rf"\b(?:{'|'.join(COPULA)})\b", "i", lambda m, p: (match_case(m[0], COPULA[m[0].lower()]),), words=COPULA), "text"),
+    Rule("sty.intensifier", "empty intensifiers", ALL, ask(rf"\b(?:{'|'.join(INTENSIFIERS)})\b[ \t]?", "i", note=lambda m, p: "Is there a statistical test?" if m[0].lower().startswith("significantly") else None, words=INTENSIFIERS), "text"),
     Rule("sty.triad", "three adjectives in a row", ALL, _triads, "text"),
     Rule("sty.emoji", "emoji in prose", PASTE, every(r"\p{Extended_Pictographic}(?:\uFE0F|\p{Emoji_Modifier}|\u200D\p{Extended_Pictographic})*[ \t]?", lambda m, p: LEAVE if m[0][0] in "©®™" else None, suggest=(DELETE,)), "text"),
     Rule("sty.exclaim", "exclamation marks", frozenset(["latex"]), ask(r"(?<=[A-Za-z)'\"])!(?=\s|$)", "", (".",), needs="!"), "text"),
