@@ -11,14 +11,10 @@ import regex
 from sparkscour.functions.patterns import js
 from sparkscour.operators.finders import LEAVE, Needed, ask, every, match_case
 from sparkscour.operators.page import Page
-from sparkscour.operators.style_words import COPULA, INTENSIFIERS, OPENERS, PHRASES, VOCABULARY
+from sparkscour.operators.style_words import COPULA, INTENSIFIERS, OPENERS, PHRASES
+from sparkscour.operators.style_words import VOCABULARY as WORDS
 from sparkscour.plans.rules import ALL, DELETE, PASTE, Match, Rule
 
-WORDS: dict[str, tuple[str, ...]] = {
-    word.strip(): tuple(x.strip() for x in instead.split(" / "))
-    for word, instead in (item.split(":") for item in VOCABULARY.split(";") if ":" in item)
-}
-
 # Limits, and patterns of rhetoric, of sources and of sentences.
 CLUSTER_LONGEST, CLUSTER_WORDS, CLUSTER_FAMILIES = 12_000, 120, 3
 SOURCE_BEFORE, SOURCE_AFTER = 160, 350

@@ -19,18 +19,25 @@ LATEX, TEX = frozenset(["latex"]), ("tex",)
 _UNICODE_ENGINE = r"\\usepackage(?:\[[^\]]*\])?\{[^}]*\b(?:fontspec|polyglossia|xeCJK|unicode-math|luatexja|ctex)\b[^}]*\}|\\setmainfont|%\s*!TEX\s+(?:TS-)?program\s*=\s*(?:xe|lua)(?:la)?tex"
 _UNICODE_MATH = r"\\usepackage(?:\[[^\]]*\])?\{[^}]*unicode-math"
 ALIGNED = "tabular|tabularx|tabulary|tabu|longtable|array|matrix|pmatrix|bmatrix|vmatrix|Bmatrix|Vmatrix|cases|align|alignat|eqnarray|split|tblr|longtblr|NiceTabular"
-_PAIRS = r"""
-× \times ÷ \div ± \pm ∓ \mp − - · \cdot ⋅ \cdot ∘ \circ ≤ \leq ≥ \geq ≠ \neq ≈ \approx ≡ \equiv ∼ \sim ≃ \simeq ≅ \cong
-∝ \propto ≪ \ll ≫ \gg ≺ \prec ≻ \succ ⪯ \preceq ⪰ \succeq ∞ \infty ∂ \partial ∇ \nabla ∑ \sum ∏ \prod ∫ \int ∬ \iint ∮ \oint √ \sqrt
-∈ \in ∉ \notin ∋ \ni ⊂ \subset ⊃ \supset ⊆ \subseteq ⊇ \supseteq ∪ \cup ∩ \cap ∅ \emptyset ∖ \setminus ∀ \forall ∃ \exists ∄ \nexists
-¬ \neg ∧ \wedge ∨ \vee → \to ← \leftarrow ↔ \leftrightarrow ⇒ \Rightarrow ⇐ \Leftarrow ⇔ \Leftrightarrow ↦ \mapsto ⟶ \longrightarrow
-… \ldots ⋯ \cdots ⋮ \vdots ⋱ \ddots ′ ' ″ '' ⊗ \otimes ⊕ \oplus ⊙ \odot ∥ \parallel ⊥ \perp ∠ \angle ⌈ \lceil ⌉ \rceil ⌊ \lfloor ⌋ \rfloor
-⟨ \langle ⟩ \rangle ‖ \| ∣ \mid ℓ \ell ℏ \hbar ° ^\circ ⊤ \top † \dagger
-α \alpha β \beta γ \gamma δ \delta ε \varepsilon ϵ \epsilon ζ \zeta η \eta θ \theta ϑ \vartheta ι \iota κ \kappa λ \lambda μ \mu µ \mu
-ν \nu ξ \xi ο o π \pi ϖ \varpi ρ \rho ϱ \varrho σ \sigma ς \varsigma τ \tau υ \upsilon φ \varphi ϕ \phi χ \chi ψ \psi ω \omega
-Γ \Gamma Δ \Delta Θ \Theta Λ \Lambda Ξ \Xi Π \Pi Σ \Sigma Υ \Upsilon Φ \Phi Ψ \Psi Ω \Omega
-""".split()
-MATH = dict(zip(_PAIRS[::2], _PAIRS[1::2], strict=True))
+MATH = {
+    "×": r"\times", "÷": r"\div", "±": r"\pm", "∓": r"\mp", "−": r"-", "·": r"\cdot", "⋅": r"\cdot", "∘": r"\circ",
+    "≤": r"\leq", "≥": r"\geq", "≠": r"\neq", "≈": r"\approx", "≡": r"\equiv", "∼": r"\sim", "≃": r"\simeq", "≅": r"\cong",
+    "∝": r"\propto", "≪": r"\ll", "≫": r"\gg", "≺": r"\prec", "≻": r"\succ", "⪯": r"\preceq", "⪰": r"\succeq", "∞": r"\infty",
+    "∂": r"\partial", "∇": r"\nabla", "∑": r"\sum", "∏": r"\prod", "∫": r"\int", "∬": r"\iint", "∮": r"\oint", "√": r"\sqrt",
+    "∈": r"\in", "∉": r"\notin", "∋": r"\ni", "⊂": r"\subset", "⊃": r"\supset", "⊆": r"\subseteq", "⊇": r"\supseteq",
+    "∪": r"\cup", "∩": r"\cap", "∅": r"\emptyset", "∖": r"\setminus", "∀": r"\forall", "∃": r"\exists", "∄": r"\nexists",
+    "¬": r"\neg", "∧": r"\wedge", "∨": r"\vee", "→": r"\to", "←": r"\leftarrow", "↔": r"\leftrightarrow", "⇒": r"\Rightarrow",
+    "⇐": r"\Leftarrow", "⇔": r"\Leftrightarrow", "↦": r"\mapsto", "⟶": r"\longrightarrow", "…": r"\ldots", "⋯": r"\cdots",
+    "⋮": r"\vdots", "⋱": r"\ddots", "′": r"'", "″": r"''", "⊗": r"\otimes", "⊕": r"\oplus", "⊙": r"\odot", "∥": r"\parallel",
+    "⊥": r"\perp", "∠": r"\angle", "⌈": r"\lceil", "⌉": r"\rceil", "⌊": r"\lfloor", "⌋": r"\rfloor", "⟨": r"\langle",
+    "⟩": r"\rangle", "‖": r"\|", "∣": r"\mid", "ℓ": r"\ell", "ℏ": r"\hbar", "°": r"^\circ", "⊤": r"\top", "†": r"\dagger",
+    "α": r"\alpha", "β": r"\beta", "γ": r"\gamma", "δ": r"\delta", "ε": r"\varepsilon", "ϵ": r"\epsilon", "ζ": r"\zeta",
+    "η": r"\eta", "θ": r"\theta", "ϑ": r"\vartheta", "ι": r"\iota", "κ": r"\kappa", "λ": r"\lambda", "μ": r"\mu", "µ": r"\mu",
+    "ν": r"\nu", "ξ": r"\xi", "ο": r"o", "π": r"\pi", "ϖ": r"\varpi", "ρ": r"\rho", "ϱ": r"\varrho", "σ": r"\sigma",
+    "ς": r"\varsigma", "τ": r"\tau", "υ": r"\upsilon", "φ": r"\varphi", "ϕ": r"\phi", "χ": r"\chi", "ψ": r"\psi",
+    "ω": r"\omega", "Γ": r"\Gamma", "Δ": r"\Delta", "Θ": r"\Theta", "Λ": r"\Lambda", "Ξ": r"\Xi", "Π": r"\Pi", "Σ": r"\Sigma",
+    "Υ": r"\Upsilon", "Φ": r"\Phi", "Ψ": r"\Psi", "Ω": r"\Omega",
+}
 RAISED = dict(zip("⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿⁱ", "0123456789+-=()ni", strict=True))
 LOWERED = dict(zip("₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎ₐₑₒₓₕₖₗₘₙₚₛₜ", "0123456789+-=()aeoxhklmnpst", strict=True))
 PRINTABLE = r"\x00-\x7F\u00A0-\u017F\u2010-\u2027\u2030-\u205F\uFB00-\uFB06\uE000-\uF8FF\uFE00-\uFE0F\uFFFD\U000E0000-\U000E0FFF\u2190-\u21FF\u2200-\u22FF\u2400-\u27BF\U0001D400-\U0001D7FF\u2100-\u214F\u02BC\u0300-\u036F"
