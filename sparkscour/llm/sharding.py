@@ -14,6 +14,8 @@ from sparkscour.llm.common import ship, written
 SHARDS = 8
 #: Parts that each shard is numbered in; a part is ordered by one task.
 PARTS = 1024
+#: Slots of rows that are alike that one row holds while they are numbered.
+RUN = 1000
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -80,5 +82,7 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     order = Window.partitionBy("shard", "part").orderBy("id", "size", "text_crc32")
     ranked = rows.withColumn("first", F.sum("n").over(order) - F.col("n"))
     slots = ranked.join(offsets, ["shard", "part"]).withColumn("first", F.col("first") + F.col("offset"))
-    slot = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot")
+    last = F.col("first") + F.col("n") - 1
+    slots = slots.select("*", F.explode(F.sequence(F.col("first"), last, F.lit(RUN).cast("long"))).alias("from"))
+    slot = F.explode(F.sequence(F.col("from"), F.least(F.col("from") + RUN - 1, last))).alias("slot")
     return slots.select(F.col("id").alias(id_col), "size", "text_crc32", "law", "shard", slot, "grown_shard")

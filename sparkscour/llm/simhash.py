@@ -37,6 +37,8 @@ LOW = 0x5555555555555555
 SMALL_CELL = 32
 #: Most cells, a number each, that are broadcast to find their members.
 MAX_BROADCAST = 500_000
+#: Most ids of rows to leave out that are broadcast, so that no texts move.
+MAX_GONE = 2_000_000
 
 
 def fingerprint(text: Column, n_words: int = SHINGLE_WORDS, seed: int = SEED) -> Column:
@@ -188,7 +190,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = written(near_duplicates(docs, id_col, text_col), "simhash-groups")
     twice = written(found.groupBy(id_col).count().where("count > 1").select(id_col), "simhash-twice")
     gone = found.where(F.col(id_col) != F.col("component_id")).join(twice, id_col, "left_anti").select(id_col)
-    single = docs.join(twice.unionByName(gone), id_col, "left_anti")
+    out = written(twice.unionByName(gone), "simhash-gone")
+    single = docs.join(F.broadcast(out) if out.count() <= MAX_GONE else out, id_col, "left_anti")
     again = docs.join(twice, id_col, "left_semi").select(F.struct("*").alias("row"), F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp"))
     kept = found.where(F.col(id_col) == F.col("component_id")).join(twice, id_col, "left_semi").select(F.col(id_col).alias("id"), "fp", "component_fp").distinct()
     return single.unionByName(again.join(kept, ["id", "fp"]).dropDuplicates(["id", "component_fp"]).select("row.*"))

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkscour.llm.common import written
+
 #: Most intervals that are sent to every executor; beyond that the join shuffles, and Spark splits a hot host.
 MAX_BROADCAST = 100_000
 KINDS = ("host", "domain", "prefix")
@@ -45,30 +47,40 @@ def intervals(entries: DataFrame) -> DataFrame:
     return spans.select("kind", "value", F.col("at").alias("from"), "until")
 
 
-def names(url: Column) -> Column:
-    """The (kind, value) pairs that an entry could name a URL by; none without a host."""
+def names(url: Column, labels: int, steps: int) -> Column:
+    """The (kind, value) pairs that an entry of at most ``labels`` labels of a host, or ``steps`` slashes, could name a URL by;
+    none without a host."""
     of, parts = host(url), F.split(host(url), r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("value")))
-    steps = F.split(path(url), "/")
-    prefixes = F.when(F.size(steps) > 1, F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(of, F.array_join(F.slice(steps, 1, i), "/")).alias("value"))))
-    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(of, F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")).alias("value")))
-    found = F.concat(above, F.array(F.struct(F.lit("host").alias("kind"), of.alias("value"))), domains, F.coalesce(prefixes, F.array().cast("array<struct<kind: string, value: string>>")))
-    return F.when(of != "", F.array_distinct(found)).otherwise(F.array().cast("array<struct<kind: string, value: string>>"))
+    pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    no_pairs = F.array().cast("array<struct<kind: string, value: string>>")
+    first = F.greatest(F.size(parts) - (labels - 1), F.lit(1))
+    domains = F.transform(F.sequence(first, F.size(parts)), lambda i: pair("domain", F.array_join(F.slice(parts, i, F.size(parts)), "."))) if labels else no_pairs
+    segments = F.split(path(url), "/")
+    leading = lambda i: F.concat(of, F.array_join(F.slice(segments, 1, i), "/"))
+    last = F.least(F.size(segments), F.lit(steps + 1))
+    prefixes = F.when(last > 1, F.transform(F.sequence(F.lit(2), last), lambda i: pair("prefix", leading(i))))
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.size(segments) - 1, F.lit(steps)), F.lit(1))), lambda i: pair("prefix", F.concat(leading(i), F.lit("/"))))
+    found = F.concat(above, F.array(pair("host", of)), domains, F.coalesce(prefixes, no_pairs))
+    return F.when(of != "", F.array_distinct(found)).otherwise(no_pairs)
 
 
 def evaluated(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """Per capture: id_col, url_col, time_col, host, n_rules (values valid when it was fetched), rules (kind:value, sorted),
     blocked (n_rules > 0).
 
-    A null URL, one without host or a capture without time is not blocked. Captures that repeat an id come back as often as
+    A null URL, one without host or a capture without time is not blocked. URLs of any length are read whole; of their leading
+    parts only those are looked up that are no longer than the longest listed one, so a path of many segments costs no more. Captures that repeat an id come back as often as
     they are there, each judged by its own URL and time. Empty tables give no rows, or rows that nothing blocks. Other
     columns are not read.
     """
-    valid = intervals(entries)
-    valid = F.broadcast(valid) if valid.count() <= MAX_BROADCAST else valid
+    valid = written(intervals(entries), "url-intervals")
+    # a name with more labels or slashes than any listed one cannot be in the list
+    count = lambda kind, sign: F.coalesce(F.max(F.when(F.col("kind") == kind, F.length("value") - F.length(F.replace("value", F.lit(sign))))), F.lit(-1))
+    n, dots, slashes = valid.agg(F.count("*"), count("domain", "."), count("prefix", "/")).first()
+    valid = F.broadcast(valid) if n <= MAX_BROADCAST else valid
     url = F.col(url_col)
     own = captures.select(F.col(id_col).alias("id"), url.cast("string").alias("url"), F.col(time_col).alias("time"))
-    looked = own.select("url", "time").distinct().select("url", "time", F.explode(names(F.col("url"))).alias("n"))
+    looked = own.select("url", "time").distinct().select("url", "time", F.explode(names(F.col("url"), dots + 1, max(slashes, 0))).alias("n"))
     hit = looked.join(valid, (F.col("n.kind") == valid["kind"]) & (F.col("n.value") == valid["value"]) & (F.col("time") >= F.col("from")) & (F.col("until").isNull() | (F.col("time") < F.col("until"))))
     hit = hit.groupBy("url", "time").agg(F.array_sort(F.collect_set(F.concat_ws(":", "n.kind", "n.value"))).alias("rules")).select(F.col("url").alias("u"), F.col("time").alias("t"), "rules")
     out = own.join(hit, (F.col("url") == F.col("u")) & (F.col("time") == F.col("t")), "left")

@@ -103,6 +103,15 @@ def test_op5(spark, data):
     assert all(r.grown_shard in (r.shard, 8) for r in got) and {r.grown_shard for r in got} == set(range(9))
 
 
+def test_many_rows_alike_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    docs = spark.createDataFrame([(1, "same")] * 50 + [(2, "b")] * 7 + [(None, "same")] * 8, "doc_id long, text string")
+    got = sharding.numbered(docs).collect()
+    assert len(got) == 65
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_sharding_of_odd_rows(odd_docs, no_docs):
     got = sharding.numbered(odd_docs).collect()
     assert len(got) == 12 and len({(r.shard, r.slot) for r in got}) == 12

@@ -130,6 +130,16 @@ def test_prefixes_with_slashes_and_capitals(spark):
     assert sorted(r.url for r in url_filters.evaluated(captures, entries).where("blocked").collect()) == sorted(blocked)
 
 
+def test_very_long_urls(spark):
+    entries = spark.createDataFrame([("prefix", "a.org/x/x", 0, "add"), ("domain", "b.org", 0, "add"), ("host", "c.org", 0, "add")], "kind string, value string, at long, action string")
+    urls = ["http://a.org" + "/x" * 200_000, "http://a.org/y" + "/x" * 200_000, "http://" + "w." * 50_000 + "b.org/", "http://c.org/?" + "q" * 2_000_000, "http://d.org/" + "z" * 2_000_000]
+    captures = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, fetched long")
+    got = {r.page_id: r.rules for r in url_filters.evaluated(captures, entries).collect()}
+    assert got == {0: ["prefix:a.org/x/x"], 1: [], 2: ["domain:b.org"], 3: ["host:c.org"], 4: []}
+    only = url_filters.evaluated(captures, entries.where("kind = 'host'")).collect()
+    assert [r.page_id for r in only if r.blocked] == [3]
+
+
 def test_intervals_and_captures(spark):
     log = [("host", "a.b.org", 10, "add"), ("host", "A.b.org", 20, "remove"), ("host", "a.b.org", 30, "add"), ("host", "a.b.org", 35, "add"), ("domain", "b.org", 15, "add"), ("prefix", "c.net/x", 0, "add"), ("prefix", "c.net/x", 0, "remove"), ("prefix", "c.net/y/z", 5, "add"), ("odd", "q", 1, "add"), ("host", None, 1, "add"), ("host", "z.z", None, "add")]
     entries = spark.createDataFrame(log, "kind string, value string, at long, action string")
