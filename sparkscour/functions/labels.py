@@ -88,6 +88,15 @@ def neighbours(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select("*", F.coalesce(following, F.first("start").over(whole)).alias("next_start"), F.coalesce(before, F.last("start").over(whole)).alias("previous_start"))
 
 
+def nearest_to_line(found: DataFrame, texts: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The finding nearest to the start of a line: ``texts`` (id_col, text_col), ``lines`` (id_col, line from 1); a line beyond
+    the last counts as the end of its text."""
+    split = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    before = F.aggregate(F.slice(split, F.lit(1), F.greatest(F.col("line") - 1, F.lit(0))), F.lit(0), lambda a, x: a + F.length(x) + 1)
+    places = texts.join(lines, id_col).select(id_col, "line", F.least(before, F.length(text_col)).cast("int").alias("at"))
+    return nearest(found, places.select(id_col, "at").distinct(), id_col).join(places, [id_col, "at"]).select(id_col, "line", "distance", "start", "end", "rule_id")
+
+
 def nearest(found: DataFrame, places: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The finding nearest to a place: ``places`` (id_col, at); the earlier of two as near. Partial minima, then a shuffle."""
     pairs = found.join(places, id_col)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ SHORTEST_SENTENCE = 3
 
 
 def count(text: Column, pattern: str) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return F.regexp_count(text, F.lit(pattern))
 
 
 def utf16_length(text: Column) -> Column:
@@ -23,9 +25,9 @@ def utf16_length(text: Column) -> Column:
     return (F.length(text) + F.length(F.regexp_replace(text, r"[\x{0}-\x{FFFF}]+", ""))).cast("int")
 
 
-def paragraphs(text: Column) -> Column:
-    """Parts between blank lines that are not blank."""
-    return F.size(F.filter(F.split(text, r"\n[ \t]*\n"), lambda p: p.rlike(rf"(?!{SPACE})[\s\S]")))
+def paragraphs(text: Column, word: bool = False) -> Column:
+    """Parts between blank lines that are not blank; of a Word file's text, lines that are not."""
+    return F.size(F.filter(F.split(text, r"\n" if word else r"\n[ \t]*\n"), lambda p: p.rlike(rf"(?!{SPACE})[\s\S]")))
 
 
 def sentence_lengths(text: Column) -> Column:
@@ -34,24 +36,28 @@ def sentence_lengths(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.regexp_count(s, F.lit(TOKEN)).cast("long")), lambda n: n >= SHORTEST_SENTENCE)
 
 
-def profile_columns(text: Column) -> list[Column]:
-    """chars, words, sentences, paragraphs, avg_sentence, burstiness (sample deviation by mean), em_dash_per_1k."""
-    lengths = sentence_lengths(text)
+def profile_parts(text: Column) -> list[Column]:
+    """What the profile is computed from, each part once: chars, words, paragraphs, dashes, and of the sentences n, s (sum of
+    their lengths) and q (of their squares)."""
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("q"))
-    sums = F.aggregate(lengths, none, lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
-    n, s, q = (sums.getField(x) for x in "nsq")
+    sums = F.aggregate(sentence_lengths(text), none, lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
+    dashes = F.length(text) - F.length(F.replace(text, F.lit("\u2014"), F.lit("")))
+    return [utf16_length(text).alias("chars"), count(text, WORD).alias("words"), paragraphs(text).alias("paragraphs"), dashes.alias("dashes"), sums.alias("sums")]
+
+
+def profile_columns() -> list[Column]:
+    """chars, words, sentences, paragraphs, avg_sentence, burstiness (sample deviation by mean), em_dash_per_1k, from ``profile_parts``."""
+    n, s, q = (F.col(f"sums.{x}") for x in "nsq")
     mean = F.when(n > 0, s / n).otherwise(0.0)
     spread = F.when(n > 1, F.sqrt((n * q - s * s) / (n * (n - 1)))).otherwise(0.0)
-    words = count(text, WORD)
-    dashes = F.length(text) - F.length(F.replace(text, F.lit("\u2014"), F.lit("")))
     return [
-        utf16_length(text).alias("chars"),
-        words.alias("words"),
+        F.col("chars"),
+        F.col("words"),
         n.cast("int").alias("sentences"),
-        paragraphs(text).alias("paragraphs"),
+        F.col("paragraphs"),
         mean.alias("avg_sentence"),
         F.when(n > 0, spread / mean).otherwise(0.0).alias("burstiness"),
-        F.when(words > 0, dashes / words * 1000).otherwise(0.0).alias("em_dash_per_1k"),
+        F.when(F.col("words") > 0, F.col("dashes") / F.col("words") * 1000).otherwise(0.0).alias("em_dash_per_1k"),
     ]
 
 
@@ -95,6 +101,33 @@ RULES: dict[str, tuple[str, str | None]] = {
 }
 
 
+#: Matches that are placed one after another; blocks of so many are placed by themselves, so long texts take no square of time.
+BLOCK = 256
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, orig>> of all matches of a Java pattern, in order: what lies between them says where they are."""
+    orig = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(orig, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(orig)), lambda o, g: F.struct(o.alias("orig"), g.alias("gap")))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(orig) - 1, F.lit(0)), F.lit(BLOCK)), lambda at: F.slice(pairs, at + 1, BLOCK))
+    lengths = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + F.length(x["gap"]) + F.length(x["orig"])))
+
+    def collected(items: Column, at: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+        def grown(a: Column, x: Column) -> Column:
+            after, made = step(a["at"], x)
+            return F.struct(after.alias("at"), F.concat(a["out"], F.array(made)).alias("out"))
+
+        return F.aggregate(items, F.struct(at.alias("at"), F.array().cast(f"array<{kind}>").alias("out")), grown, lambda a: a["out"])
+
+    def placed(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
+        end = start + F.length(x["orig"])
+        return end, F.struct(start.alias("start"), end.alias("end"), x["orig"].alias("orig"))
+
+    starts = collected(lengths, F.lit(0), "int", lambda at, n: (at + n, at))
+    return F.flatten(F.zip_with(blocks, starts, lambda block, at: collected(block, at, "struct<start: int, end: int, orig: string>", placed)))
+
+
 def rule_count(text: Column, rule: str) -> Column:
     """How often a rule of ``RULES`` matches, as if it ran alone."""
     return F.regexp_count(text, F.lit(RULES[rule][0])).cast("long")

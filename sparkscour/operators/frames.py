@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from sparkscour.functions.native import profile_columns
+from sparkscour.functions import native
+from sparkscour.functions.native import profile_columns, profile_parts
 from sparkscour.functions.workers import ship, spread
 from sparkscour.operators.engine import Cleaned, Decision, Finding, Registry, applied, changes, clean, replacement, scan
 from sparkscour.operators.spans import regions as text_regions
@@ -99,6 +100,20 @@ def findings(docs: DataFrame, settings: Config | None = None, id_col: str = "doc
     return found.select(id_col, "f.rule_id", F.split("f.rule_id", r"\.")[0].alias("group_id"), "f.start", "f.end", "f.orig", "f.repl", "f.kind", "f.suggestions", "f.note")
 
 
+def pattern_findings(docs: DataFrame, rules: dict[str, tuple[str, str | None]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, rule_id, group_id, start, end, orig, repl, kind) of rules of one's own that are one Java pattern each, by built-in
+    functions alone: ``rules`` has pattern and replacement ($1 is a group; None asks) by id. Nothing is protected, and findings
+    of different rules may overlap. Null texts have none."""
+    found = None
+    for rule, (pattern, put) in rules.items():
+        rows = docs.select(F.col(id_col).alias("of"), F.explode(native.spans(F.coalesce(F.col(text_col).cast("string"), F.lit("")), pattern)).alias("f"))
+        repl = F.lit(None).cast("string") if put is None else F.regexp_replace("f.orig", pattern, put)
+        kind = F.when(repl.isNull(), "review").when(repl == "", "remove").otherwise("replace")
+        rows = rows.select(F.col("of").alias(id_col), F.lit(rule).alias("rule_id"), F.lit(rule.split(".")[0]).alias("group_id"), "f.start", "f.end", "f.orig", repl.alias("repl"), kind.alias("kind"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def _cleaned_row(c: Cleaned) -> dict:
     return {"text": c.text, "n_passes": len(c.passes), "applied": list(c.applied.items()), "refused": c.refused, "passes": [[e._asdict() for e in p] for p in c.passes]}
 
@@ -145,11 +160,10 @@ def profile(docs: DataFrame, settings: Config | None = None, id_col: str = "doc_
     """(id_col, chars, words, sentences, paragraphs, avg_sentence, burstiness, em_dash_per_1k[, signals_per_1k])."""
     docs = spread(docs.select(id_col, text_col))
     text = _text(docs, text_col)
-    columns = profile_columns(text)
     if not signals:
-        return docs.select(F.col(id_col), *columns)
+        return docs.select(F.col(id_col).alias("of"), *profile_parts(text)).select(F.col("of").alias(id_col), *profile_columns())
     style = F.size(F.filter(findings_of(text, settings or default_config()), lambda f: f["rule_id"].startswith("sty.")))
-    with_style = docs.select(F.col(id_col), *columns, style.alias("style"))
+    with_style = docs.select(F.col(id_col).alias("of"), *profile_parts(text), style.alias("style")).select(F.col("of").alias(id_col), *profile_columns(), "style")
     rate = F.when(F.col("words") > 0, F.col("style") / F.col("words") * 1000).otherwise(0.0)
     return with_style.withColumn("signals_per_1k", rate).drop("style")
 

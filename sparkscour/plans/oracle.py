@@ -338,6 +338,18 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return around.join(docs, "doc_id").select("doc_id", "start", line.cast("long").alias("line"), column.cast("long").alias("column"), "next_start", "previous_start")
 
 
+def nearest_to_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each text the finding nearest to its second line."""
+    docs = _planted_docs(spark, sf_dir)
+    return labels.nearest_to_line(frames.findings(docs, frames.default_config(only=["sp.nbsp"])), docs, docs.select("doc_id", F.lit(2).alias("line")))
+
+
+def pattern_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by built-in functions: of the package's simple rules, and of two more."""
+    rules = {x: native.RULES[x] for x in ("inv.zw", "sp.nbsp", "ws.blank")} | {"own.dash": (r" ?\x{2014} ?", "--"), "own.capitals": (r"[A-Z]{2,}", None)}
+    return frames.pattern_findings(_planted_docs(spark, sf_dir), rules)
+
+
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each text the finding nearest to its middle."""
     docs = _planted_docs(spark, sf_dir)
@@ -418,7 +430,7 @@ def native_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select(pairs.alias("p")).select("p.*")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (native_tally, profile, changes, converted_markdown, converted_latex, estimated, own_rule, positions, nearest, decode_round_trip, normalised_lines, visible_text, decided, profile_conversations, basic_cleaning, cleaned, cleaned_spaces, cleaned_pages, findings, tally_by_rule, tally_by_group, tally_by_kind, journal, url_regions, markdown_regions, tex_regions, bib_regions, word_round_trip, word_findings, word_cleaned)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (native_tally, profile, changes, converted_markdown, converted_latex, estimated, own_rule, positions, nearest, decode_round_trip, normalised_lines, visible_text, decided, profile_conversations, basic_cleaning, cleaned, cleaned_spaces, cleaned_pages, findings, tally_by_rule, tally_by_group, tally_by_kind, journal, url_regions, markdown_regions, tex_regions, nearest_to_line, pattern_findings, bib_regions, word_round_trip, word_findings, word_cleaned)}
 QUERIES |= {q.name: q.run for q in RULE_QUERIES}
 
 
@@ -512,6 +524,16 @@ ORACLE_SQL |= {
     "changes": _in_planted(((". ", ".\u00a0"), ("\n", "\n\n\n")), f"{findings_sql((_NBSP, _BLANK), EDGES)}", """
         SELECT doc_id, coalesce(sum(length(repl)), 0)::INT AS inserted, coalesce(sum(length(orig)), 0)::INT AS removed, count(repl)::INT AS n_edits
         FROM p LEFT JOIN s USING (doc_id) GROUP BY doc_id"""),
+    "nearest_to_line": _in_planted(_MIX, findings_sql((_NBSP,)), """
+        SELECT doc_id, 2::INT AS line, (n).distance AS distance, (n).start AS start, (n)."end" AS "end", 'sp.nbsp' AS rule_id FROM (
+            SELECT doc_id, min(struct_pack(distance := abs(start - place), start := start, "end" := "end")) AS n FROM s
+            JOIN (SELECT doc_id, least(length(string_split(t, chr(10))[1]) + 1, length(t))::INT AS place FROM p) USING (doc_id) GROUP BY doc_id)"""),
+    "pattern_findings": "WITH p AS (SELECT doc_id, {t} AS t FROM documents), f AS ({f}) {rest}".format(
+        t=planted_sql(_MIX, "coalesce(text, '')"),
+        f=" UNION ALL ".join(x.sql(0) for x in (Spans("inv.zw", r"\x{200B}", "''"), _NBSP, _BLANK, Spans("own.dash", r" ?\x{2014} ?", "'--'"), Spans("own.capitals", "[A-Z]{2,}", "NULL::VARCHAR"))),
+        rest="""SELECT doc_id, rule_id, split_part(rule_id, '.', 1) AS group_id, start, (start + length(orig))::INT AS "end", orig, repl,
+            CASE WHEN repl IS NULL THEN 'review' WHEN repl = '' THEN 'remove' ELSE 'replace' END AS kind FROM f""",
+    ),
     "nearest": _in_planted(_MIX, findings_sql((_NBSP,)), """
         SELECT doc_id, "at", (n).distance AS distance, (n).start AS start, (n)."end" AS "end", 'sp.nbsp' AS rule_id FROM (
             SELECT doc_id, (length(t) // 2)::INT AS "at", min(struct_pack(distance := abs(start - (length(t) // 2)::INT), start := start, "end" := "end")) AS n FROM s JOIN p USING (doc_id) GROUP BY doc_id, t)"""),

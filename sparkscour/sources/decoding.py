@@ -11,6 +11,7 @@ from sparkscour.functions.workers import ship
 # How much of a file is looked at, file endings read as text, and formats that are not.
 SAMPLE = 4000
 TEXT_ENDINGS = "tex ltx sty cls bib bbl txt text md markdown mdx rmd qmd csv json html xml yml rst org log".split()
+WORD_ENDINGS = ["docx"]
 REFUSED_ENDINGS = "doc pdf odt rtf pages".split()
 
 
@@ -60,12 +61,12 @@ def normalised_lines(text: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, ending, bytes, text, encoding, legacy_encoding, crlf) of text files; the text has line feeds only. Files of
-    refused formats are left out; a Word file has a null text (see ``sparkscour.sources.word``)."""
+    """(path, ending, bytes, text, encoding, legacy_encoding, crlf) of text files; the text has line feeds only. Files of other
+    formats are left out (``unread_files`` tells which); a Word file has a null text (see ``sparkscour.sources.word``)."""
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn("ending", ending(F.col("path")))
-    files = files.where(~F.col("ending").isin(REFUSED_ENDINGS))
-    word = F.col("ending") == "docx"
+    files = files.where(F.col("ending").isin([*TEXT_ENDINGS, *WORD_ENDINGS]))
+    word = F.col("ending").isin(WORD_ENDINGS)
     files = files.withColumn("d", F.when(~word, decoded_column(F.when(~word, F.col("content")))))
     return files.select(
         "path",
@@ -78,6 +79,17 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_text(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Texts as Parquet, one row each."""
-    docs.select(id_col, text_col).write.mode("overwrite").parquet(path)
+def unread_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ending, bytes, reason) of the files that ``read_files`` leaves out. Their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", ending(F.col("path")).alias("ending"), F.col("length").alias("bytes"))
+    reason = F.when(F.col("ending").isin(REFUSED_ENDINGS), F.lit("a format that is not text")).otherwise(F.lit("an unknown ending"))
+    return files.where(~F.col("ending").isin([*TEXT_ENDINGS, *WORD_ENDINGS])).withColumn("reason", reason)
+
+
+def write_text(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", form: str = "parquet") -> None:
+    """Texts in the folder ``path``, which is written anew: ``form`` "parquet" or "json" keeps ids, one row each; "text" writes
+    the texts alone as lines of UTF-8, in which a text of several lines is several lines."""
+    if form == "text":
+        docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("value")).write.mode("overwrite").text(path)
+    else:
+        docs.select(id_col, text_col).write.mode("overwrite").format(form).save(path)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from sparkscour.functions.native import profile_columns
+from sparkscour.functions.native import profile_columns, profile_parts
 from sparkscour.functions.workers import ship
 from sparkscour.operators import frames
 from sparkscour.operators.frames import findings_of
@@ -32,7 +32,7 @@ def cleaned_stream(docs: DataFrame, settings: Config | None = None, selection: S
 
 def profile_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A stream of profiles."""
-    return docs.select(F.col(id_col), *profile_columns(_text(docs, text_col)))
+    return docs.select(F.col(id_col).alias("of"), *profile_parts(_text(docs, text_col))).select(F.col("of").alias(id_col), *profile_columns())
 
 
 def to_parquet(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:

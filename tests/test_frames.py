@@ -108,6 +108,41 @@ def test_native_rules_equal_the_engine(spark, data, rule):
         assert r.t == applied(r.text, edits_)
 
 
+def test_pattern_findings(spark):
+    import re
+
+    texts = ["", None, "a1b22", "7" * 3 + " x " + "é9" * 700, " 5" * 5000, "no digits"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").selectExpr("*", "'x' AS start", "'y' AS f", "'z' AS of")
+    got = frames.pattern_findings(docs, {"own.digits": (r"[0-9]+", "<$0>"), "own.e": ("é", None), "own.x": (" ?x ", "")}).collect()
+    want = [(i, rule, m.start(), m.end(), m[0], put(m), kind) for rule, pattern, put, kind in (("own.digits", "[0-9]+", lambda m: f"<{m[0]}>", "replace"), ("own.e", "é", lambda m: None, "review"), ("own.x", " ?x ", lambda m: "", "remove")) for i, t in enumerate(texts) for m in re.finditer(pattern, t or "")]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.rule_id, r.start, r.end, r.orig, r.repl, r.kind)) for r in got)
+
+
+def test_files_that_are_not_read(spark, tmp_path):
+    for name in ("a.txt", "b.TEX", "c.pdf", "d.png", "e", "f.docx"):
+        (tmp_path / name).write_bytes(b"\x00\x01" if name == "d.png" else b"text")
+    read = {r.ending for r in decoding.read_files(spark, str(tmp_path)).collect()}
+    left = {r.ending: r.reason for r in decoding.unread_files(spark, str(tmp_path)).collect()}
+    assert read == {"txt", "tex", "docx"} and left == {"pdf": "a format that is not text", "png": "an unknown ending", "": "an unknown ending"}
+    docs = spark.createDataFrame([(1, "one\ntwo"), (2, None)], "doc_id int, text string")
+    decoding.write_text(docs, str(tmp_path / "json"), form="json")
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+    decoding.write_text(docs, str(tmp_path / "lines"), form="text")
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "lines")).collect()) == ["", "one", "two"]
+
+
+def test_paragraphs_of_word_files(spark):
+    df = spark.createDataFrame([("a\nb\n \n\nc",)], "t string")
+    assert tuple(df.select(native.paragraphs(F.col("t")), native.paragraphs(F.col("t"), word=True)).first()) == (2, 3)
+
+
+def test_nearest_to_a_line(spark):
+    docs = spark.createDataFrame([(1, "ab\u00a0c\nd\u00a0e\nf\u00a0g")], "doc_id int, text string")
+    found = frames.findings(docs, frames.default_config(only=["sp.nbsp"]))
+    lines = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 9)], "doc_id int, line int")
+    assert {r.line: r.start for r in labels.nearest_to_line(found, docs, lines).collect()} == {1: 2, 2: 6, 3: 10, 9: 10}
+
+
 def test_streams(spark, tmp_path, docs):
     source = str(tmp_path / "in")
     docs.select("doc_id", "text").repartition(3).write.parquet(source)
