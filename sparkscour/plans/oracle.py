@@ -88,7 +88,7 @@ class RuleQuery:
             sums = "g AS (SELECT doc_id, count(*) AS n, sum(length(orig)) AS length FROM s GROUP BY 1)"
             return _in_planted(self.pairs_all, f"{found}, {APPLIED}, {sums}", "SELECT doc_id, coalesce(g.n, 0)::BIGINT AS n, coalesce(length, 0)::BIGINT AS length, md5(t) AS text_md5 FROM c LEFT JOIN g USING (doc_id)")
         if self.counts:
-            return _in_planted(self.pairs_all, f"m AS (SELECT doc_id, t, {self.counts} FROM p)", "SELECT doc_id, n::BIGINT AS n, length::BIGINT AS length, md5(t) AS text_md5 FROM m")
+            return _in_planted(self.pairs_all, f"m AS (SELECT doc_id, t, {self.counts} FROM p)", f"SELECT doc_id, n::BIGINT AS n, length::BIGINT AS length, md5({self.fixed or 't'}) AS text_md5 FROM m")
         fixed = self.fixed or "t" if self.fix is None else f"regexp_replace(t, {quoted(self.whole or self.found)}, {quoted(self.fix)}, 'g')"
         return f"""
             WITH p AS (SELECT doc_id, {planted_sql(self.pairs_all, "coalesce(text, '')")} AS t FROM documents),
@@ -113,6 +113,8 @@ _PROSE: Pairs = tuple((c, "") for c in "%$`\\\"'<>[]()\u201c\u2018") + (("@", "
 #: Without the signs of Markdown and LaTeX that the tables' junk has.
 _BARE: Pairs = tuple((c, "") for c in "%$#*&`\\_~[]{}<>|^")
 _NO_LINKS: Pairs = (("@", " "), ("://", " "), ("www.", ""), ("WWW.", ""))
+#: And with single spaces.
+_SINGLE: Pairs = (*_BARE, *((("  ", " "),) * 4), (" \n", "\n"))
 RULE_QUERIES = (
     RuleQuery("inv.zw", words(" th\u200be ", " d\u2060e ", " d\ufeffer "), r"[\x{200B}\x{2060}\x{FEFF}]", ""),
     RuleQuery("inv.joiner", words(" th\u200de ", " d\u200ce ", " क्\u200dष "), r"[a-z]([\x{200C}\x{200D}])", r"\1", 1, whole=r"([a-z])[\x{200C}\x{200D}]"),
@@ -200,7 +202,7 @@ RULE_QUERIES = (
     RuleQuery("plain.md", (*_BARE, *words(" **the** ", " [de](b) ", "\n# ")), spans=(
         Spans("plain.md", r"(?m:^# [^\n]*?[^ \t\n#][ \t#]*$)", r"regexp_extract(orig, '^#[ \t]+(.+?)[ \t#]*$', 1)"), Spans("plain.md", r"\*\*the\*\*", "'the'"), Spans("plain.md", r"\[de\]\(b\)", "'de (b)'"))),
     RuleQuery("plain.math", (*_BARE, *words(r" $x^2 \leq y$ ", r" $\frac{a}{b}$ ")), kind="md", spans=(Spans("plain.math", r"\$x\^2 \\leq y\$", "'x² ≤ y'"), Spans("plain.math", r"\$\\frac\{a\}\{b\}\$", "'a/b'"))),
-    RuleQuery("plain.tex", words(r" \textbf{the} ", r" \cite{a} "), kind="tex"),
+    RuleQuery("plain.tex", (*_SINGLE, *words(r" \textbf{the} ", r" \cite{a} ")), kind="tex", counts=r"(contains(t, '\textbf{the}') OR contains(t, '\cite{a}'))::INT AS n, n * length(t) AS length", fixed=r"replace(replace(t, '\textbf{the}', 'the'), '\cite{a}', '[a]')"),
 )
 
 # ---- profile, regions, cleaning and tallies ----
@@ -210,9 +212,13 @@ _MIX: Pairs = ((", ", " \u2014 "), (". ", ".\u00a0"), ("th", "t\u200bh"), (" de
 
 _MARKED: Pairs = (*_BARE, *words(" `the` ", " <!-- de --> ", "\n```\nx\n```\n"))
 _TYPESET: Pairs = (*_BARE, *words(r" $the$ ", r" \cite{de} ", r" \begin{align}x\end{align} "))
-_FORMATTED: Pairs = (*_BARE, *((("  ", " "),) * 4), (" \n", "\n"), *words(" **the** ", " [de](b) ", "\n# ", " `que` ", " $x^2$ "))
+_SET: Pairs = (*_SINGLE, *words(r" \textbf{the} ", r" \cite{de} ", r" $\alpha$ ", "\n\\section{que}\n"))
+_FORMATTED: Pairs = (*_SINGLE, *words(" **the** ", " [de](b) ", "\n# ", " `que` ", " $x^2$ "))
 _DOUBLED: Pairs = (*_PROSE, *_BARE, *words(" the the ", " de de "))
 _ENTRIES: Pairs = (*_BARE, ("@", " "), *words("\n@book{the,\n", "\n  title = x\n", "\n url = {de}\n"))
+_WORDY: Pairs = (*_PROSE, *words(" delve ", " Pivotal ", " in order to ", " SERVES AS ", " Furthermore "))
+_CODED: Pairs = (*_BARE, *words(" \u2014 ", " `x \u2014 y` ", " <!-- \u2014 --> ", " [q](a\u2014b) ", " \u2014z "))
+_DASHED: Pairs = (*_BARE, *words(" \u2014 ", " a\u2014b "))
 _TYPED: Pairs = ((", ", " \u2014 "),)
 _CHOSEN: Pairs = (*_PROSE, (", ", " \u2014 "), (". ", ". Furthermore, "))
 
@@ -338,6 +344,30 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return around.join(docs, "doc_id").select("doc_id", "start", line.cast("long").alias("line"), column.cast("long").alias("column"), "next_start", "previous_start")
 
 
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three rules offer instead, in the case of what they found."""
+    found = frames.findings(_planted_docs(spark, sf_dir, _WORDY), frames.default_config(only=["sty.vocab", "sty.concise", "sty.copula"]))
+    return found.select("doc_id", "rule_id", "start", "end", "orig", F.array_join("suggestions", "|").alias("suggestions"), "kind")
+
+
+def protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dashes in Markdown: not those in code, comments and links."""
+    found = frames.findings(_planted_docs(spark, sf_dir, _CODED), frames.default_config("md", only=["pu.em"]))
+    return found.select("doc_id", "rule_id", "start", "end", "orig", "repl")
+
+
+def chosen_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule with each value of its option, in LaTeX and in plain text."""
+    docs = _planted_docs(spark, sf_dir, _DASHED)
+    out = None
+    for kind in ("tex", "txt"):
+        for value in ("---", " - ", ", ", "review"):
+            found = frames.findings(docs, frames.default_config(kind, only=["pu.em"], options={"pu.em": value}))
+            rows = found.groupBy("repl", "kind").agg(F.count("*").alias("n")).select(F.lit(kind).alias("file_type"), F.lit(value).alias("option"), "repl", "kind", "n")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def nearest_to_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each text the finding nearest to its second line."""
     docs = _planted_docs(spark, sf_dir)
@@ -402,7 +432,7 @@ def converted_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def converted_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _planted_docs(spark, sf_dir, words(r" \textbf{the} ", r" \cite{de} ", r" $\alpha$ ", "\n\\section{que}\n"))
+    docs = _planted_docs(spark, sf_dir, _SET)
     return frames.converted(docs, "tex").select("doc_id", F.md5("text").alias("text_md5"), "n_passes")
 
 
@@ -430,7 +460,7 @@ def native_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select(pairs.alias("p")).select("p.*")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (native_tally, profile, changes, converted_markdown, converted_latex, estimated, own_rule, positions, nearest, decode_round_trip, normalised_lines, visible_text, decided, profile_conversations, basic_cleaning, cleaned, cleaned_spaces, cleaned_pages, findings, tally_by_rule, tally_by_group, tally_by_kind, journal, url_regions, markdown_regions, tex_regions, nearest_to_line, pattern_findings, bib_regions, word_round_trip, word_findings, word_cleaned)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (native_tally, profile, changes, converted_markdown, converted_latex, estimated, own_rule, positions, nearest, decode_round_trip, normalised_lines, visible_text, decided, profile_conversations, basic_cleaning, cleaned, cleaned_spaces, cleaned_pages, findings, tally_by_rule, tally_by_group, tally_by_kind, journal, url_regions, markdown_regions, tex_regions, nearest_to_line, pattern_findings, bib_regions, suggestions, protected, chosen_options, word_round_trip, word_findings, word_cleaned)}
 QUERIES |= {q.name: q.run for q in RULE_QUERIES}
 
 
@@ -524,6 +554,21 @@ ORACLE_SQL |= {
     "changes": _in_planted(((". ", ".\u00a0"), ("\n", "\n\n\n")), f"{findings_sql((_NBSP, _BLANK), EDGES)}", """
         SELECT doc_id, coalesce(sum(length(repl)), 0)::INT AS inserted, coalesce(sum(length(orig)), 0)::INT AS removed, count(repl)::INT AS n_edits
         FROM p LEFT JOIN s USING (doc_id) GROUP BY doc_id"""),
+    "suggestions": _in_planted(_WORDY, "f AS (" + " UNION ALL ".join(
+        Spans(rule, word, quoted(instead)).sql(0)
+        for rule, word, instead in (
+            ("sty.vocab", r"\bdelve\b", "examine|study|look at"),
+            ("sty.vocab", r"\bPivotal\b", "Central|Key|Important"),
+            ("sty.vocab", r"\bFurthermore\b", "Also"),
+            ("sty.concise", "in order to", "to"),
+            ("sty.copula", "SERVES AS", "IS"),
+        )) + ")", """SELECT doc_id, rule_id, start, (start + length(orig))::INT AS "end", orig, repl AS suggestions, 'review' AS kind FROM f"""),
+    "protected": _in_planted(_CODED, f"f AS ({Spans('pu.em', r'`x — y`|<!-- — -->|\]\(a—b\)| *— *', "' - '").sql(0)})",
+        """SELECT doc_id, rule_id, start, (start + length(orig))::INT AS "end", orig, repl FROM f WHERE regexp_matches(orig, '^ *— *$')"""),
+    "chosen_options": _in_planted(_DASHED, "n AS (SELECT sum(len(string_split(t, '—')) - 1)::BIGINT AS n FROM p)", """
+        SELECT file_type, option, CASE WHEN option = 'review' THEN NULL WHEN option = '---' AND file_type = 'txt' THEN ' - ' ELSE option END AS repl,
+            CASE WHEN option = 'review' THEN 'review' ELSE 'replace' END AS kind, n
+        FROM n, (VALUES ('tex'), ('txt')) AS k(file_type), (VALUES ('---'), (' - '), (', '), ('review')) AS o(option)"""),
     "nearest_to_line": _in_planted(_MIX, findings_sql((_NBSP,)), """
         SELECT doc_id, 2::INT AS line, (n).distance AS distance, (n).start AS start, (n)."end" AS "end", 'sp.nbsp' AS rule_id FROM (
             SELECT doc_id, min(struct_pack(distance := abs(start - place), start := start, "end" := "end")) AS n FROM s
@@ -569,6 +614,10 @@ ORACLE_SQL |= {
         v AS (SELECT doc_id, lower(w) AS w, i, coalesce(lag(w) OVER o = ' ' AND lower(lag(w, 2) OVER o) = lower(w), false) AS again FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
         r AS (SELECT doc_id, w, count(*) FILTER (NOT again) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM v WHERE regexp_matches(w, '[a-z]'))""",
         "SELECT doc_id, sum(n // 2)::BIGINT AS n FROM (SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL) GROUP BY 1 HAVING sum(n // 2) > 0"),
+    "converted_latex": _in_planted(_SET, r"""
+        h AS (SELECT doc_id, regexp_matches(t, '\\(?:textbf|cite|section)\{|[^ ] +$') AS twice,
+            replace(replace(replace(replace(t, '\textbf{the}', 'the'), '\cite{de}', '[de]'), '$\alpha$', 'α'), '\section{que}' || chr(10), 'que' || chr(10) || chr(10)) AS t FROM p)""",
+        "SELECT doc_id, md5(CASE WHEN t = '' THEN '' ELSE regexp_replace(t, '[ \n]+$', '') || chr(10) END) AS text_md5, (t <> '')::INT + twice::INT AS n_passes FROM h"),
     "converted_markdown": _in_planted(_FORMATTED, rf"""
         h AS (SELECT doc_id, t, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^# .*(?:\*\*the\*\*|\[de\]\(b\)|`que`|\$x\^2\$)'))) > 0 OR regexp_matches(t, '[^ ] +$') AS twice FROM p),
         g AS (SELECT doc_id, twice, replace(replace(replace(replace(regexp_replace(t, '(?m)^# +(.+?)[ \t#]*$', '\1', 'g'), '**the**', 'the'), '[de](b)', 'de (b)'), '`que`', 'que'), '$x^2$', 'x²') AS t FROM h)""",
