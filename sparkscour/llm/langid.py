@@ -183,8 +183,10 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang
     room = F.least(F.octet_length("text") * len(SIZES), F.lit(1 << BITS)) * 8
     n = rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg(room).alias("bytes")).select(F.col("lang").alias("of"), "n", "bytes")
     n = written(n, "languages")
-    count, size = n.agg(F.count("*"), F.coalesce(F.sum(F.least("n", F.lit(per_language)) * F.col("bytes")), F.lit(0.0))).first()
-    per_language = min(per_language, max(LEAST_ROWS, MOST_ROWS // max(1, count)), max(LEAST_ROWS, int(per_language * MOST_BYTES / max(1.0, size))))
+    per_language = min(per_language, max(LEAST_ROWS, MOST_ROWS // max(1, n.count())))
+    rows_of = F.least("n", F.lit(per_language))
+    size = n.agg(F.coalesce(F.sum(rows_of * F.col("bytes")), F.lit(0.0))).first()[0]
+    wanted = F.greatest(F.lit(LEAST_ROWS), rows_of * min(1.0, MOST_BYTES / max(1.0, size)))
     draw = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 30)) / float(1 << 30)
 
     @F.pandas_udf("struct<buckets: binary, counts: binary>")
@@ -192,7 +194,7 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang
         found = [counted(letters(x), SIZES, BITS) for x in texts]
         return pd.DataFrame({"buckets": [a.tobytes() for a, _ in found], "counts": [b.tobytes() for _, b in found]})
 
-    chosen = rows.join(F.broadcast(n), F.col("lang") == F.col("of")).where(draw * F.col("n") < per_language)
+    chosen = rows.join(F.broadcast(n), F.col("lang") == F.col("of")).where(draw * F.col("n") < wanted)
     got = chosen.select("lang", "id", featured("text").alias("f")).orderBy("lang", "id").collect()
     return [(x.lang, np.frombuffer(x.f.buckets, np.int32), np.frombuffer(x.f.counts, np.int32)) for x in got]
 

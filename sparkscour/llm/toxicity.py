@@ -3,7 +3,7 @@
 A feature is the presence of a hashed n-gram (SIZES bytes, words padded by spaces) in the whole text; its value is the
 log ratio of the smoothed shares of toxic and of other rows that have it. N-grams that tell little (a ratio near 0, or too few rows) get
 no weight. The model is fitted on the driver from at most about ``per_label`` rows of each label, chosen by a hash of the
-id; every row is scored on the executors.
+id (fewer where their features are more than MOST_BYTES); every row is scored on the executors.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscour.llm.common import ship, spread
+from sparkscour.llm.common import ship, spread, written
 from sparkscour.llm.langid import remainder
 from sparkscour.llm.linear import Rows, fit, sigmoid
 from sparkscour.llm.ngrams import buckets, letters
@@ -23,6 +23,8 @@ from sparkscour.llm.ngrams import buckets, letters
 SIZES = (3, 4, 5, 6)
 BITS = 20
 PER_LABEL = 1000
+#: Bytes of their features, which the driver holds; of long texts fewer rows are learned.
+MOST_BYTES = 200 << 20
 #: A row is predicted toxic from this score on.
 THRESHOLD = 0.3
 SMOOTHING, LEAST_ROWS, LEAST_RATIO = 1.0, 5, 1.0
@@ -64,14 +66,16 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     n = known.groupBy(F.col("label").alias("of")).agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), "id"), F.lit(1 << 30)) / float(1 << 30)
-    known = known.join(F.broadcast(n), F.col("label") == F.col("of")).where(draw * F.col("n") < per_label).select("id", "label")
+    known = known.join(F.broadcast(n), F.col("label") == F.col("of")).withColumn("share", draw * F.col("n") / F.least("n", F.lit(per_label))).where("share < 1").select("id", "label", "share")
 
     @F.pandas_udf("binary")
     def featured(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(np.concatenate([np.empty(0, np.int64), *buckets(letters(x), SIZES, BITS)])).astype(np.int32).tobytes() for x in texts])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id")
-    got = rows.select("label", "id", featured("text").alias("f")).orderBy("label", "id").collect()
+    rows = written(rows.select("label", "id", "share", featured("text").alias("f")), "toxicity-features")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("f")), F.lit(0))).first()[0]
+    got = rows.where(F.col("share") < min(1.0, MOST_BYTES / max(1, size))).select("label", "id", "f").orderBy("label", "id").collect()
     return train([(x.label, np.frombuffer(x.f, np.int32)) for x in got])
 
 

@@ -183,3 +183,15 @@ def test_features_are_bounded_in_bytes(spark, monkeypatch):
     monkeypatch.setattr(langid, "MOST_BYTES", 1_000_000)
     part = langid._sample(docs, "doc_id", "text", "lang", 400)
     assert 2 * langid.LEAST_ROWS / 2 <= len(part) < len(whole) / 2 and {x for x, _, _ in part} == {"de", "en"}
+
+
+def test_toxic_features_are_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{'bad' if i % 3 else 'good'} words{i % 5} and more {i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(bool(i % 3))) for i in range(300)], "doc_id long, toxic int")
+    sizes = []
+    whole = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda sample: sizes.append((len(sample), {y for y, _ in sample})) or whole(sample))
+    toxicity.fitted(docs, labels)
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 10_000)
+    toxicity.fitted(docs, labels)
+    assert 200 < sizes[0][0] <= 300 and 0 < sizes[1][0] < sizes[0][0] / 2 and all(x == {0, 1} for _, x in sizes)
