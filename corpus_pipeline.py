@@ -1,35 +1,58 @@
-"""The corpus pipeline: language ID, SimHash near-dedup, benchmark decontamination, mixing, sharding."""
+"""The corpus pipeline: language ID, SimHash near-dedup, benchmark decontamination, mixing, sharding.
+
+Every stage takes all rows of its predecessor and whole texts of any length. Empty tables pass as empty tables. Columns beside
+those that a stage reads keep their names and values, whatever they are called; the last stage alone adds columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkscour.llm import decontamination, langid, mixing, sharding, simhash
-from sparkscour.llm.common import table, written
+from sparkscour.llm.common import discard, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without a language get the predicted one."""
+    """Documents whose language is recognised; those without a language get the predicted one.
+
+    Null texts and texts without a letter go. Rows without id, and repeated rows, are judged by their texts like any other. Of
+    languages that win alike, the last by code is predicted.
+    """
     return langid.recognised(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the one with the least id.
+
+    Texts without a word are near-duplicates of each other. Of rows that repeat an id, one of each group stays; rows without id
+    stay.
+    """
     return simhash.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item.
+
+    Texts without a word hold none. Rows that repeat an id, or have none, are judged each by its own text. Items without id or
+    word match nothing.
+    """
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
+    """Documents as often as the mix of their sources takes them.
+
+    Null sources are one source; rows without id are ordered by their text. Rows without a word add nothing to the mix and are
+    taken as often as their source repeats them. Of rows that are alike, as many are taken as the mix needs.
+    """
     return mixing.mixed(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard."""
+    """Documents with their shard, and the columns size, text_crc32, law and grown_shard; each replaces a column of that name.
+
+    A row without id goes by its text, a null text has size 1, and rows that repeat an id share a shard.
+    """
     return sharding.sharded(docs)
 
 
@@ -46,7 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each table is removed once the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if i:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
