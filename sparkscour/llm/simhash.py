@@ -33,6 +33,8 @@ MAX_BITS = 4
 GROUPS = 8
 #: Lower bit of every segment of two bits.
 LOW = 0x5555555555555555
+#: Fingerprints whose cells one task makes: about 50 MB of rows.
+TASK = 1 << 14
 #: Most members of an open cell whose pairs are formed without cutting it again.
 SMALL_CELL = 32
 #: Most cells, a number each, that are broadcast to find their members.
@@ -145,12 +147,13 @@ def links(fps: DataFrame) -> DataFrame:
 
     Not every linked pair has an edge: pairs that earlier edges already connect are left out. An edge may come twice.
     """
-    cells = _cells(fps)
+    n = fps.count()
+    cells = _cells(fps.repartition(max(1, n // TASK)))
     twos, met = _met(cells)
     if met.count() <= MAX_BROADCAST:
         shared = cells.join(F.broadcast(met.drop("n")), "cell")
     else:
-        shared = joined(cells, met, "cell", "n", len(GRIDS) * fps.count())
+        shared = joined(cells, met, "cell", "n", len(GRIDS) * n)
     shared = written(shared, "simhash-cells")
     stars = shared.where(F.col("fp") != F.col("pivot")).where(_near(F.col("fp"), F.col("pivot"), MAX_BITS)).select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
     stars = written(stars.unionByName(twos).distinct(), "simhash-stars")
