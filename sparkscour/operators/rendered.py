@@ -13,6 +13,7 @@ GLYPHS = {
     "in": "∈", "infty": "∞", "sum": "∑", "int": "∫", "partial": "∂", "to": "→", "rightarrow": "→", "pm": "±", "ldots": "…", "cdots": "⋯",
 }
 REACH, TAILS, ROUNDS = 90, 3, 6
+SPACE = frozenset("\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff")
 _TAIL = js(r"[ \t]+[=+\-*/<>()0-9A-Za-z\\^_{}.,]{1,12}")
 _FRACTION = js(r"\\frac\{([^{}]*)\}\{([^{}]*)\}")
 _STYLED = js(r"\\(?:sqrt|mathrm|mathbf|mathit|text|operatorname|mathcal|mathbb)\{([^{}]*)\}")
@@ -61,13 +62,29 @@ class FormulaReader:
             left -= 1
         return None if left else at
 
+    def _last_shown(self, floor: int, stop: int) -> set[str] | None:
+        """What the look of any source that ends at ``stop`` can end with; None if that is not plain."""
+        body = js(r"[.,;:]$").sub("", self.text[floor:stop]).rstrip("^_{}\\ \t")
+        if not body:
+            return None
+        command = js(r"\\([A-Za-z]+)$").search(body)
+        if command and command[1] in ("left", "right"):
+            return None
+        return {alike(x)[-1:] for x in (body[-1], GLYPHS.get(command[1], "") if command else "")} - {""}
+
     def twice(self, start: int, end: int) -> tuple[int, int, str] | None:
         """(start, end, source) of the longest doubled formula whose source holds the piece [start, end)."""
         floor = self.text.rfind("\n", 0, start) + 1
         best = None
         for stop in self._ends(end):
+            last = self._last_shown(max(floor, stop - REACH), stop)
             for at in range(stop - 1, max(floor, stop - REACH), -1):
-                if js(r"\s").match(self.text[at]):
+                if self.text[at] in SPACE:
+                    continue
+                before = at - 1
+                while before >= floor and self.text[before] in SPACE:
+                    before -= 1
+                if before < floor or last and alike(self.text[before])[-1:] not in last:
                     continue
                 source = js(r"[.,;:]$").sub("", self.text[at:stop])
                 if not js(r"\\[A-Za-z]|[\^_]").search(source):
