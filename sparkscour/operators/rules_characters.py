@@ -8,7 +8,7 @@ from collections.abc import Iterable
 import regex
 
 from sparkscour.functions.patterns import CJK, EMOJI_PART, FOREIGN, JOINING, RTL, js
-from sparkscour.operators.finders import LEAVE, ask, every
+from sparkscour.operators.finders import LEAVE, Needed, ask, every
 from sparkscour.operators.page import Page
 from sparkscour.plans.rules import ALL, DELETE, NOT_KEEP, Match, Rule
 
@@ -44,6 +44,10 @@ def _group_end(text: str, at: int) -> int | None:
     return None
 
 
+#: Words that an instruction to a model holds.
+_INJECTED = Needed(["ignore instructions", "ignore prompts", "positive review", "not negatives", "not weaknesses", "recommend paper"] + [f"{a} {b}{c}" for a in ("ai", "llm") for b in ("reviewer", "model", "assistant") for c in ("", "s")])
+
+
 def hidden(page: Page) -> Iterable[Match]:
     text, unseen = page.text, "Readers do not see this; programs that read the file do."
     for r in page.regions:
@@ -65,7 +69,7 @@ def hidden(page: Page) -> Iterable[Match]:
     elif "<" in text:
         for m in _HTML_HIDDEN.finditer(text):
             yield Match(*m.span(), None, (DELETE,), unseen)
-    for m in js(INJECTION, "i").finditer(text):
+    for m in js(INJECTION, "i").finditer(text) if _INJECTED.may_be(page) else ():
         if not any(r.type == "hidden" and r.start <= m.start() < r.end for r in page.regions):
             yield Match(*m.span(), None, (), "Reads like an instruction to a model; it may be a quotation.")
 

@@ -201,9 +201,10 @@ def _same_sentences(page: Page) -> Iterable[Match]:
     for m in js(r"(?<![^.!?\n])[^.!?\n]++[.!?](?=\s|$)").finditer(page.text):
         sentence = m[0].strip()
         start = m.start() + m[0].index(sentence)
-        if len(js(r"\b[\w'-]+\b").findall(sentence)) >= SAME_SENTENCE_WORDS and not page.protected(start):
-            places[js(r"\s+").sub(" ", sentence.lower())].append((start, start + len(sentence)))
-    often = [(span, len(spans)) for spans in places.values() if len(spans) >= REPEATED for span in spans[:EACH_SENTENCE]]
+        places[js(r"\s+").sub(" ", sentence.lower())].append((start, start + len(sentence)))
+    long = {x: spans for x, spans in places.items() if len(spans) >= REPEATED and len(js(r"\b[\w'-]+\b").findall(x)) >= SAME_SENTENCE_WORDS}
+    free = sorted([s for s in spans if not page.protected(s[0])] for spans in long.values())
+    often = [(span, len(spans)) for spans in free if len(spans) >= REPEATED for span in spans[:EACH_SENTENCE]]
     for (start, end), n in often[:ALL_SENTENCES]:
         yield Match(start, end, None, (), f"This sentence stands here {n} times.")
 

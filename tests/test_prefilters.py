@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkscour.operators import rules_chat, rules_style
+from sparkscour.operators import rules_characters, rules_chat, rules_style
 from sparkscour.operators.page import Page
 from sparkscour.operators.style_words import COPULA, INTENSIFIERS, PHRASES
 from sparkscour.plans.rules import Config
@@ -49,6 +49,12 @@ def test_placeholders(text):
     assert "[" in text or not p.words.isdisjoint(("xx", "tbd"))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.from_regex(re.compile(rules_characters.INJECTION, re.ASCII | re.IGNORECASE), fullmatch=True))
+def test_instructions(text):
+    assert rules_characters._INJECTED.may_be(page(text)) or not text.isascii()
+
+
 def test_word_lists():
     for words, rule in ((rules_style.WORDS, "sty.vocab"), (COPULA, "sty.copula"), (INTENSIFIERS, "sty.intensifier"), (rules_style.CONCISE, "sty.concise")):
         find = next(r for r in rules_style.STYLE if r.id == rule).find
