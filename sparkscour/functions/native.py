@@ -36,13 +36,13 @@ def sentence_lengths(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.regexp_count(s, F.lit(TOKEN)).cast("long")), lambda n: n >= SHORTEST_SENTENCE)
 
 
-def profile_parts(text: Column) -> list[Column]:
-    """What the profile is computed from, each part once: chars, words, paragraphs, dashes, and of the sentences n, s (sum of
+def profile_parts(text: Column, word: bool = False) -> list[Column]:
+    """What the profile is computed from (``word``: of Word files' texts), each part once: chars, words, paragraphs, dashes, and of the sentences n, s (sum of
     their lengths) and q (of their squares)."""
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("q"))
     sums = F.aggregate(sentence_lengths(text), none, lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
     dashes = F.length(text) - F.length(F.replace(text, F.lit("\u2014"), F.lit("")))
-    return [utf16_length(text).alias("chars"), count(text, WORD).alias("words"), paragraphs(text).alias("paragraphs"), dashes.alias("dashes"), sums.alias("sums")]
+    return [utf16_length(text).alias("chars"), count(text, WORD).alias("words"), paragraphs(text, word).alias("paragraphs"), dashes.alias("dashes"), sums.alias("sums")]
 
 
 def profile_columns() -> list[Column]:

@@ -156,14 +156,15 @@ def decided(docs: DataFrame, decisions: DataFrame, settings: Config | None = Non
     return docs.join(made, docs[id_col] == made["of"], "left").select(docs[id_col], _rows_of(run, "string", _text(docs, text_col), F.col("made")).alias(text_col))
 
 
-def profile(docs: DataFrame, settings: Config | None = None, id_col: str = "doc_id", text_col: str = "text", signals: bool = False) -> DataFrame:
-    """(id_col, chars, words, sentences, paragraphs, avg_sentence, burstiness, em_dash_per_1k[, signals_per_1k])."""
+def profile(docs: DataFrame, settings: Config | None = None, id_col: str = "doc_id", text_col: str = "text", signals: bool = False, of_word: bool = False) -> DataFrame:
+    """(id_col, chars, words, sentences, paragraphs, avg_sentence, burstiness, em_dash_per_1k[, signals_per_1k]). ``of_word``: the
+    texts are those of Word files, in which every line is a paragraph."""
     docs = spread(docs.select(id_col, text_col))
     text = _text(docs, text_col)
     if not signals:
-        return docs.select(F.col(id_col).alias("of"), *profile_parts(text)).select(F.col("of").alias(id_col), *profile_columns())
+        return docs.select(F.col(id_col).alias("of"), *profile_parts(text, of_word)).select(F.col("of").alias(id_col), *profile_columns())
     style = F.size(F.filter(findings_of(text, settings or default_config()), lambda f: f["rule_id"].startswith("sty.")))
-    with_style = docs.select(F.col(id_col).alias("of"), *profile_parts(text), style.alias("style")).select(F.col("of").alias(id_col), *profile_columns(), "style")
+    with_style = docs.select(F.col(id_col).alias("of"), *profile_parts(text, of_word), style.alias("style")).select(F.col("of").alias(id_col), *profile_columns(), "style")
     rate = F.when(F.col("words") > 0, F.col("style") / F.col("words") * 1000).otherwise(0.0)
     return with_style.withColumn("signals_per_1k", rate).drop("style")
 

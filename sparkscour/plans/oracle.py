@@ -17,6 +17,7 @@ from sparkscour.functions import diff, labels, native
 from sparkscour.functions.workers import ship, spread
 from sparkscour.operators import frames
 from sparkscour.operators.finders import ask
+from sparkscour.operators.style_words import EXCESS, VOCABULARY
 from sparkscour.plans.rules import ALL, GROUPS, Rule, Selection, selected
 from sparkscour.plans.spans_sql import APPLIED, BROKEN_LINES, EDGES, REPEATED_SPACES, SAME_SENTENCES, SAME_STARTS, Spans, quoted
 from sparkscour.plans.spans_sql import findings as findings_sql
@@ -217,6 +218,7 @@ _FORMATTED: Pairs = (*_SINGLE, *words(" **the** ", " [de](b) ", "\n# ", " `que`
 _DOUBLED: Pairs = (*_PROSE, *_BARE, *words(" the the ", " de de "))
 _ENTRIES: Pairs = (*_BARE, ("@", " "), *words("\n@book{the,\n", "\n  title = x\n", "\n url = {de}\n"))
 _WORDY: Pairs = (*_PROSE, *words(" delve ", " Pivotal ", " in order to ", " SERVES AS ", " Furthermore "))
+_RISEN: Pairs = (*_PROSE, *_BARE, ("@", " "), ("://", " "), ("www.", ""), *words(" accentuates ", " Surpassing ", " delve ", " WERE ", " yielding "))
 _CODED: Pairs = (*_BARE, *words(" \u2014 ", " `x \u2014 y` ", " <!-- \u2014 --> ", " [q](a\u2014b) ", " \u2014z "))
 _DASHED: Pairs = (*_BARE, *words(" \u2014 ", " a\u2014b "))
 _TYPED: Pairs = ((", ", " \u2014 "),)
@@ -350,6 +352,13 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "rule_id", "start", "end", "orig", F.array_join("suggestions", "|").alias("suggestions"), "kind")
 
 
+def excess_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the published list, without those that the list of overused words has."""
+    settings = frames.default_config(only=["sty.vocabx"], options={"sty.vocabx": EXCESS})
+    found = frames.findings(_planted_docs(spark, sf_dir, _RISEN), settings)
+    return found.groupBy("doc_id", F.lower("orig").alias("word")).agg(F.count("*").alias("n"))
+
+
 def protected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dashes in Markdown: not those in code, comments and links."""
     found = frames.findings(_planted_docs(spark, sf_dir, _CODED), frames.default_config("md", only=["pu.em"]))
@@ -460,7 +469,7 @@ def native_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select(pairs.alias("p")).select("p.*")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (native_tally, profile, changes, converted_markdown, converted_latex, estimated, own_rule, positions, nearest, decode_round_trip, normalised_lines, visible_text, decided, profile_conversations, basic_cleaning, cleaned, cleaned_spaces, cleaned_pages, findings, tally_by_rule, tally_by_group, tally_by_kind, journal, url_regions, markdown_regions, tex_regions, nearest_to_line, pattern_findings, bib_regions, suggestions, protected, chosen_options, word_round_trip, word_findings, word_cleaned)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (native_tally, profile, changes, converted_markdown, converted_latex, estimated, own_rule, positions, nearest, decode_round_trip, normalised_lines, visible_text, decided, profile_conversations, basic_cleaning, cleaned, cleaned_spaces, cleaned_pages, findings, tally_by_rule, tally_by_group, tally_by_kind, journal, url_regions, markdown_regions, tex_regions, nearest_to_line, pattern_findings, bib_regions, suggestions, excess_words, protected, chosen_options, word_round_trip, word_findings, word_cleaned)}
 QUERIES |= {q.name: q.run for q in RULE_QUERIES}
 
 
@@ -563,6 +572,7 @@ ORACLE_SQL |= {
             ("sty.concise", "in order to", "to"),
             ("sty.copula", "SERVES AS", "IS"),
         )) + ")", """SELECT doc_id, rule_id, start, (start + length(orig))::INT AS "end", orig, repl AS suggestions, 'review' AS kind FROM f"""),
+    "excess_words": _in_planted(_RISEN, f"w AS (SELECT doc_id, lower(unnest(regexp_extract_all(t, {quoted(rf'(?i)\b(?:{"|".join(x for x in EXCESS.split() if x not in VOCABULARY)})\b')}))) AS word FROM p)", "SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL"),
     "protected": _in_planted(_CODED, f"f AS ({Spans('pu.em', r'`x — y`|<!-- — -->|\]\(a—b\)| *— *', "' - '").sql(0)})",
         """SELECT doc_id, rule_id, start, (start + length(orig))::INT AS "end", orig, repl FROM f WHERE regexp_matches(orig, '^ *— *$')"""),
     "chosen_options": _in_planted(_DASHED, "n AS (SELECT sum(len(string_split(t, '—')) - 1)::BIGINT AS n FROM p)", """
