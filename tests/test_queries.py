@@ -31,7 +31,7 @@ def test_equals_sql(spark, data, tables, name):
         assert got.n.sum() > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"rule_res_mathdup"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, data, name):
     rows = QUERIES[name](spark, data)
     assert rows.count() > 0 and len(set(rows.columns)) == len(rows.columns)
