@@ -26,6 +26,13 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(tied.where("v = m").select("u", "v"))
 
 
+def _open(edges: DataFrame) -> bool:
+    """Whether a node still has two edges down, or one down and one up: then the edges are no stars yet."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return bool(ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR down > 0 AND up > 0").head(1))
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) of every node of ``edges`` (u, v); the component is its least node.
 
@@ -33,15 +40,12 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     No edges give no rows; loops and repeated edges are ignored.
     """
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
-    seen = None
-    while True:
-        mark = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if mark == seen or not mark[0]:
-            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        seen = mark
-        large = written(_large_star(now, mark[0]).distinct(), label)
-        before, now = now, written(_small_star(large, mark[0]).distinct(), label)
+    while _open(now):
+        total = now.count()
+        large = written(_large_star(now, total).distinct(), label)
+        before, now = now, written(_small_star(large, total).distinct(), label)
         discard(before)
         discard(large)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )
