@@ -53,7 +53,7 @@ def test_short_items_repeats_and_nulls(spark):
     assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == [(3, None), (4, ""), (6, "no match here"), *([] if any(r[0] == 7 and r[-1] for r in got) else [(7, "É é K k")])]
 
 
-@pytest.mark.parametrize("keys, windows", [(decontamination.MAX_KEYS, 0), (0, decontamination.MAX_BROADCAST), (0, 0)])
+@pytest.mark.parametrize("keys, windows", [(decontamination.MAX_KEYS, 0), (0, 0)])
 def test_joins_that_shuffle(spark, data, monkeypatch, keys, windows):
     monkeypatch.setattr(decontamination, "MAX_KEYS", keys)
     monkeypatch.setattr(decontamination, "MAX_BROADCAST", windows)

@@ -104,8 +104,7 @@ def brute_terms(texts):
     return {t: [(a, b) for w, a, b in free[t] if any((w, e) in told for e in entities[t])] for t in texts}
 
 
-@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
-@pytest.mark.parametrize("broadcast", [pii.MAX_BROADCAST, 0])
+@pytest.mark.parametrize("folder, broadcast", [("sf0.01", pii.MAX_BROADCAST), ("sf0.001", 0)])
 def test_disclosing_terms_by_brute_force(spark, monkeypatch, folder, broadcast):
     monkeypatch.setattr(pii, "MAX_BROADCAST", broadcast)
     monkeypatch.setattr(pii, "MAX_HASHES", broadcast)
