@@ -131,8 +131,9 @@ class Model:
 
 
 def _duel(rows: list[tuple[np.ndarray, np.ndarray]], sides: np.ndarray, width: int) -> tuple[np.ndarray, float]:
-    values = [n / max(1, n.sum()) * SCALE for _, n in rows]
-    return fit(Rows([c for c, _ in rows], values, width), sides, "hinge", PENALTY, STEPS)
+    made = Rows([c for c, _ in rows], [n / max(1, n.sum()) * SCALE for _, n in rows], width)
+    rows.clear()  # they are in ``made`` now
+    return fit(made, sides, "hinge", PENALTY, STEPS)
 
 
 def train(sample: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:

@@ -6,19 +6,28 @@ import numpy as np
 
 
 class Rows:
-    """Sparse rows: of row i the columns and values at start[i]:start[i+1]."""
+    """Sparse rows, one after another: columns and values; the row of each is not kept, and products are made in place."""
 
     def __init__(self, columns: list[np.ndarray], values: list[np.ndarray], width: int):
         self.n, self.width = len(columns), width
-        self.row = np.repeat(np.arange(self.n), [len(c) for c in columns])
-        self.column = np.concatenate([np.empty(0, np.int64), *columns]).astype(np.int64)
-        self.value = np.concatenate([np.empty(0), *values]).astype(np.float64)
+        self.sizes = np.array([len(c) for c in columns], np.int64)
+        self.held = self.sizes > 0
+        self.starts = (np.cumsum(self.sizes) - self.sizes)[self.held]
+        self.column = np.concatenate([np.empty(0, np.int64), *columns]).astype(np.int64, copy=False)
+        self.value = np.concatenate([np.empty(0), *values]).astype(np.float64, copy=False)
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * weights[self.column], self.n)
+        parts = weights[self.column]
+        parts *= self.value
+        out = np.zeros(self.n)
+        if len(parts):
+            out[self.held] = np.add.reduceat(parts, self.starts)
+        return out
 
     def back(self, errors: np.ndarray) -> np.ndarray:
-        return np.bincount(self.column, self.value * errors[self.row], self.width)
+        parts = np.repeat(errors, self.sizes)
+        parts *= self.value
+        return np.bincount(self.column, parts, self.width)
 
 
 def _steepest(rows: Rows, share: np.ndarray) -> float:

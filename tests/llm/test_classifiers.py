@@ -32,6 +32,14 @@ def test_fit_separates():
         assert (np.sign(rows.dot(w) + b) == y).mean() > 0.95
 
 
+def test_rows_with_and_without_values():
+    rows = Rows([np.array([0, 2]), np.array([], int), np.array([2]), np.array([], int)], [np.array([1.0, 3.0]), np.array([]), np.array([5.0]), np.array([])], 4)
+    assert rows.dot(np.array([1.0, 10.0, 100.0, 1000.0])).tolist() == [301.0, 0.0, 500.0, 0.0]
+    assert rows.back(np.array([1.0, 7.0, 2.0, 9.0])).tolist() == [1.0, 0.0, 13.0, 0.0]
+    none = Rows([np.array([], int)] * 2, [np.array([])] * 2, 3)
+    assert none.dot(np.ones(3)).tolist() == [0.0, 0.0] and none.back(np.ones(2)).tolist() == [0.0] * 3
+
+
 def held_out(doc_id) -> bool:
     return crc32(str(doc_id).encode()) % 4 == 2
 
