@@ -127,11 +127,12 @@ def _cut(open_cells: DataFrame) -> DataFrame:
     return open_cells.withColumn("left", left).select(parts, "fp", "comp").select("p.cell", "p.side", "fp", "comp")
 
 
-def _open(members: DataFrame) -> DataFrame:
-    """The members (cell, fp, comp, ...) of cells that hold more than one component; with n, how many of them a cell has.
-    ``members`` is a written table."""
+def _open(members: DataFrame) -> DataFrame | None:
+    """The members (cell, fp, comp, ...) of cells that hold more than one component; with n, how many of them a cell has. None
+    if there are none. ``members`` is a written table."""
     mixed = members.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).where("a <> b")
-    return joined(members, mixed.select("cell", "n", F.col("n").alias("rows")), "cell", "rows", members.count())
+    mixed = written(mixed.select("cell", "n", F.col("n").alias("rows")), "simhash-mixed")
+    return joined(members, mixed, "cell", "rows", members.count()) if mixed.head(1) else None
 
 
 def _pairs(cells: DataFrame) -> DataFrame:
@@ -150,7 +151,10 @@ def links(fps: DataFrame) -> DataFrame:
     n = fps.count()
     cells = _cells(fps.repartition(max(1, n // TASK)))
     twos, met = _met(cells)
-    if met.count() <= MAX_BROADCAST:
+    many = met.count()
+    if not many:
+        return twos.distinct()
+    if many <= MAX_BROADCAST:
         shared = cells.join(F.broadcast(met.drop("n")), "cell")
     else:
         shared = joined(cells, met, "cell", "n", len(GRIDS) * n)
@@ -159,10 +163,14 @@ def links(fps: DataFrame) -> DataFrame:
     stars = written(stars.unionByName(twos).distinct(), "simhash-stars")
     known = components(stars, "simhash-stars")
     members = shared.join(known.withColumnRenamed("node", "fp"), "fp", "left").select("cell", "grid", "fp", F.coalesce("component", "fp").alias("comp"))
-    open_cells = written(_open(written(members, "simhash-members")), "simhash-open")
-    small = open_cells.where(F.col("n") <= SMALL_CELL).select("cell", F.lit(None).cast("int").alias("side"), "fp", "comp")
-    cut = written(_cut(open_cells.where(F.col("n") > SMALL_CELL)), "simhash-cut")
-    return stars.unionByName(_pairs(small)).unionByName(_pairs(_open(cut).drop("n")))
+    open_cells = _open(written(members, "simhash-members"))
+    if open_cells is None:
+        return stars
+    open_cells = written(open_cells, "simhash-open")
+    found = stars.unionByName(_pairs(open_cells.where(F.col("n") <= SMALL_CELL).select("cell", F.lit(None).cast("int").alias("side"), "fp", "comp")))
+    large = open_cells.where(F.col("n") > SMALL_CELL)
+    cut = _open(written(_cut(large), "simhash-cut")) if large.head(1) else None
+    return found if cut is None else found.unionByName(_pairs(cut.drop("n")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
