@@ -20,8 +20,11 @@ from collections.abc import Callable, Iterator
 from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from sparkscour.llm.common import joined, ship, spread, written
 
@@ -37,6 +40,8 @@ MAX_BROADCAST = 1_000_000
 MAX_HASHES = 4_000_000
 #: Most marks (a number each) of texts with copies that are broadcast.
 MAX_COPIES = 2_000_000
+#: Texts whose words a worker holds as objects at once.
+AT_ONCE = 32
 #: Parts that the rows of one text are dealt to where the terms of texts are too many to broadcast.
 SALTS = 16
 
@@ -138,20 +143,24 @@ _SPAN = "struct<start: long, end: long>"
 def _found(text: Column, near: int | None) -> Column:
     """Entities of a text, the words that may be terms with all their places, and the pairs of them that are near each other (no pairs if all are)."""
 
-    @F.pandas_udf(f"struct<entities: array<string>, words: array<struct<term: string, places: array<{_SPAN}>>>, near: array<struct<term: string, entity: string>>>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in texts:
-            spans = base_spans(text)
-            named = [entity(text, s) for s in spans]
-            pairs = sorted({(t, named[i]) for t, _, _, i in neighbours(text, spans, near)}) if near is not None else []
-            wanted = {t for t, _ in pairs}
-            places: dict[str, list[dict]] = {}
-            for t, a, b in words(text, spans) if spans else ():
-                if near is None or t in wanted:
-                    places.setdefault(t, []).append({"start": a, "end": b})
-            out.append((sorted(set(named)), [{"term": t, "places": places[t]} for t in sorted(places)], [{"term": t, "entity": e} for t, e in pairs]))
-        return pd.DataFrame(out, columns=["entities", "words", "near"])
+    kind = DataType.fromDDL(f"struct<entities: array<string>, words: array<struct<term: string, places: array<{_SPAN}>>>, near: array<struct<term: string, entity: string>>>")
+
+    def row(text: str) -> dict:
+        spans = base_spans(text)
+        named = [entity(text, s) for s in spans]
+        pairs = sorted({(t, named[i]) for t, _, _, i in neighbours(text, spans, near)}) if near is not None else []
+        wanted = {t for t, _ in pairs}
+        places: dict[str, list[dict]] = {}
+        for t, a, b in words(text, spans) if spans else ():
+            if near is None or t in wanted:
+                places.setdefault(t, []).append({"start": a, "end": b})
+        return {"entities": sorted(set(named)), "words": [{"term": t, "places": places[t]} for t in sorted(places)], "near": [{"term": t, "entity": e} for t, e in pairs]}
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        made = to_arrow_type(kind)
+        # a few texts at a time, so that the words of one batch are not all objects at once
+        return pa.concat_arrays([pa.array([row(x.as_py()) for x in texts[i : i + AT_ONCE]], made) for i in range(0, max(1, len(texts)), AT_ONCE)])
 
     return run.asNondeterministic()(text)  # so that a filter on it doesn't run it again
 
