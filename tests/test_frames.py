@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import io
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from sparkscour.functions import labels, native
+from sparkscour.functions import diff, labels, native
 from sparkscour.functions.diff import edits, edits_column, summary, summary_column
 from sparkscour.operators import frames
 from sparkscour.operators.engine import Change, applied, changes, clean, scan
@@ -161,6 +162,32 @@ def test_differences(spark):
     assert [tuple(r.s) for r in got] == [(1, 3), (1, 0)] and got[1].e[0].insert == "x"
 
 
+def test_summary_of_long_texts_takes_no_square_of_time(monkeypatch):
+    before = "\n\n\n\n" + "a word and more.\u00a0\n\n\nNext" * 10_000
+    after = before.lstrip("\n").replace("\u00a0\n\n\n", "\n\n") + "\n"
+    want = (2 * 10_000 + 1, 4 * 10_000 + 4)
+    monkeypatch.setattr(diff, "SequenceMatcher", None)
+    assert summary(before, after) == want
+
+
+def test_summary_is_the_least():
+    def least(a, b):
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                rows[i][j] = rows[i - 1][j - 1] + 1 if x == y else max(rows[i - 1][j], rows[i][j - 1])
+        return len(b) - rows[-1][-1], len(a) - rows[-1][-1]
+
+    dice, proven = random.Random(1), 0
+    for _ in range(400):
+        a = [dice.choice("abcdef") for _ in range(dice.randrange(12))]
+        b = [dice.choice("xyz") if dice.random() < 0.3 else c for c in a if dice.random() < 0.8]
+        if walked := diff._walked(a, b):
+            proven += 1
+            assert (walked[1].total(), walked[0].total()) == least(a, b)
+    assert proven > 100
+
+
 def test_estimate_and_conversion(spark, docs):
     found = frames.findings(docs)
     took = sum(sum(r.passes is not None and len(p) for p in r.passes[:1]) for r in frames.cleaned(docs).collect())
