@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkscour.llm import decontamination, langid, mixing, sharding, simhash
-from sparkscour.llm.common import discard, table, written
+from sparkscour.llm.common import discard, freed, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +18,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts and texts without a letter go. Rows without id, and repeated rows, are judged by their texts like any other. Of
     languages that win alike, the last by code is predicted.
     """
-    return langid.recognised(docs)
+    out = langid.recognised(docs)
+    freed(spark)  # of the rows that were learned
+    return out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,6 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without a word are near-duplicates of each other. Of rows that repeat an id, one of each group stays; rows without id
     stay.
     """
+    freed(spark)
     return simhash.keep_one(docs)
 
 
@@ -36,6 +39,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Texts without a word hold none. Rows that repeat an id, or have none, are judged each by its own text. Items without id or
     word match nothing.
     """
+    freed(spark)
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -45,6 +49,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null sources are one source; rows without id are ordered by their text. Rows without a word add nothing to the mix and are
     taken as often as their source repeats them. Of rows that are alike, as many are taken as the mix needs.
     """
+    freed(spark)
     return mixing.mixed(docs)
 
 
@@ -53,6 +58,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row without id goes by its text, a null text has size 1, and rows that repeat an id share a shard.
     """
+    freed(spark)
     return sharding.sharded(docs)
 
 

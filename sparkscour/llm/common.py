@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkscour.functions.workers import ship, spread
 
-__all__ = ["UNEVEN_SPACE", "clear", "discard", "joined", "scratch", "ship", "spread", "table", "written"]
+__all__ = ["UNEVEN_SPACE", "clear", "discard", "freed", "joined", "scratch", "ship", "spread", "table", "written"]
 
 #: A key with more than one in HOT_SHARE of the rows is hot, if these are more than HOT_ROWS; so fewer than HOT_SHARE keys are.
 HOT_SHARE, HOT_ROWS = 2000, 50
@@ -70,6 +72,17 @@ def discard(df: DataFrame) -> None:
     _delete(df.sparkSession, df.scratch_path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Give back what the driver no longer uses. Python's freed blocks return to the system, and the JVM collects, which shrinks
+    its heap and lets Spark drop the state of past jobs, broadcasts and shuffles."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+    spark.sparkContext._jvm.System.gc()
+
+
 def joined(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """``rows`` joined to ``facts`` (one row for each ``key``, ``n`` rows have it; ``total`` is the sum of ``n``), without ``n``.
 

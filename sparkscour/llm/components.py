@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkscour.llm.common import discard, joined, written
+from sparkscour.llm.common import discard, freed, joined, written
 
 
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
@@ -46,6 +46,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         before, now = now, written(_small_star(large, total).distinct(), label)
         discard(before)
         discard(large)
+        freed(now.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

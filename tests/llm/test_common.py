@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import weakref
 from pathlib import Path
 from types import SimpleNamespace
 from urllib.parse import urlparse
@@ -41,3 +42,25 @@ def test_a_cluster_needs_a_shared_folder(spark):
     conf.clear()
     session.sparkContext.master = "local[4]"
     assert common.scratch(session, "x").startswith("file:///")
+
+
+def test_freed_collects_and_stages_call_it(spark, monkeypatch):
+    import corpus_pipeline
+
+    class Held:
+        pass
+
+    held = Held()
+    held.itself, gone = held, weakref.ref(held)
+    del held
+    common.freed(spark)
+    assert gone() is None
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "freed", calls.append)
+    docs = spark.createDataFrame([(i, "some words " * 9 + str(i), "en", "a") for i in range(3)], "doc_id long, text string, lang string, source string")
+    for module, name in (("langid", "recognised"), ("simhash", "keep_one"), ("decontamination", "clean"), ("mixing", "mixed"), ("sharding", "sharded")):
+        monkeypatch.setattr(getattr(corpus_pipeline, module), name, lambda docs, *_: docs)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: docs)
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, "")
+    assert calls == [spark] * len(corpus_pipeline.STAGES)
