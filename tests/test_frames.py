@@ -199,6 +199,33 @@ def test_summary_is_the_least():
     assert proven > 100
 
 
+def test_kept_parts_are_the_most(monkeypatch):
+    def most(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            above = row[:]
+            for j, y in enumerate(b, 1):
+                row[j] = above[j - 1] + 1 if x == y else max(above[j], row[j - 1])
+        return row[-1]
+
+    dice = random.Random(2)
+    for held in (diff.MASKS, 2):
+        monkeypatch.setattr(diff, "MASKS", held)
+        for _ in range(300):
+            a, b = ([dice.choice("abcdefgh"[: dice.choice((2, 8))]) for _ in range(dice.randrange(25))] for _ in range(2))
+            assert diff._kept(a, b).total() == most(a, b)
+
+
+def test_summary_of_long_texts_that_no_walk_proves(spark):
+    dice = random.Random(3)
+    words = [f"w{dice.randrange(999)}" for _ in range(90_000)]
+    before, after = " ".join(words), " ".join([*words[1:], words[0]])
+    parts = [x for i, w in enumerate(words) for x in ((" ", w) if i else (w,))]
+    assert diff._walked(parts, [*parts[2:], " ", parts[0]]) is None and len(before) + len(after) > diff.LONGEST
+    row = spark.createDataFrame([(before, after)], "a string, b string").select(summary_column(F.col("a"), F.col("b")).alias("s")).first()
+    assert tuple(row.s) == (len(words[0]) + 1, len(words[0]) + 1)
+
+
 def test_estimate_and_conversion(spark, docs):
     found = frames.findings(docs)
     took = sum(sum(r.passes is not None and len(p) for p in r.passes[:1]) for r in frames.cleaned(docs).collect())

@@ -48,6 +48,15 @@ def test_own_rule_beside_digits(spark, tmp_path):
     assert want[0] == 1 and {r.doc_id: r.n for r in QUERIES["own_rule"](spark, str(tmp_path)).collect()} == want
 
 
+def test_changes_of_long_texts(spark, tmp_path):
+    texts = ["One word and more. Then the next line\n" * 25_000 + "End", "short. One", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.sql(SQL["changes"]).fetchall())
+    assert len(texts[0]) > 800_000 and want[0][1] == 75_001 and sorted(map(tuple, QUERIES["changes"](spark, str(tmp_path)).collect())) == want
+
+
 def test_entry(spark):
     rows = __spark_entry__.entry(spark)
     assert rows.count() == 200 and "signals_per_1k" in rows.columns
